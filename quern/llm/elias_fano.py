@@ -47,6 +47,7 @@ class EliasFano:
         self.n, self.low = int(sizes[0]), int(sizes[1])
         self.bits, self.bytes, self.ones = bits, high.reshape(-1, 8), ones
         self.wide = np.ndarray((max(1, len(bits) - 7),), "<u8", np.ascontiguousarray(bits) if not bits.flags.c_contiguous else bits, strides=(1,))
+        self.words = high.view("<u8")
         self.zeros = np.arange(len(ones), dtype=np.int64) * 64 - ones
 
     def lows(self, i: np.ndarray) -> np.ndarray:
@@ -55,27 +56,45 @@ class EliasFano:
         at = i * self.low
         return (self.wide[at >> 3] >> (at & 7).astype(np.uint64)) & np.uint64((1 << self.low) - 1)
 
-    def _select(self, i: np.ndarray, before: np.ndarray, flip: int) -> np.ndarray:
+    def _select(self, i: np.ndarray, before: np.ndarray, flip: bool) -> np.ndarray:
         word = np.searchsorted(before, i, "right") - 1
         rest = i - before[word]
-        own = self.bytes[word] ^ flip
-        upto = np.cumsum(_POP[own], 1, dtype=np.int64)
-        byte = np.minimum((upto <= rest[:, None]).sum(1), 7)
-        r = np.arange(len(i))
-        rest = rest - np.where(byte > 0, upto[r, byte - 1], 0)
-        return word * 64 + byte * 8 + _SELECT[own[r, byte], np.minimum(rest, 7)]
+        x = self.words[word]
+        if flip:
+            x = ~x
+        # ones up to each byte's end, all eight in one integer
+        s = x - ((x >> np.uint64(1)) & np.uint64(0x5555555555555555))
+        s = (s & np.uint64(0x3333333333333333)) + ((s >> np.uint64(2)) & np.uint64(0x3333333333333333))
+        s = ((s + (s >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * np.uint64(0x0101010101010101)
+        # bytes whose count is at most rest
+        full = ((np.uint64(0x8080808080808080) | (rest.astype(np.uint64) * np.uint64(0x0101010101010101))) - s) & np.uint64(0x8080808080808080)
+        byte = np.minimum(np.bitwise_count(full), 7).astype(np.uint64)
+        rest = rest - (((s << np.uint64(8)) >> (byte * np.uint64(8))) & np.uint64(0xFF)).astype(np.int64)
+        own = ((x >> (byte * np.uint64(8))) & np.uint64(0xFF)).astype(np.int64)
+        return word * 64 + byte.astype(np.int64) * 8 + _SELECT[own, np.clip(rest, 0, 7)]
 
     def select1(self, i: np.ndarray) -> np.ndarray:
-        return self._select(i, self.ones, 0)
+        return self._select(i, self.ones, False)
 
     def select0(self, i: np.ndarray) -> np.ndarray:
-        return self._select(i, self.zeros, 255)
+        return self._select(i, self.zeros, True)
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         return ((self.select1(i) - i).astype(np.uint64) << np.uint64(self.low)) | self.lows(i)
 
     def successor(self, value: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Of elements first .. end - 1, where the first one of at least `value` is (or end)."""
+        return np.minimum(self._search(value, first, end)[0], end)
+
+    def find(self, value: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same places, and whether the element there is the value."""
+        at, stop = self._search(value, first, end)
+        hit = at < stop
+        hit[hit] = self.lows(at[hit]) == (value[hit] & np.uint64((1 << self.low) - 1))
+        return at, hit
+
+    def _search(self, value: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places, and the ends of the runs of elements that share the value's high bits."""
         high = (value >> np.uint64(self.low)).astype(np.int64)
         last = self.bytes.size * 8 - self.n - 1  # zeros there are, less one
         a = np.where(high > 0, self.select0(np.clip(high - 1, 0, last)) - np.maximum(high - 1, 0), 0)
@@ -83,8 +102,9 @@ class EliasFano:
         lo, hi = np.maximum(a, first), np.minimum(np.where(high > last, self.n, b), end)
         want = value & np.uint64((1 << self.low) - 1)
         hi = np.maximum(hi, lo)
+        stop = hi.copy()
         while len(go := np.flatnonzero(lo < hi)):
             mid = (lo[go] + hi[go]) >> 1
             less = self.lows(mid) < want[go]
             lo[go], hi[go] = np.where(less, mid + 1, lo[go]), np.where(less, hi[go], mid)
-        return np.minimum(lo, end)
+        return lo, stop

@@ -133,16 +133,22 @@ class Trie:
         ok = np.flatnonzero((node >= 0) & (node < pointers.n - 1))
         if not len(ok) or not successors.n:
             return out
-        a, b = pointers[node[ok]].astype(np.int64), pointers[node[ok] + 1].astype(np.int64)
-        some = a < b
-        ok, a, b = ok[some], a[some], b[some]
-        if len(ok):
-            before = np.where(a > 0, successors[np.maximum(a - 1, 0)], 0).astype(np.uint64)
-            value = before + w[ok].astype(np.uint64)
-            at = successors.successor(value, a, b)
-            hit = at < b
-            hit[hit] = successors[at[hit]] == value[hit]
-            out[ok[hit]] = at[hit]
+        # each distinct pair is searched once, in order; each distinct node's range is looked up once
+        pair, back = np.unique((node[ok].astype(np.uint64) << np.uint64(32)) | w[ok].astype(np.uint64), return_inverse=True)
+        own, of = np.unique(pair >> np.uint64(32), return_inverse=True)
+        own = own.astype(np.int64)
+        ends = pointers[np.concatenate([own, own + 1])].astype(np.int64)
+        a, b = ends[: len(own)], ends[len(own) :]
+        some = np.flatnonzero(a < b)
+        before = np.zeros(len(own), np.uint64)
+        before[some] = np.where(a[some] > 0, successors[np.maximum(a[some] - 1, 0)], 0)
+        go = np.flatnonzero((a < b)[of])
+        found = np.full(len(pair), -1, np.int64)
+        if len(go):
+            c = of[go]
+            at, hit = successors.find(before[c] + (pair[go] & np.uint64(0xFFFFFFFF)), a[c], b[c])
+            found[go[hit]] = at[hit]
+        out[ok] = found[back]
         return out
 
     def structures(self, level: int, shard: int) -> tuple[EliasFano, EliasFano]:
