@@ -1,6 +1,6 @@
 """Line dedup by an exact set-similarity join.
 
-A line's set is its distinct words.  A line goes if an earlier one (by doc_id, text hash and line number) has the same
+A line's set is its distinct words.  A line goes if an earlier one (by doc_id, line number and text hash) has the same
 set or a set of Jaccard similarity of the threshold or more.  Words are ordered by rarity; two similar sets must share
 one of their few rarest words (the prefix), at positions and with sizes that still allow the overlap.  Lines that meet
 at a prefix word are first checked against the earliest of them, one candidate for each line and word, which settles
@@ -123,7 +123,7 @@ def _postings(sent, threshold: float):
             take = position < prefix[row]
             word, at = items[order][take].view(np.int64), row[take]
             cols = {"word": pa.array(word), "position": pa.array(position[take].astype(np.int32))}
-            for c in ("doc_id", "h", "line", "s", "n"):
+            for c in ("doc_id", "line", "s", "n"):
                 cols[c] = b.column(c).take(pa.array(at))
             yield pa.RecordBatch.from_pydict(cols)
 
@@ -166,15 +166,15 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS)
     table = keep(lines(docs, words), f"{at}/lines")
     sets = table.where("line >= 0")
     sent = spark.sparkContext.broadcast(rarity(sets))  # of a fixed size
-    order = ["doc_id", "h", "line"]
-    postings = sets.mapInArrow(_postings(sent, threshold), f"word long, position int, doc_id {dict(docs.dtypes)['doc_id']}, h long, line int, s long, n int")
-    first = F.first(F.struct("s", "n", "position")).over(Window.partitionBy("word").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    met = postings.withColumn("f", first).where("s != f.s").select("word", "position", *order, "s", "n", F.col("f.s").alias("fs"), F.col("f.n").alias("fn"), F.col("f.position").alias("fp"))
+    order, place = ["doc_id", "line", "h"], ["doc_id", "line", "s"]  # of lines; of sets, which need no more to be told apart
+    postings = sets.mapInArrow(_postings(sent, threshold), f"word long, position int, doc_id {dict(docs.dtypes)['doc_id']}, line int, s long, n int")
+    first = F.first(F.struct("s", "n", "position")).over(Window.partitionBy("word").orderBy(*place).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = postings.withColumn("f", first).where("s != f.s").select("word", "position", *place, "n", F.col("f.s").alias("fs"), F.col("f.n").alias("fn"), F.col("f.position").alias("fp"))
     met = keep(met, f"{at}/met")
     early = keep(_verified(met.where(_allowed(threshold, "fn", "fp")).select("s", F.col("fs").alias("t")).distinct(), sets, threshold).select("s").distinct(), f"{at}/early")
     left = met.join(early, "s", "left_anti")
-    other = met.select("word", F.struct(*order).alias("eo"), F.col("s").alias("t"), F.col("n").alias("en"), F.col("position").alias("ep"))
-    more = left.join(other, "word").where((F.col("eo") < F.struct(*order)) & (F.col("s") != F.col("t")) & _allowed(threshold, "en", "ep")).select("s", "t").distinct()
+    other = met.select("word", F.struct(*place).alias("eo"), F.col("s").alias("t"), F.col("n").alias("en"), F.col("position").alias("ep"))
+    more = left.join(other, "word").where((F.col("eo") < F.struct(*place)) & (F.col("s") != F.col("t")) & _allowed(threshold, "en", "ep")).select("s", "t").distinct()
     late = _verified(keep(more, f"{at}/more"), sets, threshold).select("s").distinct()
     gone = keep(early.unionByName(late).distinct(), f"{at}/gone").withColumn("gone", F.lit(True))
     own = sets.select(*order, "s")
