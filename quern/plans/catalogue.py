@@ -1,9 +1,200 @@
 """The registered queries of the corpus operators and their SQL twins."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import batching, metrics, posterior, scoring, sequence
+from ..sources.manifest import shard
+
+_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pairs(s, d):
+    c = t(s, d, "conversations")
+    ref = c.where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("id"), X.tokens(F.col("text")).alias("tokens"))
+    hyp = c.where("role = 'assistant'").select(F.concat_ws("-", "conv_id", F.col("turn") - 1).alias("id"), X.tokens(F.col("text")).alias("tokens"), "turn")
+    return scoring.pairs(ref, hyp, "turn")
+
+
+def probabilities(s, d):
+    return t(s, d, "embeddings").select("vec_id", "label", posterior.softmax(F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double") * 20)).alias("p"))
+
+
+def neighbours(s, d):
+    e = probabilities(s, d)
+    return e.alias("a").join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("p").alias("q")), "vec_id")
+
+
+def sized(s, d):
+    return t(s, d, "events").select("user_id", "ts", "event_id", (F.floor("value") % 50 + 1).cast("int").alias("size"))
+
+
+_SOFT = "SELECT vec_id, label, list_transform(e, lambda x: exp(x - list_max(e)) / list_sum(list_transform(e, lambda y: exp(y - list_max(e))))) AS p FROM (SELECT vec_id, label, list_transform(embedding[1:8], lambda x: x::DOUBLE * 20) AS e FROM embeddings)"
+_NEAR = f"WITH e AS ({_SOFT}), n AS (SELECT a.vec_id, a.p, b.p AS q FROM e a JOIN e b ON b.vec_id = a.vec_id + 1) "
+_RUNS = """WITH f AS (SELECT user_id, event_type AS x, row_number() OVER w - 1 AS t, (lag(event_type) OVER w IS DISTINCT FROM event_type)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT user_id, x, t, sum(new) OVER (PARTITION BY user_id ORDER BY t) AS run, count(*) OVER (PARTITION BY user_id) AS n FROM f) """
+_FOLD = """WITH RECURSIVE s AS (SELECT user_id, event_id, (floor(value) % 50 + 1)::INT AS size, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT user_id, event_id, size, k, 0 AS batch, 1 AS n, size AS longest FROM s WHERE k = 1 UNION ALL
+ SELECT s.user_id, s.event_id, s.size, s.k, CASE WHEN (r.n + 1) * greatest(r.longest, s.size) > 200 THEN r.batch + 1 ELSE r.batch END, CASE WHEN (r.n + 1) * greatest(r.longest, s.size) > 200 THEN 1 ELSE r.n + 1 END,
+ CASE WHEN (r.n + 1) * greatest(r.longest, s.size) > 200 THEN s.size ELSE greatest(r.longest, s.size) END FROM r JOIN s ON s.user_id = r.user_id AND s.k = r.k + 1) """
+_WS = r"[ \t\n\r\f\x0b]+"
+_LANG = " ".join(f"WHEN '{k}' THEN {v}" for k, v in X.LANGUAGES.items())
+_TOK = f"list_filter(regexp_split_to_array(upper(replace(text, 'ß', 'ss')), '{_WS}'), lambda x: x != '')"
+_EXPAND = "SELECT *, sum(length) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) - length AS start FROM (SELECT *, CASE WHEN l_returnflag = 'R' THEN floor(l_quantity)::BIGINT ELSE 1 END AS length FROM lineitem)"
+
+#: name: (query, SQL or None)
+CATALOGUE = {
+    "wer_overall": (lambda s, d: scoring.overall(pairs(s, d)).withColumn("wer", F.round("wer", 6)), None),
+    "wer_per_pair": (lambda s, d: scoring.per_pair(pairs(s, d)), None),
+    "token_stats": (lambda s, d: scoring.token_counts(pairs(s, d)), None),
+    "wer_by_cluster_rollup": (lambda s, d: scoring.by_cluster(pairs(s, d)), None),
+    "wer_reference_tokens": (
+        lambda s, d: pairs(s, d).agg(F.sum(F.size("ref")).alias("ref_tokens"), F.sum(F.size("hyp")).alias("hyp_tokens"), F.count("*").alias("pairs")),
+        f"WITH k AS (SELECT conv_id, turn, role, {_TOK} AS w FROM conversations) SELECT sum(len(r.w))::BIGINT AS ref_tokens, sum(len(h.w))::BIGINT AS hyp_tokens, count(*) AS pairs FROM k r JOIN k h ON r.conv_id = h.conv_id AND h.turn = r.turn + 1 WHERE r.role = 'user' AND h.role = 'assistant'",
+    ),
+    "hyp_last_wins": (
+        lambda s, d: scoring.last_wins(t(s, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id"),
+        "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
+    ),
+    "norm_target_train": (
+        lambda s, d: t(s, d, "documents").select("doc_id", X.train_target(F.col("text")).alias("target")),
+        r"SELECT doc_id, trim(lower(regexp_replace(text, '[^A-Za-z\s.,!?'']+', '', 'g')), ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)) AS target FROM documents",
+    ),
+    "norm_target_decode": (
+        lambda s, d: t(s, d, "documents").select("doc_id", X.decode_target(F.col("text")).alias("target")),
+        r"SELECT doc_id, trim(lower(regexp_replace(text, '[^A-Za-z\s.,!?]+', '', 'g')), ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)) AS target FROM documents",
+    ),
+    "strip_tags": (
+        lambda s, d: t(s, d, "pages").select("page_id", X.strip_tags(F.col("html")).alias("text")),
+        "SELECT page_id, regexp_replace(html, '(?s)<[^>]*>?', '', 'g') AS text FROM pages",
+    ),
+    "clean_marks_ascii": (
+        lambda s, d: t(s, d, "benchmark").select("item_id", X.clean_marks(F.col("text")).alias("text")),
+        r"SELECT item_id, regexp_replace(text, '[\x00-\x1F\x7F!-%(-,./:-@\[-`{-~]', '', 'g') AS text FROM benchmark",
+    ),
+    "token_cluster_ascii": (
+        lambda s, d: t(s, d, "documents").select(F.explode(X.tokens(F.col("text"))).alias("token")).groupBy(X.cluster(F.col("token")).alias("cluster")).agg(F.count("*").alias("n")),
+        f"SELECT CASE WHEN regexp_matches(b, '^[0-9]+$') THEN 'Number' WHEN regexp_matches(b, '^[A-Za-z]+$') THEN 'English' ELSE 'Other' END AS cluster, count(*) AS n FROM (SELECT regexp_replace(x, '[&''@=.\\-_#+;]', '', 'g') AS b FROM (SELECT unnest({_TOK}) AS x FROM documents)) GROUP BY 1",
+    ),
+    "token_union_distinct": (
+        lambda s, d: pairs(s, d).select(F.explode(F.concat("ref", "hyp")).alias("token")).distinct(),
+        f"WITH k AS (SELECT conv_id, turn, role, {_TOK} AS w FROM conversations) SELECT DISTINCT unnest(r.w || h.w) AS token FROM k r JOIN k h ON r.conv_id = h.conv_id AND h.turn = r.turn + 1 WHERE r.role = 'user' AND h.role = 'assistant'",
+    ),
+    "ignore_words_anti": (
+        lambda s, d: t(s, d, "benchmark").select("item_id", F.array_except(X.tokens(F.col("text")), F.array(F.lit("THE"), F.lit("OF"), F.lit("AND"))).alias("k")).select("item_id", F.size("k").alias("kept")),
+        f"SELECT item_id, len(list_distinct(list_filter({_TOK}, lambda x: x NOT IN ('THE', 'OF', 'AND'))))::INTEGER AS kept FROM benchmark",
+    ),
+    "split_words_flatten": (
+        lambda s, d: t(s, d, "benchmark").select("item_id", F.size(F.flatten(F.transform(X.tokens(F.col("text")), lambda x: F.when(x == "THE", F.array(F.lit("T"), F.lit("HE"))).otherwise(F.array(x))))).alias("n")),
+        f"SELECT item_id, len(flatten(list_transform({_TOK}, lambda x: CASE WHEN x = 'THE' THEN ['T', 'HE'] ELSE [x] END)))::INTEGER AS n FROM benchmark",
+    ),
+    "file_ext": (
+        lambda s, d: t(s, d, "pages").select("page_id", X.extension(F.col("url")).alias("ext")),
+        r"SELECT page_id, lower(regexp_extract(url, '(\.[^./]*)$', 1)) AS ext FROM pages",
+    ),
+    "tsv_emit": (
+        lambda s, d: t(s, d, "conversations").select(F.concat_ws("\t", F.concat_ws("-", "conv_id", "turn"), F.replace("text", F.lit("\n"), F.lit(" "))).alias("line")),
+        r"SELECT conv_id || '-' || turn || E'\t' || replace(text, E'\n', ' ') AS line FROM conversations",
+    ),
+    "lang_map_default": (
+        lambda s, d: t(s, d, "documents").select("doc_id", X.language_id(F.col("lang")).alias("lang_id")),
+        f"SELECT doc_id, (CASE lang {_LANG} ELSE 0 END)::INTEGER AS lang_id FROM documents",
+    ),
+    "shard_assignment": (
+        lambda s, d: t(s, d, "events").where(shard(F.col("event_id"), 4, 1, 2, 3)).select("event_id"),
+        "SELECT event_id FROM events WHERE event_id % 8 = 7",
+    ),
+    "duration_filter": (
+        lambda s, d: t(s, d, "events").where(F.col("value").between(0.1, 30)).select("event_id", "value"),
+        "SELECT event_id, value FROM events WHERE value BETWEEN 0.1 AND 30",
+    ),
+    "ctc_collapse": (
+        lambda s, d: sequence.collapse(t(s, d, "events"), "user_id", ["ts", "event_id"], "event_type", "view").select("user_id", F.concat_ws(" ", "ids").alias("ids")),
+        _RUNS + "SELECT user_id, coalesce(string_agg(x, ' ' ORDER BY run) FILTER (WHERE x != 'view'), '') AS ids FROM (SELECT DISTINCT user_id, run, x FROM g) GROUP BY user_id",
+    ),
+    "run_timestamps": (
+        lambda s, d: sequence.timestamps(t(s, d, "events"), "user_id", ["ts", "event_id"], "event_type", "view").select("user_id", F.col("run").cast("long").alias("run"), "symbol", F.round("start", 6).alias("start"), F.round("end", 6).alias("end")),
+        _RUNS + "SELECT user_id, run::BIGINT AS run, any_value(x) AS symbol, round(greatest((min(t) * 60 - 30)::DOUBLE / 1000, 0), 6) AS start, round(least(((max(t) + 1) * 60 - 30)::DOUBLE / 1000, (any_value(n) * 60 - 30)::DOUBLE / 1000), 6) AS \"end\" FROM g WHERE x != 'view' GROUP BY user_id, run",
+    ),
+    "psd_merge": (
+        lambda s, d: sequence.merge_frames(probabilities(s, d).withColumn("u", F.col("vec_id") % 20), "u", "vec_id", "p").select("u", "first", F.col("frames").cast("long").alias("frames"), F.round(F.col("vector")[0], 6).alias("blank")),
+        f"""WITH e AS ({_SOFT}), b AS (SELECT vec_id % 20 AS u, vec_id, p, list_position(p, list_max(p)) - 1 AS id FROM e),
+        c AS (SELECT *, sum(new) OVER (PARTITION BY u ORDER BY vec_id) AS run FROM (SELECT *, (lag(id) OVER (PARTITION BY u ORDER BY vec_id) IS DISTINCT FROM id)::INT AS new FROM b))
+        SELECT u, min(vec_id) AS first, count(*) AS frames, round(avg(p[1]), 6) AS blank FROM c GROUP BY u, run, CASE WHEN id = 0 THEN vec_id ELSE -1 END HAVING avg(p[1]) < 0.9""",
+    ),
+    "frame_stack": (
+        lambda s, d: sequence.stack(t(s, d, "embeddings").withColumn("u", F.col("vec_id") % 20), "u", "vec_id", "embedding", 4).select("u", "step", F.size("stacked").alias("width"), F.round(F.col("stacked")[64].cast("double"), 6).alias("x")),
+        "WITH f AS (SELECT vec_id % 20 AS u, embedding, row_number() OVER (PARTITION BY vec_id % 20 ORDER BY vec_id) - 1 AS t FROM embeddings) SELECT u, t // 4 AS step, sum(len(embedding))::INTEGER AS width, round(max(CASE WHEN t % 4 = 1 THEN embedding[1] END)::DOUBLE, 6) AS x FROM f GROUP BY u, t // 4 HAVING count(*) = 4",
+    ),
+    "placeholder_expand": (
+        lambda s, d: sequence.expand(t(s, d, "lineitem"), "l_orderkey", _ORDER, F.col("l_returnflag") == "R", F.floor("l_quantity")).groupBy("l_orderkey").agg(F.sum("length").alias("slots"), F.max(F.col("start") + F.col("length") - 1).alias("last"), F.sum("start").alias("starts")),
+        f"SELECT l_orderkey, sum(length)::BIGINT AS slots, max(start + length - 1)::BIGINT AS last, sum(start)::BIGINT AS starts FROM ({_EXPAND}) GROUP BY l_orderkey",
+    ),
+    "position_ids": (
+        lambda s, d: sequence.expand(t(s, d, "lineitem"), "l_orderkey", _ORDER, F.col("l_returnflag") == "R", F.floor("l_quantity")).select("l_orderkey", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("position")).groupBy("l_orderkey").agg(F.sum("position").alias("positions"), F.count("*").alias("n")),
+        f"SELECT l_orderkey, sum(position)::BIGINT AS positions, count(*) AS n FROM (SELECT l_orderkey, unnest(range(start::BIGINT, (start + length)::BIGINT)) AS position FROM ({_EXPAND})) GROUP BY l_orderkey",
+    ),
+    "dynamic_batches": (
+        lambda s, d: batching.dynamic_batches(sized(s, d), "user_id", ["ts", "event_id"], "size", 200).select("user_id", "event_id", "size", "batch"),
+        _FOLD + "SELECT user_id, event_id, size, batch FROM r",
+    ),
+    "batch_padding_stats": (
+        lambda s, d: batching.dynamic_batches(sized(s, d), "user_id", ["ts", "event_id"], "size", 200).groupBy("user_id", "batch").agg(F.count("*").alias("n"), F.max("size").alias("longest"), F.sum("size").alias("used")),
+        _FOLD + "SELECT user_id, batch, count(*) AS n, max(size) AS longest, sum(size)::BIGINT AS used FROM r GROUP BY user_id, batch",
+    ),
+    "js_pairs": (
+        lambda s, d: neighbours(s, d).select("vec_id", F.round(posterior.js_distance(F.col("p"), F.col("q")), 6).alias("js")),
+        _NEAR + "SELECT vec_id, round(sqrt(greatest(list_sum(list_transform(list_zip(p, q), lambda z: 0.5 * greatest(z[1], 1e-12) * (ln(greatest(z[1], 1e-12)) - ln((greatest(z[1], 1e-12) + greatest(z[2], 1e-12)) / 2)) + 0.5 * greatest(z[2], 1e-12) * (ln(greatest(z[2], 1e-12)) - ln((greatest(z[1], 1e-12) + greatest(z[2], 1e-12)) / 2)))), 0)), 6) AS js FROM n",
+    ),
+    "sce_pairs": (
+        lambda s, d: neighbours(s, d).select("vec_id", F.round(posterior.cross_entropy(F.col("p"), F.col("q")), 6).alias("sce")),
+        _NEAR + "SELECT vec_id, round(list_sum(list_transform(list_zip(p, q), lambda z: -0.5 * (greatest(z[1], 1e-12) * ln(greatest(z[2], 1e-12)) + greatest(z[2], 1e-12) * ln(greatest(z[1], 1e-12))))), 6) AS sce FROM n",
+    ),
+    "entropy_mean": (
+        lambda s, d: probabilities(s, d).groupBy("label").agg(F.round(F.avg(posterior.entropy(F.col("p"))), 6).alias("entropy")),
+        f"SELECT label, round(avg(list_sum(list_transform(p, lambda x: -greatest(x, 1e-12) * ln(greatest(x, 1e-12))))), 6) AS entropy FROM ({_SOFT}) GROUP BY label",
+    ),
+    "top1_agree": (
+        lambda s, d: neighbours(s, d).agg(F.round(F.avg((posterior.best(F.col("p")) == posterior.best(F.col("q"))).cast("double")), 6).alias("agree")),
+        _NEAR + "SELECT round(avg((list_position(p, list_max(p)) = list_position(q, list_max(q)))::INT), 6) AS agree FROM n",
+    ),
+    "blank_frac": (
+        lambda s, d: probabilities(s, d).groupBy("label").agg(F.round(F.avg((posterior.best(F.col("p")) == 0).cast("double")), 6).alias("blank")),
+        f"SELECT label, round(avg((list_position(p, list_max(p)) = 1)::INT), 6) AS blank FROM ({_SOFT}) GROUP BY label",
+    ),
+    "masked_accuracy": (
+        lambda s, d: metrics.masked_accuracy(t(s, d, "labels").select("quality", F.when(F.col("doc_id") % 5 == 0, -100).otherwise(F.col("toxic")).alias("y")), "quality", "y").select(F.round("accuracy", 6).alias("accuracy")),
+        "SELECT round(avg((quality = toxic)::INT) FILTER (WHERE doc_id % 5 != 0), 6) AS accuracy FROM labels",
+    ),
+    "epoch_ppl": (
+        lambda s, d: metrics.epoch_means(t(s, d, "events").select("event_type", (F.col("value") / 100).alias("loss")), "event_type", "loss").select("event_type", F.round("mean_loss", 6).alias("mean_loss"), F.round("perplexity", 6).alias("perplexity")),
+        "SELECT event_type, round(avg(value / 100), 6) AS mean_loss, round(exp(avg(value / 100)), 6) AS perplexity FROM events GROUP BY event_type",
+    ),
+    "eval_mean_compat": (
+        lambda s, d: metrics.eval_mean(t(s, d, "events"), "value", compat=True).select(F.round("mean_loss", 6).alias("mean_loss")),
+        "SELECT round(sum(value) / (count(value) + 1), 6) AS mean_loss FROM events",
+    ),
+    "running_mean": (
+        lambda s, d: metrics.running_mean(t(s, d, "events"), "user_id", ["ts", "event_id"], "value").select("event_id", F.round(F.col("running_mean") + 1e-9, 6).alias("running_mean")),
+        "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) + 1e-9, 6) AS running_mean FROM events",
+    ),
+    "best_so_far": (
+        lambda s, d: metrics.best_so_far(t(s, d, "events").withColumn("acc", -F.col("value")), "user_id", ["ts", "event_id"], "value", "acc").select("event_id", "save"),
+        "SELECT event_id, value < coalesce(min(value) OVER w, 'inf'::DOUBLE) OR -value > coalesce(max(-value) OVER w, 0) AS save FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
+    ),
+}
+
 
 def queries() -> dict:
-    return {}
+    return {k: q for k, (q, _) in CATALOGUE.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for k, (_, sql) in CATALOGUE.items() if sql}
