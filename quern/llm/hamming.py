@@ -130,7 +130,7 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK,
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
 
 
-ORACLE = """WITH c AS (SELECT vec_id, list_reduce(list_transform(range(64), lambda i: CASE WHEN i < len(embedding) AND coalesce(embedding[i + 1], 0) > 0 AND NOT isnan(embedding[i + 1]) THEN 1::UHUGEINT << i::INT ELSE 0::UHUGEINT END), lambda a, b: a | b)::UBIGINT AS code FROM embeddings),
+ORACLE = """WITH c AS (SELECT vec_id, list_reduce(list_transform(range(64), lambda i: CASE WHEN i < len(embedding) AND coalesce(embedding[i + 1], 0) > 0 AND NOT isnan(embedding[i + 1]) THEN 1::UHUGEINT << i::UHUGEINT ELSE 0::UHUGEINT END), lambda a, b: a | b)::UBIGINT AS code FROM embeddings),
 d AS (SELECT DISTINCT q.vec_id AS query_id, c.vec_id, bit_count(xor(q.code, c.code))::INTEGER AS distance FROM c q JOIN c ON q.vec_id != c.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS rank FROM d)
 SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10"""

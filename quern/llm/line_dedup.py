@@ -192,7 +192,7 @@ def clean(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) ->
     A column n_chars, if there is one, follows the text.
     """
     gone = keep(removals(docs, threshold, words).where("size(removed) > 0").select(F.col("doc_id").alias("_d"), F.col("h").alias("_g"), "removed"), scratch(docs.sparkSession) + "/removals")
-    keyed_schema = T.StructType([*docs.schema.fields, T.StructField("_h", T.LongType())])
+    names, keyed_schema = docs.columns, T.StructType([*docs.schema.fields, T.StructField("_h", T.LongType())])
 
     def key(batches):
         for b in text_batches(batches):
@@ -209,8 +209,8 @@ def clean(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) ->
                 else:
                     stay.append(True)
                 texts.append(t)
-            cols = [pa.array(texts, b.schema.field(c).type) if c == "text" else b.column(c) for c in docs.columns]
-            yield pa.RecordBatch.from_arrays(cols, docs.columns).filter(pa.array(stay, pa.bool_()))
+            cols = [pa.array(texts, b.schema.field(c).type) if c == "text" else b.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array(stay, pa.bool_()))
 
     keyed = docs.mapInArrow(key, keyed_schema)
     joined = keyed.join(gone.withColumnRenamed("removed", "_removed"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")), "left")
