@@ -2,9 +2,10 @@
 
 A line's set is its distinct words.  A line goes if an earlier one (by doc_id, line number and text hash) has the same
 set or a set of Jaccard similarity of the threshold or more.  Words are ordered by rarity; two similar sets must share
-one of their few rarest words (the prefix), at positions and with sizes that still allow the overlap.  Lines that meet
-at a prefix word are first checked against the earliest of them, one candidate for each line and word, which settles
-groups of copies at the cost of their size; only lines that this leaves are checked against all others they met.
+one of their few rarest words (the prefix), at positions and with sizes that still allow the overlap; a bitmap of the
+words' parities bounds the overlap further.  Of the earlier lines that a line meets at a word the earliest few are
+verified first, which settles groups of copies at the cost of their size; only lines that this leaves, with more
+candidates, are checked against all of them.
 
 Rarity comes from the counts of words hashed to a table of fixed size: any common order gives the exact result, the
 counts only keep meetings few.
@@ -15,16 +16,19 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Hashes, alnum_words, keep, scratch, spans, text_batches
+from .shared import Hashes, alnum_words, keep, mix, scratch, spans, text_batches
 
 THRESHOLD, WORDS = 0.8, 5
 #: Counters of the rarity table (4 bytes each), and how many a row carries when tables are added.
 COUNTERS, CHUNK = 1 << 20, 1 << 14
+#: Candidates of a set in a group that are verified first, and sets from which on a word's sets are dealt to several groups.
+FIRST, LARGE = 4, 1 << 22
 
 
 def text_hash(text: str | None) -> int:
@@ -104,43 +108,128 @@ def rarity(sets: DataFrame) -> np.ndarray:
     out = np.zeros(COUNTERS, np.int64)
     for r in rows:
         out[r.k * CHUNK : (r.k + 1) * CHUNK] = np.frombuffer(r.v, "<i8")
-    return np.minimum(out, (1 << 23) - 1).astype(np.int32)
+    return np.minimum(out, (1 << 31) - 1).astype(np.int32)
 
 
-def _postings(sent, threshold: float):
+def _postings(sent, threshold: float, large: int):
+    """Rows (g, doc_id, line, s, n, position, bits) of the sets' prefix words; of a set that repeats in a batch only the first."""
+
     def run(batches):
         counts = sent.value
         for b in batches:
             if not b.num_rows:
                 continue
+            b = b.take(pc.sort_indices(b, [("doc_id", "ascending"), ("line", "ascending")], null_placement="at_start"))
+            b = b.take(pa.array(np.unique(b.column("s").to_numpy(zero_copy_only=False), return_index=True)[1]))
             raw = b.column("items").to_pylist()
             n = np.array([len(x) // 5 for x in raw], np.int64)
             items = _unpack(b"".join(raw))
-            row = np.repeat(np.arange(len(raw)), n)
-            order = np.lexsort((items, counts[(items & np.uint64(COUNTERS - 1)).astype(np.int64)], row))
-            position = np.arange(len(items)) - np.repeat(spans(n)[:-1], n)
+            row, starts = np.repeat(np.arange(len(raw)), n), spans(n)[:-1]
+            bits = np.bitwise_xor.reduceat(np.uint64(1) << (items >> np.uint64(34)), starts)
+            often = counts[(items & np.uint64(COUNTERS - 1)).astype(np.int64)]
+            order = np.lexsort((items, often, row))
+            position = np.arange(len(items)) - np.repeat(starts, n)
             prefix = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
             take = position < prefix[row]
-            word, at = items[order][take].view(np.int64), row[take]
-            cols = {"word": pa.array(word), "position": pa.array(position[take].astype(np.int32))}
+            word, at, often, position = items[order][take], row[take], often[order][take].astype(np.int64), position[take]
+            # a very frequent word is dealt to groups of two blocks each, so that any two of its sets share a group
+            blocks = -(-often // large)
+            parts = [(word, at, position)] if (blocks <= 1).all() else [tuple(x[blocks <= 1] for x in (word, at, position))]
+            for k in np.flatnonzero(blocks > 1).tolist():
+                nb = int(blocks[k])
+                own = int(b.column("s")[int(at[k])].as_py()) % nb
+                i, j = np.minimum(own, np.arange(nb)).astype(np.uint64), np.maximum(own, np.arange(nb)).astype(np.uint64)
+                parts.append((mix(mix(word[k] ^ (i << np.uint64(41)), 1) ^ j, 2), np.full(nb, at[k]), np.full(nb, position[k])))
+            word, at, position = (np.concatenate(x) for x in zip(*parts, strict=True))
+            cols = {"g": pa.array(word.view(np.int64))}
             for c in ("doc_id", "line", "s", "n"):
                 cols[c] = b.column(c).take(pa.array(at))
+            cols |= {"position": pa.array(position.astype(np.int32)), "bits": pa.array(bits[at].view(np.int64))}
             yield pa.RecordBatch.from_pydict(cols)
 
     return run
 
 
-def _allowed(threshold: float, m: str, mp: str):
-    """Size and positional filter of columns n, position against those named."""
-    need = F.ceil(threshold / (1 + threshold) * (F.col("n") + F.col(m)) - 1e-9)
-    rest = 1 + F.least(F.col("n") - F.col("position") - 1, F.col(m) - F.col(mp) - 1)
-    return (F.least("n", m) >= threshold * F.greatest("n", m) - 1e-9) & (rest >= need)
+def _meetings(s, n, position, bits, threshold: float):
+    """Pairs (later, earlier) of the rows of a group, in order of place, that the length, positional and bitmap filters allow.
+
+    The bitmap has a bit for each of 64 classes of words, set where the set's number of them is odd: two sets differ
+    in at least as many words as their bitmaps in bits.
+    """
+    by = np.argsort(n, kind="stable")
+    size, pos, bit = n[by], position[by], bits[by]
+    for a in range(0, len(by), 256):
+        e = min(a + 256, len(by))
+        lo = int(np.searchsorted(size, threshold * size[a] - 1e-9))
+        both = size[a:e, None] + size[None, lo:e]
+        need = np.ceil(threshold / (1 + threshold) * both - 1e-9)
+        ok = np.bitwise_count(bit[a:e, None] ^ bit[None, lo:e]) <= both - 2 * need
+        u, v = np.nonzero(ok)
+        need, u, v = need[u, v], u + a, v + lo
+        rest = 1 + np.minimum(size[u] - pos[u], size[v] - pos[v]) - 1
+        good = (v < u) & (rest >= need) & (np.minimum(size[u], size[v]) >= threshold * np.maximum(size[u], size[v]) - 1e-9)
+        u, v = by[u[good]], by[v[good]]
+        yield np.maximum(u, v), np.minimum(u, v)
+
+
+def _candidates(threshold: float, most: int | None):
+    """From postings sorted by group and place: rows (g, s, t, c) of sets s and earlier candidates t of them.
+
+    With `most`, each set has its earliest `most` candidates in the group, and c says how many there are; without it
+    each set with the flag `open` has all of them.
+    """
+
+    def settle(g, s, n, position, bits, wanted):
+        first = np.sort(np.unique(s, return_index=True)[1])
+        if len(first) < 2:
+            return None
+        s, n, position, bits, wanted = s[first], n[first], position[first], bits[first], wanted[first]
+        u, v = (np.concatenate(x) for x in zip(*_meetings(s, n, position, bits, threshold), strict=True))
+        if most is None:
+            u, v = u[wanted[u]], v[wanted[u]]
+        if not len(u):
+            return None
+        by = np.lexsort((v, u))
+        u, v = u[by], v[by]
+        c = np.bincount(u, minlength=len(s))
+        if most is not None:
+            stay = np.arange(len(u)) - spans(c)[:-1][u] < most
+            u, v = u[stay], v[stay]
+        return np.full(len(u), g), s[u], s[v], c[u]
+
+    def run(batches):
+        held: list = []
 
+        def close(parts):
+            cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            edge = np.concatenate([[0], np.flatnonzero(np.diff(cols[0])) + 1, [len(cols[0])]])
+            found = [settle(cols[0][i], *(x[i:j] for x in cols[1:])) for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True) if j - i > 1]
+            found = [x for x in found if x is not None]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found, strict=True)], ["g", "s", "t", "c"])
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            take = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("g", "s", "n", "position", "bits")}
+            wanted = b.column("open").to_numpy(zero_copy_only=False).astype(bool) if most is None else np.zeros(b.num_rows, bool)
+            cols = [take["g"], take["s"], take["n"].astype(np.int32), take["position"].astype(np.int32), take["bits"].view(np.uint64), wanted]
+            last = int(np.searchsorted(cols[0], cols[0][-1]))
+            if last or (held and held[0][0][0] != cols[0][0]):
+                yield from close([*held, [x[:last] for x in cols]])
+                held = []
+            held.append([x[last:] for x in cols])
+        if held:
+            yield from close(held)
+
+    return run
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, at: str) -> DataFrame:
     """The pairs (s, t) of sets whose similarity is exactly at least the threshold."""
-    wanted = pairs.select("s").union(pairs.select("t")).distinct()
-    items = sets.select("s", "items").join(wanted, "s", "left_semi").dropDuplicates(["s"])
+    pairs = keep(pairs.select("s", "t").distinct(), f"{at}pairs")
+    wanted = keep(pairs.select("s").union(pairs.select("t")).distinct(), f"{at}wanted")
+    items = keep(sets.select("s", "items").join(wanted, "s", "left_semi").dropDuplicates(["s"]), f"{at}items")
 
     def run(batches):
         for b in batches:
@@ -156,7 +245,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.select("s", "t", "x", "y").mapInArrow(run, "s long, t long")
 
 
-def removals(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
+def removals(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, first: int = FIRST, large: int = LARGE) -> DataFrame:
     """doc_id, h (of the text), n_lines and removed (sorted line numbers from 0) for each different (doc_id, text), with `rows` of it.
 
     Lines are cut at line feeds.  Lines of fewer than `words` distinct words stay, as do null and empty texts (which
@@ -166,16 +255,21 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS)
     table = keep(lines(docs, words), f"{at}/lines")
     sets = table.where("line >= 0")
     sent = spark.sparkContext.broadcast(rarity(sets))  # of a fixed size
-    order, place = ["doc_id", "line", "h"], ["doc_id", "line", "s"]  # of lines; of sets, which need no more to be told apart
-    postings = sets.mapInArrow(_postings(sent, threshold), f"word long, position int, doc_id {dict(docs.dtypes)['doc_id']}, line int, s long, n int")
-    first = F.first(F.struct("s", "n", "position")).over(Window.partitionBy("word").orderBy(*place).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    met = postings.withColumn("f", first).where("s != f.s").select("word", "position", *place, "n", F.col("f.s").alias("fs"), F.col("f.n").alias("fn"), F.col("f.position").alias("fp"))
-    met = keep(met, f"{at}/met")
-    early = keep(_verified(met.where(_allowed(threshold, "fn", "fp")).select("s", F.col("fs").alias("t")).distinct(), sets, threshold).select("s").distinct(), f"{at}/early")
-    left = met.join(early, "s", "left_anti")
-    other = met.select("word", F.struct(*place).alias("eo"), F.col("s").alias("t"), F.col("n").alias("en"), F.col("position").alias("ep"))
-    more = left.join(other, "word").where((F.col("eo") < F.struct(*place)) & (F.col("s") != F.col("t")) & _allowed(threshold, "en", "ep")).select("s", "t").distinct()
-    late = _verified(keep(more, f"{at}/more"), sets, threshold).select("s").distinct()
+    order = ["doc_id", "line", "h"]
+    kind = dict(docs.dtypes)["doc_id"]
+    postings = sets.mapInArrow(_postings(sent, threshold, large), f"g long, doc_id {kind}, line int, s long, n int, position int, bits long")
+
+    def meet(rows: DataFrame, most: int | None) -> DataFrame:
+        dealt = rows.repartition("g").sortWithinPartitions("g", "doc_id", "line", "s")
+        return dealt.mapInArrow(_candidates(threshold, most), "g long, s long, t long, c long")
+
+    met = keep(meet(postings, first), f"{at}/met")
+    early = keep(_verified(met, sets, threshold, f"{at}/early-").select("s").distinct(), f"{at}/early")
+    unsettled = keep(met.where(F.col("c") > first).select("g", "s").distinct().join(early, "s", "left_anti"), f"{at}/open")
+    late = early.limit(0)
+    if not unsettled.isEmpty():
+        rows = postings.join(unsettled.select("g").distinct(), "g", "left_semi").join(unsettled.withColumn("open", F.lit(True)), ["g", "s"], "left")
+        late = _verified(keep(meet(rows.withColumn("open", F.coalesce("open", F.lit(False))), None), f"{at}/more"), sets, threshold, f"{at}/late-").select("s")
     gone = keep(early.unionByName(late).distinct(), f"{at}/gone").withColumn("gone", F.lit(True))
     own = sets.select(*order, "s")
     begin = own.groupBy("s").agg(F.min(F.struct(*order)).alias("first"))

@@ -160,10 +160,19 @@ def test_line_dedup(spark, docs, empty):
                 want[None if d < 0 else d, h].append(k)
             seen.append(w)
     assert got == want and any(got.values())
+    for first, large in ((1, 1 << 22), (1, 3)):  # sets with more candidates than are tried first, and words dealt to several groups
+        assert {(r.doc_id, r.h): list(r.removed) for r in line_dedup.removals(docs, first=first, large=large).collect()} == want
     out = line_dedup.clean(docs)
     assert out.columns == docs.columns and line_dedup.removals(empty).count() == 0
 
 
+def test_line_that_comes_back(spark):
+    a, b = "one two three four five six seven eight nine ten", "one two three four five six seven eight nine eleven"
+    rows = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
+    got = {r.doc_id: list(r.removed) for r in line_dedup.removals(rows).collect()}
+    assert got == {1: [], 2: [0], 3: [0]}  # what is like a later line only stays
+
+
 def test_jaccard_join(spark, docs, empty):
     got = jaccard_join.join(docs).collect()
     rows = docs.collect()
