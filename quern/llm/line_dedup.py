@@ -252,7 +252,7 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS,
     have no lines).  Rows that repeat doc_id and text are one document.  Null ids come before all others.
     """
     spark, at = docs.sparkSession, scratch(docs.sparkSession)
-    table = keep(lines(docs, words), f"{at}/lines")
+    table = keep(lines(docs, words), f"{at}/lines", "zstd")
     sets = table.where("line >= 0")
     sent = spark.sparkContext.broadcast(rarity(sets))  # of a fixed size
     order = ["doc_id", "line", "h"]
@@ -264,7 +264,11 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS,
         return dealt.mapInArrow(_candidates(threshold, most), "g long, s long, t long, c long")
 
     met = keep(meet(postings, first), f"{at}/met")
-    early = keep(_verified(met, sets, threshold, f"{at}/early-").select("s").distinct(), f"{at}/early")
+    # one pair a set first, with the candidate it met at most words; the others only where that one is not similar
+    likely = met.groupBy("s", "t").agg(F.count("*").alias("k")).groupBy("s").agg(F.max_by("t", F.struct("k", "t")).alias("t"))
+    likely = keep(_verified(likely, sets, threshold, f"{at}/likely-").select("s"), f"{at}/likely")
+    others = _verified(met.join(likely, "s", "left_anti"), sets, threshold, f"{at}/early-").select("s")
+    early = keep(likely.unionByName(others).distinct(), f"{at}/early")
     unsettled = keep(met.where(F.col("c") > first).select("g", "s").distinct().join(early, "s", "left_anti"), f"{at}/open")
     late = early.limit(0)
     if not unsettled.isEmpty():

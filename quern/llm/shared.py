@@ -49,9 +49,9 @@ def drop(spark: SparkSession, *paths: str) -> None:
         _remove(spark, path)
 
 
-def keep(df: DataFrame, path: str) -> DataFrame:
+def keep(df: DataFrame, path: str, codec: str = "snappy") -> DataFrame:
     """Writes df to path and reads it again: cuts the lineage in a way that survives lost executors."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
