@@ -6,10 +6,10 @@ pointers to each node's successors, the successors themselves made monotone by a
 before, both in Elias-Fano form, and 16-bit codes of the smoothed probabilities and of the back-off masses.  A lookup
 goes from a context's node through its pointers to a successor search in its own range.
 
-Probabilities are absolute discounting, interpolated down to (c + 1) / (N + V + 1) for words; n-grams of two and three
-words that occur once are not stored, their mass backs off, so each context's probabilities still sum to 1.  A bigram
-can occur twice only if both words do, a trigram only if both its bigrams do: only those are counted, in sorted packed
-blocks that are dealt by hash, so neither a hot word nor the number of n-grams is a burden to one task.
+Probabilities are absolute discounting, interpolated down to (c + 1) / (N + V + 1) for words.  With `least` = 1 every
+n-gram that was seen is stored; with 2 those of two and three words that occur once are not, their mass backs off, so
+each context's probabilities still sum to 1.  N-grams are counted in sorted packed blocks that are dealt by hash, so
+neither a hot word nor the number of n-grams is a burden to one task.
 
 Files lie in the folder that all executors share; tasks map them and hold little of them in memory.
 """
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .elias_fano import EliasFano, encode
-from .shared import Hashes, keep, mapped, mix, publish, scratch, space_words, spans, text_batches
+from .shared import Hashes, drop, keep, mapped, mix, publish, scratch, space_words, spans, text_batches
 
 DISCOUNT = 0.75
 #: Token n-grams to a block of the counts, words to a vocabulary file, about.
@@ -35,6 +35,7 @@ PART, SHARD = 3_000_000, 2_000_000
 LOWEST = 24.0
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end of text "))
 _CODEC = "zstd"
+_PACKED = "part int, n long, raw binary"
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -228,22 +229,39 @@ def _contexts(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _blocks(keys: np.ndarray, parts: int):
     """Rows (part, packed): sorted distinct keys with their counts, by hash of the key."""
     k, c = np.unique(keys, return_counts=True)
-    part = (mix(k, 9) % np.uint64(parts)).astype(np.int64)
+    yield from _split(k, c, (mix(k, 9) % np.uint64(parts)).astype(np.int64))
+
+
+def _split(k: np.ndarray, c: np.ndarray, part: np.ndarray):
+    """Rows (part, n, packed) of sorted keys and their counts, by the given parts."""
     for p in np.unique(part).tolist():
         own = part == p
         raw = np.diff(k[own], prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() + c[own].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
         yield p, int(own.sum()), pa.compress(raw, _CODEC, asbytes=True)
 
 
-def _tally(texts: DataFrame, keys_of, parts: int, least: int = 2) -> DataFrame:
-    """k and c for keys (u64 as long) that occur at least `least` times in texts; keys_of(texts) gives an array of them."""
+def _unpacked(n: int, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    x = np.frombuffer(pa.decompress(raw, 12 * n, _CODEC, asbytes=True), np.uint8)
+    k = np.cumsum(np.ascontiguousarray(x[: 8 * n].reshape(8, n).T).view("<u8").reshape(-1), dtype=np.uint64)
+    return k, np.ascontiguousarray(x[8 * n :].reshape(4, n).T).view("<u4").reshape(-1)
+
+
+def _block_batch(rows: list) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * 3
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["part", "n", "raw"])
+
+
+def _tally(texts: DataFrame, keys_of, parts: int, least: int = 2, packed: bool = False) -> DataFrame:
+    """k and c for keys (u64 as long) that occur at least `least` times in texts; keys_of(texts) gives an array of them.
+
+    With `packed`, rows (part, n, raw) of blocks of them instead, whose keys are all different.
+    """
 
     def run(batches):
         held, n = [], 0
 
         def out():
-            cols = list(zip(*_blocks(np.concatenate(held), parts), strict=True)) or [[]] * 3
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["part", "n", "raw"])
+            return _block_batch(list(_blocks(np.concatenate(held), parts)))
 
         for b in text_batches(batches):
             held.append(keys_of(b.column("text").to_pylist()))
@@ -257,18 +275,21 @@ def _tally(texts: DataFrame, keys_of, parts: int, least: int = 2) -> DataFrame:
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         ks, cs = [], []
         for n, raw in zip(pdf["n"], pdf["raw"], strict=True):
-            x = np.frombuffer(pa.decompress(raw, 12 * n, _CODEC, asbytes=True), np.uint8)
-            ks.append(np.cumsum(np.ascontiguousarray(x[: 8 * n].reshape(8, n).T).view("<u8").reshape(-1), dtype=np.uint64))
-            cs.append(np.ascontiguousarray(x[8 * n :].reshape(4, n).T).view("<u4").reshape(-1))
+            k, c = _unpacked(n, raw)
+            ks.append(k)
+            cs.append(c)
         k, c = np.concatenate(ks), np.concatenate(cs)
         order = np.argsort(k, kind="stable")
         k, c = k[order], c[order].astype(np.int64)
         first = np.flatnonzero(np.diff(k, prepend=~k[:1]))
         c = np.add.reduceat(c, first)
         ok = c >= least
+        if packed:
+            rows = list(_split(k[first][ok], c[ok], np.full(int(ok.sum()), pdf["part"].iloc[0])))
+            return pd.DataFrame(rows, columns=["part", "n", "raw"])
         return pd.DataFrame({"k": k[first][ok].view(np.int64), "c": c[ok]})
 
-    return texts.mapInArrow(run, "part int, n long, raw binary").groupBy("part").applyInPandas(merge, "k long, c long")
+    return texts.mapInArrow(run, _PACKED).groupBy("part").applyInPandas(merge, _PACKED if packed else "k long, c long")
 
 
 def _order(col: str) -> Column:
@@ -302,8 +323,39 @@ def _each(rows: DataFrame, key: str, sort: list, work, shards: int) -> dict[int,
     return {r.k: r.n for r in made}
 
 
-def train(docs: DataFrame, folder: str) -> Files | None:
-    """Counts the n-grams of docs (text) and writes the model's files; None if there are no texts."""
+def _each_packed(blocks: DataFrame, shard_of, work, shards: int) -> dict[int, int]:
+    """As _each, from packed blocks whose keys shard_of(keys) deals to shards: work(shard, keys in order, counts)."""
+
+    def deal(batches):
+        for b in batches:
+            for n, raw in zip(b.column("n").to_pylist(), b.column("raw").to_pylist(), strict=True):
+                k, c = _unpacked(n, raw)
+                yield _block_batch(list(_split(k, c, shard_of(k))))
+
+    def close(shard, held):
+        k, c = (np.concatenate(x) for x in zip(*(_unpacked(*x) for x in held), strict=True))
+        order = np.argsort(k)
+        return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([work(shard, k[order], c[order].astype(np.float64))])], ["k", "n"])
+
+    def run(batches):
+        shard, held = -1, []
+        for b in batches:
+            for p, n, raw in zip(*(b.column(x).to_pylist() for x in ("part", "n", "raw")), strict=True):
+                if held and p != shard:
+                    yield close(shard, held)
+                    held = []
+                shard = p
+                held.append((n, raw))
+        if held:
+            yield close(shard, held)
+
+    made = blocks.mapInArrow(deal, _PACKED).repartition(shards, "part").sortWithinPartitions("part").mapInArrow(run, "k long, n long").collect()
+    return {r.k: r.n for r in made}
+
+
+def train(docs: DataFrame, folder: str, least: int = 2) -> Files | None:
+    """Counts the n-grams of docs (text) and writes the model's files, with bigrams and trigrams that occur at least
+    `least` times; None if there are no texts."""
     texts = docs.select(F.col("text").cast("string"))
 
     def words_of():
@@ -338,31 +390,31 @@ def train(docs: DataFrame, folder: str) -> Files | None:
         def keys(batch):
             ids, n = _known(batch, hashes, trie)
             u, _ = _contexts(ids, n)
-            c = trie.counts(ids)
+            if least < 2:
+                return (u.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64)
+            c = trie.counts(ids)  # a bigram can occur twice only if both words do
             often = (c >= 2) & (np.where(u == 0, 2, np.concatenate([[2], c[:-1]])) >= 2)
             return (u[often].astype(np.uint64) << np.uint64(32)) | ids[often].astype(np.uint64)
 
         return keys
 
-    pairs = keep(_tally(texts, _Lazy(bigrams_of), parts), f"{folder}/bigrams")
-    f.shards = max(1, -(-pairs.count() // SHARD))
+    pairs = keep(_tally(texts, _Lazy(bigrams_of), parts, least, packed=True), f"{folder}/bigrams")
+    f.shards = max(1, -(-int(pairs.agg(F.sum("n")).first()[0] or 0) // SHARD))
 
-    def second(k: int, d: pd.DataFrame) -> int:
+    def second(k: int, key: np.ndarray, c: np.ndarray) -> int:
         trie = Trie(f)
-        key, c = d["k"].to_numpy(np.int64).view(np.uint64), d["c"].to_numpy(np.float64)
         u, v = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
         start, end = -(-k * (f.words + 2) // f.shards), -(-(k + 1) * (f.words + 2) // f.shards)
         context = np.maximum(1, trie.counts(np.arange(start, end))).astype(np.float64)
-        _level(f"{folder}/level-2-{k}", u - start, v, c, context, 10 ** trie.one(v))
-        return len(d)
+        _level(f"{folder}/level-2-{k}", u - start, v, c, context, 10 ** trie.one(v), nodes=True)
+        return len(key)
 
-    packed_shard = ((F.shiftrightunsigned("k", 32) * f.shards) / F.lit(f.words + 2)).cast("int") if f.shards > 1 else F.lit(0)
-    by = F.floor(F.expr(f"(shiftrightunsigned(k, 32) * {f.shards}L) div {f.words + 2}L")).cast("int") if f.shards > 1 else packed_shard
-    made = _each(pairs.withColumn("p", by), "p", [_order("k")], second, f.shards)
+    made = _each_packed(pairs, lambda k: ((k >> np.uint64(32)).astype(np.int64) * f.shards) // (f.words + 2), second, f.shards)
     for k in range(f.shards):
         if k not in made:
-            second(k, pd.DataFrame({"k": np.zeros(0, np.int64), "c": np.zeros(0, np.int64)}))
+            second(k, np.zeros(0, np.uint64), np.zeros(0))
             made[k] = 0
+    drop(docs.sparkSession, f"{folder}/bigrams")
     f.levels = 2
     first = spans(np.array([made[k] for k in range(f.shards)], np.int64))
 
@@ -381,23 +433,20 @@ def train(docs: DataFrame, folder: str) -> Files | None:
 
         return keys
 
-    triples = keep(_tally(texts, _Lazy(trigrams_of), parts), f"{folder}/trigrams")
+    triples = _tally(texts, _Lazy(trigrams_of), parts, least, packed=True)
 
-    def third(k: int, d: pd.DataFrame) -> int:
+    def third(k: int, key: np.ndarray, c: np.ndarray) -> int:
         trie = Trie(f)
-        key, c = d["k"].to_numpy(np.int64).view(np.uint64), d["c"].to_numpy(np.float64)
         node, w = (key >> np.uint64(32)).astype(np.int64) - first[k], (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
         x = trie.file(f"level-2-{k}")
         v = (x[11][node].astype(np.int64)) if len(node) else node
         _level(f"{folder}/level-3-{k}", node, w, c, x[10].astype(np.float64), 10 ** trie.two(v, w))
-        return len(d)
+        return len(key)
 
-    edges = F.array(*[F.lit(int(e)) for e in first[1:-1]]) if f.shards > 1 else None
-    by = F.size(F.filter(edges, lambda e: e <= F.shiftrightunsigned("k", 32))) if f.shards > 1 else F.lit(0)
-    made = _each(triples.withColumn("p", by), "p", [_order("k")], third, f.shards)
+    made = _each_packed(triples, lambda k: np.searchsorted(first[1:-1], (k >> np.uint64(32)).astype(np.int64), "right"), third, f.shards)
     for k in range(f.shards):
         if k not in made:
-            third(k, pd.DataFrame({"k": np.zeros(0, np.int64), "c": np.zeros(0, np.int64)}))
+            third(k, np.zeros(0, np.uint64), np.zeros(0))
     f.levels = 3
     return f
 
@@ -422,10 +471,11 @@ def _known(batch: list[str | None], hashes: Hashes, trie: Trie) -> tuple[np.ndar
     return trie.ids(every)[back], n
 
 
-def _level(path: str, node: np.ndarray, w: np.ndarray, c: np.ndarray, context: np.ndarray, lower: np.ndarray) -> None:
+def _level(path: str, node: np.ndarray, w: np.ndarray, c: np.ndarray, context: np.ndarray, lower: np.ndarray, nodes: bool = False) -> None:
     """Writes a level's shard: rows are sorted by node, then word; context: each node's count; lower: P(w) one order down.
 
-    Parts: pointers and successors (four arrays each), probabilities, back-off masses of nodes, counts and words.
+    Parts: pointers and successors (four arrays each), probabilities, back-off masses of nodes and, if a level follows
+    (`nodes`), counts and words.
     """
     size = np.bincount(node, minlength=len(context))
     ends = np.cumsum(size)
@@ -435,7 +485,9 @@ def _level(path: str, node: np.ndarray, w: np.ndarray, c: np.ndarray, context: n
     last = np.zeros(len(context), np.int64)  # the largest successor of each node
     last[node] = w
     base = np.concatenate([[0], np.cumsum(last)[:-1]]) if len(last) else last
-    level = [*encode(np.concatenate([[0], ends])), *encode(base[node] + w), quantise(p), quantise(rest), c.astype(np.uint32), w.astype(np.uint32)]
+    level = [*encode(np.concatenate([[0], ends])), *encode(base[node] + w), quantise(p), quantise(rest)]
+    if nodes:
+        level += [c.astype(np.uint32), w.astype(np.uint32)]
     save(path, level)
 
 
@@ -468,12 +520,12 @@ def score(docs: DataFrame, files: Files | None) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def fit_and_score(docs: DataFrame, held_out: Column) -> DataFrame:
+def fit_and_score(docs: DataFrame, held_out: Column, least: int = 2) -> DataFrame:
     """Learns from the rows of docs where held_out is false and scores all: doc_id, held_out and the columns of score().
 
     Null and empty texts are one end token, repeated rows count and are scored each, other columns are ignored; with
     no row to learn from, N and V are 0 and all scores 0, and an empty table gives an empty result.
     """
     rows = docs.select("doc_id", "text")
-    files = train(rows.where(~held_out), scratch(docs.sparkSession))
+    files = train(rows.where(~held_out), scratch(docs.sparkSession), least)
     return score(rows, files).withColumn("held_out", held_out).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model.fit_and_score(table(spark, sf_dir, "documents"), held_out(7, 2))
+    return language_model.fit_and_score(table(spark, sf_dir, "documents"), held_out(7, 2), least=1)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
