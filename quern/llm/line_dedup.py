@@ -68,6 +68,8 @@ def lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
             doc, number = np.repeat(np.arange(len(texts)), per), np.arange(len(own)) - np.repeat(spans(per)[:-1], per)
             big = np.flatnonzero(size >= words)
             items = [raw[i:j] for i, j in zip(at[big].tolist(), at[big + 1].tolist(), strict=True)]
+            # few words go by their bytes: 40 bits do not tell the many single words of a corpus apart
+            names = [x if len(x) >= 5 * WORDS else b" ".join(sorted(set(own[k]))) for k, x in zip(big.tolist(), items, strict=True)]
             th = np.array([text_hash(t) for t in texts], np.int64)
             whole = np.arange(len(texts))
             yield pa.RecordBatch.from_arrays(
@@ -75,7 +77,7 @@ def lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     b.column("doc_id").take(pa.array(np.concatenate([whole, doc[big]]))),
                     pa.array(np.concatenate([th, th[doc[big]]])),
                     pa.array(np.concatenate([np.full(len(texts), -1), number[big]]).astype(np.int32)),
-                    pa.array([None] * len(texts) + [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in items], pa.int64()),
+                    pa.array([None] * len(texts) + [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in names], pa.int64()),
                     pa.array(np.concatenate([per, size[big]]).astype(np.int32)),
                     pa.array([None] * len(texts) + items, pa.binary()),
                 ],
@@ -253,7 +255,9 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS,
     """
     spark, at = docs.sparkSession, scratch(docs.sparkSession)
     table = keep(lines(docs, words), f"{at}/lines", "zstd")
-    sets = table.where("line >= 0")
+    own = table.where("line >= 0")
+    # a set that one more word makes too different is similar to its equals only, which `s` finds
+    sets = own.where(F.col("n") >= F.lit(threshold) * (F.col("n") + 1) - 1e-9)
     sent = spark.sparkContext.broadcast(rarity(sets))  # of a fixed size
     order = ["doc_id", "line", "h"]
     kind = dict(docs.dtypes)["doc_id"]
@@ -275,7 +279,7 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS,
         rows = postings.join(unsettled.select("g").distinct(), "g", "left_semi").join(unsettled.withColumn("open", F.lit(True)), ["g", "s"], "left")
         late = _verified(keep(meet(rows.withColumn("open", F.coalesce("open", F.lit(False))), None), f"{at}/more"), sets, threshold, f"{at}/late-").select("s")
     gone = keep(early.unionByName(late).distinct(), f"{at}/gone").withColumn("gone", F.lit(True))
-    own = sets.select(*order, "s")
+    own = own.select(*order, "s")
     begin = own.groupBy("s").agg(F.min(F.struct(*order)).alias("first"))
     judged = own.join(begin.join(gone, "s", "left"), "s")
     dropped = judged.where(F.col("gone") | ~F.struct(*order).eqNullSafe(F.col("first"))).groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("line")).alias("removed"))

@@ -36,7 +36,7 @@ def op4_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.removals(table(spark, sf_dir, "documents"))
+    found = line_dedup.removals(table(spark, sf_dir, "documents"), words=1)
     each = found.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
     return each.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed")
 
