@@ -5,7 +5,7 @@ documents, are 0.  Its suffixes that could match are sorted by their first `wind
 depth; words are packed several to an integer), and every benchmark suffix is found in it by binary search.  From each
 interval come the places of the window, and extending them gives the longest verbatim matches.
 
-The benchmark goes to the executors in blocks of a bounded number of words, one in memory at a time; the documents
+The benchmark goes to the executors as files of a bounded number of words, one in memory at a time; the documents
 are read once, and nothing of them is shuffled.
 """
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import alnum_words, spans, text_batches
+from .shared import alnum_words, filesystem, publish, scratch, spans, text_batches
 
 WINDOW = 10
 #: Benchmark words in a block: what an executor holds at a time.
@@ -111,15 +111,17 @@ def longest(ids: np.ndarray, test: Test, which: np.ndarray, at: np.ndarray) -> n
 
 
 class Tests:
-    """Blocks of the benchmark on the executors; in a task, one is unpacked at a time."""
+    """Blocks of the benchmark, files in the shared folder; in a task, one is unpacked at a time."""
 
     def __init__(self, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS):
         spark = benchmark.sparkSession
         rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.col("text").cast("string").alias("t"))
-        self.sent, block, size = [], [], 0
+        self.sent, block, size, folder = [], [], 0, scratch(spark)
 
         def send():
-            self.sent.append(spark.sparkContext.broadcast(zlib.compress(pickle.dumps(Test(block, window)))))
+            path = f"{folder}/block-{len(self.sent):06d}"
+            publish(path, lambda out: out.write(zlib.compress(pickle.dumps(Test(block, window)))))
+            self.sent.append(path)
 
         for r in rows.toLocalIterator():
             words = alnum_words(r.t)
@@ -138,12 +140,17 @@ class Tests:
 
     def __iter__(self):
         if len(self.sent) == 1:
-            self.one = self.one or pickle.loads(zlib.decompress(self.sent[0].value))
+            self.one = self.one or self.block(self.sent[0])
             yield self.one
             return
-        for s in self.sent:
-            yield pickle.loads(zlib.decompress(s.value))
-            s.unpersist()
+        for path in self.sent:
+            yield self.block(path)
+
+    @staticmethod
+    def block(path: str) -> Test:
+        fs, where = filesystem(path)
+        with fs.open_input_stream(where) as f:
+            return pickle.loads(zlib.decompress(f.read()))
 
     def look(self, texts: list[str | None], places: bool = False):
         """For each text: (words, hit words, item ids in order, longest match); with places, a list of matches as well.
