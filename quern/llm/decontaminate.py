@@ -3,7 +3,8 @@
 Each slice of documents becomes one sequence of word numbers in which words that no benchmark item has, and the ends of
 documents, are 0.  Its suffixes that could match are sorted by their first `window` words (a suffix array to that
 depth; words are packed several to an integer), and every benchmark suffix is found in it by binary search.  From each
-interval come the places of the window, and extending them gives the longest verbatim matches.
+interval come the places of the window, and extending them along every place of it in the items gives the longest
+verbatim matches.
 
 The benchmark goes to the executors as files of a bounded number of words, one in memory at a time; the documents
 are read once, and nothing of them is shuffled.
@@ -36,15 +37,20 @@ class Test:
         self.names = sorted({i for i, _ in items})
         number = {n: k for k, n in enumerate(self.names)}
         own: dict[tuple[int, ...], set[int]] = {}
-        self.starts: list[tuple[int, int]] = []  # of each window's first item: (row, offset), for longest matches
-        self.rows = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64) for _, words in items]
-        for row, ((name, _), ids) in enumerate(zip(items, self.rows, strict=True)):
+        places: dict[tuple[int, ...], list[int]] = {}  # of each window: all its places in `flat`
+        rows = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64) for _, words in items]
+        begin = spans(np.array([len(ids) + 1 for ids in rows], np.int64)) + 1
+        self.flat = np.full(int(begin[-1]), -1, np.int64)  # all items, with -1 before, between and after them
+        for row, ((name, _), ids) in enumerate(zip(items, rows, strict=True)):
+            self.flat[begin[row] : begin[row] + len(ids)] = ids
             n = min(window, len(ids))
             for k in range(len(ids) - n + 1 if n else 0):
                 key = tuple(ids[k : k + n].tolist())
-                if key not in own:
-                    self.starts.append((row, k))
                 own.setdefault(key, set()).add(number[name])
+                places.setdefault(key, []).append(int(begin[row]) + k)
+        self.begin, self.row_names = begin[:-1], [name for name, _ in items]
+        self.place_at = spans(np.array([len(v) for v in places.values()], np.int64))
+        self.places = np.array([x for v in places.values() for x in v], np.int64)
         self.lengths = np.array([len(k) for k in own], np.int64)
         self.least = int(self.lengths.min()) if len(own) else 0
         self.items = [np.array(sorted(v), np.int64) for v in own.values()]
@@ -99,15 +105,25 @@ def occurrences(ids: np.ndarray, test: Test) -> tuple[np.ndarray, np.ndarray]:
     return which, at[np.repeat(hi - np.cumsum(n), n) + np.arange(int(n.sum()))]
 
 
-def longest(ids: np.ndarray, test: Test, which: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """How many words match from each place on, beyond the window if the item goes on."""
-    out = test.lengths[which].copy() if len(which) else np.zeros(0, np.int64)
-    rows = [test.rows[r][k:] for r, k in test.starts]
-    for i, (w, p) in enumerate(zip(which.tolist(), at.tolist(), strict=True)):
-        item, text = rows[w], ids[p : p + len(rows[w])]
-        same = item[: len(text)] == text
-        out[i] = len(same) if same.all() else int(same.argmin())
-    return out
+def longest(ids: np.ndarray, test: Test, which: np.ndarray, at: np.ndarray, most: int = 1_000_000):
+    """Left-maximal matches of every place of the windows in the items, some at a time: (occurrence, place, words that match from there on)."""
+    n = np.diff(test.place_at)[which]
+    total, text = np.cumsum(n), np.append(ids, 0)
+    first = 0
+    while first < len(which):
+        last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + most, "right")))
+        own = n[first:last]
+        i = np.repeat(np.arange(first, last), own)
+        place = test.places[np.repeat(test.place_at[which[first:last]] + own - np.cumsum(own), own) + np.arange(int(own.sum()))]
+        left = np.where(at[i] > 0, text[at[i] - 1], 0) != test.flat[place - 1]  # neither 0 nor -1 is a word of both
+        i, place = i[left], place[left]
+        size = test.lengths[which[i]].copy()
+        go = np.arange(len(i))
+        while len(go):
+            go = go[text[at[i[go]] + size[go]] == test.flat[place[go] + size[go]]]
+            size[go] += 1
+        yield i, place, size
+        first = last
 
 
 class Tests:
@@ -177,17 +193,16 @@ class Tests:
             doc = np.searchsorted(starts, at, "right") - 1
             for d, w in np.unique(np.stack([doc, which], 1), axis=0).tolist():
                 items[d].update(test.names[i] for i in test.items[w])
-            left = np.array([k == 0 or p == 0 or ids[p - 1] != test.rows[r][k - 1] for p, (r, k) in zip(at.tolist(), (test.starts[w] for w in which.tolist()), strict=True)])
-            which, at, doc = which[left], at[left], doc[left]
-            length = longest(ids, test, which, at)
-            np.maximum.at(most, doc, length)
-            if places:
-                for w, p, d, m in zip(which.tolist(), at.tolist(), doc.tolist(), length.tolist(), strict=True):
-                    found += [(d, p - int(starts[d]), test.names[i], test.starts[w][1], m) for i in test.items[w]]
+            for i, place, length in longest(ids, test, which, at):
+                np.maximum.at(most, doc[i], length)
+                if places:
+                    row = np.searchsorted(test.begin, place, "right") - 1
+                    for d, p, k, e, m in zip(doc[i].tolist(), (at[i] - starts[doc[i]]).tolist(), row.tolist(), (place - test.begin[row]).tolist(), length.tolist(), strict=True):
+                        found.append((d, p, test.row_names[k], e, m))
         covered = np.cumsum(hit)[:-1] > 0
         hits = [int(covered[a : a + k].sum()) for a, k in zip(starts.tolist(), n.tolist(), strict=False)]
         out = list(zip(n.tolist(), hits, [sorted(x) for x in items], most.tolist(), strict=True))
-        return (out, found) if places else out
+        return (out, sorted(set(found))) if places else out
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
