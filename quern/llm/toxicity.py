@@ -29,13 +29,15 @@ GAIN = 300.0
 PADDING = 10
 #: Adagrad starts as if it had seen so many mean squared gradients.
 STIFF = 20.0
+#: Bytes of the longest words whose log odds are remembered; longer ones, such as text without spaces, seldom come back.
+LONG = 256
 #: Updates that a small sample gets at least.
 UPDATES = 300
 
 
 def subwords(word: bytes, buckets: int = BUCKETS) -> list[int]:
     """Buckets of the word and of its n-grams of characters, with marks at its ends."""
-    w = f"<{word.decode('utf-8', 'replace')[:64]}>"
+    w = f"<{word.decode('utf-8', 'replace')}>"
     grams = {w[i : i + n] for n in SIZES for i in range(len(w) - n + 1)}
     return [xxhash.xxh3_64_intdigest(g) % buckets for g in sorted(grams | {w, f"={word!r}"})]
 
@@ -60,7 +62,9 @@ class Words(dict):
     def __missing__(self, word: bytes) -> float:
         if len(self) > 600_000:
             self.clear()
-        self[word] = v = self.model.word(word)
+        v = self.model.word(word)
+        if len(word) <= LONG:
+            self[word] = v
         return v
 
 
