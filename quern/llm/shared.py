@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import os
 import tempfile
 import uuid
@@ -49,6 +50,23 @@ def drop(spark: SparkSession, *paths: str) -> None:
         _remove(spark, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Has Spark remove the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def fresh(taken, *names: str) -> list[str]:
+    """The names, lengthened until none of them is taken (Spark ignores case)."""
+    taken, out = {x.lower() for x in taken}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def keep(df: DataFrame, path: str, codec: str = "snappy") -> DataFrame:
     """Writes df to path and reads it again: cuts the lineage in a way that survives lost executors."""
     df.write.mode("overwrite").option("compression", codec).parquet(path)
@@ -163,3 +181,182 @@ def text_batches(batches, chars: int = 4_000_000):
             end = max(at + 1, end)
             yield batch.slice(at, end - at)
             at = end
+
+
+#: Bytes whose words are hashed at a time.
+_CHUNK = 1 << 17
+
+
+def _values(word: bytes) -> np.ndarray:
+    """An odd number for each byte that belongs to a word, the same for both cases of a letter; 0 for others."""
+    each = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.array([each[c + 32 if 65 <= c <= 90 else c] if word[c] else 0 for c in range(256)], np.uint64)
+
+
+#: Words of letters and digits (with everything beyond ASCII), and words between ASCII white space.
+ALNUM = _values(bytes(c >= 128 or chr(c).isalnum() for c in range(256)))
+SPACE = _values(bytes(c != 32 and not 9 <= c <= 13 for c in range(256)))
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """The powers of an odd base and of its inverse modulo 2 ** 64, at least n."""
+    if len(_powers[0]) < n:
+        n = max(n, _CHUNK)
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            x = np.full(n, base, np.uint64)
+            x[0] = 1
+            _powers[k] = np.multiply.accumulate(x)
+    return _powers
+
+
+def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts of an Arrow column one after another, and where each starts and the last ends; nulls are empty."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    column = pc.fill_null(column, "").cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    cuts = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    every = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return every[cuts[0] : cuts[-1]], cuts - cuts[0]
+
+
+def word_hashes(data: np.ndarray, cuts: np.ndarray, values: np.ndarray = ALNUM) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word starts and its 64-bit hash, A-Z lower-cased; no word crosses a cut.
+
+    A word's hash is a polynomial in its bytes' values: one pass of sums over all bytes, without a step a word.
+    """
+    starts, hashes, at, n = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0, len(data)
+    edges = np.zeros(n + 1, bool)
+    edges[cuts] = True
+    while at < n:
+        end = min(n, at + _CHUNK)
+        while end < n:  # to the end of the word
+            more = np.flatnonzero((values[data[end : end + 4096]] == 0) | edges[end : min(n, end + 4096)])
+            if len(more):
+                end += int(more[0])
+                break
+            end = min(n, end + 4096)
+        v = values[data[at:end]]
+        word = v != 0
+        first = word.copy()
+        first[1:] &= ~word[:-1] | edges[at + 1 : end]
+        first = np.flatnonzero(first)
+        if len(first):
+            up, down = powers(len(v))
+            hashes.append(mix(np.add.reduceat(v * up[: len(v)], first) * down[first], 6))
+            starts.append(first + at)
+        at = end
+    return np.concatenate(starts), np.concatenate(hashes)
+
+
+#: Bits of a word's hash that tell words within a group apart, and groups that are sorted at a time.
+WORD_BITS, GROUPS = 44, 1 << 20
+
+
+def distinct(of: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of a group's number (ascending from 0) and the leading WORD_BITS of a hash, in order."""
+    parts, low, last = [], np.uint64(64 - WORD_BITS), int(of[-1]) + 1 if len(of) else 0
+    for base in range(0, last, GROUPS):
+        i, j = np.searchsorted(of, [base, base + GROUPS])
+        key = np.sort(((of[i:j] - base).astype(np.uint64) << np.uint64(WORD_BITS)) | (h[i:j] >> low))
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        key = key[new]
+        parts.append(((key >> np.uint64(WORD_BITS)).astype(np.int64) + base, key & np.uint64((1 << WORD_BITS) - 1)))
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+class Table:
+    """The rows (k, salt, v) that hold a table of fixed size, compressed and in chunks, and how to add them up."""
+
+    FORM = "k int, salt int, v binary"
+
+    def __init__(self, size: int, kind, combine, chunk: int = 1 << 15):
+        self.size, self.kind, self.combine, self.chunk = size, kind, combine, min(chunk, size)
+
+    def rows(self, table: np.ndarray):
+        """k, salt and v of a task's table."""
+        import zlib
+
+        from pyspark import TaskContext
+
+        salt = TaskContext.get().partitionId() // 64
+        parts = ((k, table[k * self.chunk : (k + 1) * self.chunk]) for k in range(self.size // self.chunk))
+        found = [(k, salt, zlib.compress(part.astype(self.kind).tobytes(), 1)) for k, part in parts if part.any()]
+        return [list(x) for x in zip(*found, strict=True)] or [[], [], []]
+
+    def total(self, df: DataFrame) -> np.ndarray:
+        """All tasks' tables combined, first those of some tasks and then those sums, a row at a time; the result reaches the driver."""
+        import zlib
+
+        import pyarrow as pa
+
+        chunk, kind, combine = self.chunk, self.kind, self.combine
+
+        def add(batches):
+            of, out = None, np.zeros(chunk, kind)
+
+            def close():
+                return pa.RecordBatch.from_arrays([pa.array([of[0]], pa.int32()), pa.array([of[1]], pa.int32()), pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())], ["k", "salt", "v"])
+
+            for b in batches:
+                for k, salt, v in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                    if of is None or of[0] != k:
+                        if of is not None:
+                            yield close()
+                        out[:] = 0
+                    of = k, salt
+                    combine(out, np.frombuffer(zlib.decompress(v), kind), out=out)
+            if of is not None:
+                yield close()
+
+        for by in (["k", "salt"], ["k"]):
+            df = df.repartition(*by).sortWithinPartitions("k").mapInArrow(add, self.FORM)
+        out = np.zeros(self.size, kind)
+        for r in df.collect():  # size // chunk rows
+            out[r.k * chunk : (r.k + 1) * chunk] = np.frombuffer(zlib.decompress(r.v), kind)
+        return out
+
+
+def add_counts(counts: np.ndarray, at: np.ndarray) -> None:
+    """Counts each place in `at` once for each time it is named."""
+    at = np.sort(at.astype(np.uint32))
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])[: len(at)])
+    counts[at[first]] += np.diff(np.append(first, len(at))).astype(counts.dtype)
+
+
+#: Bits of a Bloom filter: beyond some ten million members it lets more rows through, which the join behind it drops.
+BLOOM = 1 << 26
+
+
+def _places(h: np.ndarray, bits: int):
+    h = mix(h.astype(np.int64).view(np.uint64), 8)
+    return (h & np.uint64(bits - 1)).astype(np.int64), (h >> np.uint64(32) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def bloom(df: DataFrame, column: str, bits: int = BLOOM) -> np.ndarray:
+    """A Bloom filter of fixed size of a column of longs, for may_hold()."""
+    import pyarrow as pa
+
+    table = Table(bits // 8, np.uint8, np.bitwise_or)
+
+    def run(batches):
+        out = np.zeros(bits // 8, np.uint8)
+        for b in batches:
+            for at in _places(b.column(column).to_numpy(zero_copy_only=False), bits):
+                np.bitwise_or.at(out, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
+        k, salt, v = table.rows(out)
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(salt, pa.int32()), pa.array(v, pa.binary())], ["k", "salt", "v"])
+
+    return table.total(df.select(column).mapInArrow(run, table.FORM))
+
+
+def may_hold(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the filter may hold each number; false is certain."""
+    i, j = _places(h, 8 * len(filter_))
+    return ((filter_[i >> 3] >> (7 - (i & 7)).astype(np.uint8)) & (filter_[j >> 3] >> (7 - (j & 7)).astype(np.uint8)) & 1).astype(bool)

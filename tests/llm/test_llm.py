@@ -7,7 +7,9 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, elias_fano, hamming, huffman, jaccard_join, language_model, line_dedup, packing, quality, queries, shared, toxicity, url_filters
@@ -16,6 +18,10 @@ SF = "/root/testdata/sf0.001"
 WORDS = [f"w{i}" for i in range(60)]
 
 
+def text_hash(text):
+    return xxhash.xxh3_64_intdigest((text or "").encode()) - (1 << 64 if xxhash.xxh3_64_intdigest((text or "").encode()) >> 63 else 0)
+
+
 def texts(seed=1):
     rng = random.Random(seed)
     line = lambda: " ".join(rng.choice(WORDS) + rng.choice(["", "", ".", ","]) for _ in range(rng.randint(3, 14)))
@@ -151,11 +157,11 @@ def test_token_files(spark, docs, empty):
 
 def test_line_dedup(spark, docs, empty):
     got = {(r.doc_id, r.h): list(r.removed) for r in line_dedup.removals(docs).collect()}
-    rows = {(r.doc_id, line_dedup.text_hash(r.text)): r.text for r in docs.collect()}
+    rows = {(r.doc_id, text_hash(r.text)): r.text for r in docs.collect()}
     lines = sorted((-1 if d is None else d, k, h, frozenset(shared.alnum_words(x))) for (d, h), t in rows.items() for k, x in enumerate(t.split("\n") if t else []))
     want, seen = {k: [] for k in rows}, []
     for d, k, h, w in lines:
-        if len(w) >= 5:
+        if w:
             if any(len(w & s) >= 0.8 * len(w | s) for s in seen):
                 want[None if d < 0 else d, h].append(k)
             seen.append(w)
@@ -166,6 +172,69 @@ def test_line_dedup(spark, docs, empty):
     assert out.columns == docs.columns and line_dedup.removals(empty).count() == 0
 
 
+def test_line_meetings(monkeypatch):
+    rng = np.random.default_rng(4)
+    m = 700
+    n, p = rng.integers(5, 60, m), rng.integers(0, 3, m)
+    base = rng.integers(0, 1 << 63, (2, 6), dtype=np.uint64)
+    of = rng.integers(0, 6, m)
+    b1, b2 = (base[k][of] ^ (np.uint64(1) << rng.integers(0, 63, m).astype(np.uint64)) for k in (0, 1))
+    place = [rng.integers(0, 90, m), rng.integers(0, 9, m), rng.permutation(m)]
+    rows = line_dedup.Rows(n, p, b1, b2, place, 0.8)
+    need = lambda i, j: math.ceil((n[i] + n[j]) * 4 / 9 - 1e-9)
+    differ = lambda i, j: int(b1[i] ^ b1[j]).bit_count() + int(b2[i] ^ b2[j]).bit_count()
+    order = sorted(range(m), key=lambda i: tuple(x[i] for x in place))
+    want = set()
+    for k, i in enumerate(order):
+        for j in order[:k]:
+            lo, hi = min(n[i], n[j]), max(n[i], n[j])
+            if lo >= 0.8 * hi - 1e-9 and min(n[i] - p[i], n[j] - p[j]) >= need(i, j) and differ(i, j) <= n[i] + n[j] - 2 * need(i, j):
+                want.add((i, j))
+    u, v, _ = line_dedup._beside(np.zeros(m, np.int64), rows)
+    assert set(zip(u.tolist(), v.tolist(), strict=True)) == want and len(u) == len(want) > 1000
+    monkeypatch.setattr(line_dedup, "WINDOW", 128)
+    u, v, _, more = line_dedup._within(rows, np.arange(m), None)
+    assert set(zip(u.tolist(), v.tolist(), strict=True)) == want and len(u) == len(want) and not len(more)
+    u, v, far, more = line_dedup._within(rows, np.arange(m), 2)
+    u, v, far, rest = line_dedup.closest(u, v, far, 2, 5)
+    got = set(zip(u.tolist(), v.tolist(), strict=True))
+    assert got <= want
+    for k in range(m):
+        every, some = sum(x == k for x, _ in want), sum(x == k for x, _ in got)
+        assert min(every, 2) <= some <= 5 and (some == every or k in more or k in rest)
+
+
+def test_line_order_under_one_id(spark):
+    """Of two similar lines of different texts with one id the one with the lesser name stays, in whatever order they come."""
+    for k in range(4):
+        words = [f"q{k}x{i}" for i in range(10)]
+        a, b = " ".join(words), " ".join([*words[:9], "other"])
+        name = {t: int(line_dedup.split(*shared.text_bytes(pa.array([t]))).names[0][0]) for t in (a, b)}
+        for pair in ((a, b), (b, a)):
+            rows = spark.createDataFrame([(1, t, 5) for t in pair], "doc_id long, text string, h int").coalesce(1)
+            got = {r.h: list(r.removed) for r in line_dedup.removals(rows).collect()}
+            stays = min((a, b), key=name.get)
+            assert got == {text_hash(t): [] if t == stays else [0] for t in (a, b)}
+
+
+def test_clean_lines_beside_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "a b c", 1, "k", 3), (2, "a b c\nd", 2, "l", 4)], "doc_id long, text string, _h int, removed string, h_ int")
+    assert sorted(map(tuple, line_dedup.clean(rows).collect())) == [(1, "a b c", 1, "k", 3), (2, "d", 2, "l", 4)]
+
+
+def test_word_hashes(monkeypatch):
+    monkeypatch.setattr(shared, "_CHUNK", 300)
+    rng = random.Random(2)
+    some = [None, "", "Ab cd.AB", "é x y-é", *["".join(rng.choice("abC d\n.é") for _ in range(rng.randint(0, 2000))) for _ in range(30)], "x" * 5000]
+    data, cuts = shared.text_bytes(pa.array(["cut off", *some])[1:])
+    for values, split in ((shared.ALNUM, shared.alnum_words), (shared.SPACE, shared.space_words)):
+        starts, h = shared.word_hashes(data, cuts, values)
+        words, known = [w for t in some for w in split(t)], {}
+        assert len(words) == len(h) and all(known.setdefault(w, x) == x for w, x in zip(words, h.tolist(), strict=True))
+        assert len(set(known.values())) == len(known)
+        assert np.diff(np.searchsorted(starts, cuts)).tolist() == [len(split(t)) for t in some]
+
+
 def test_line_that_comes_back(spark):
     a, b = "one two three four five six seven eight nine ten", "one two three four five six seven eight nine eleven"
     rows = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
@@ -177,7 +246,7 @@ def test_jaccard_join(spark, docs, empty):
     got = jaccard_join.join(docs).collect()
     rows = docs.collect()
     sets = [frozenset(x.tolist()) for x in jaccard_join.shingles([r.text for r in rows], shared.Hashes())]
-    key = [(r.doc_id, line_dedup.text_hash(r.text)) for r in rows]
+    key = [(r.doc_id, text_hash(r.text)) for r in rows]
     cls = {(g.doc_id, g.h): g.class_id for g in got}
     near = lambda a, b: a and b and len(a & b) >= 0.8 * len(a | b)
     for i, a in enumerate(sets):
