@@ -34,7 +34,7 @@ COUNTERS = 1 << 22
 #: Candidates of a set in a group that are verified first, and sets from which on a word's sets are dealt to several groups.
 FIRST, LARGE = 4, 1 << 22
 #: A candidate is close if it seems to differ in up to this share of the words that the threshold allows; a set without a close one has so many times FIRST.
-CLOSE, MORE = 0.7, 128
+CLOSE, MORE = 0.4, 128
 #: Sets of which a task remembers that it sent them.
 MEMO = 100_000
 #: Groups of up to SMALL sets are compared side by side; larger ones alone, in blocks of sets and windows of others.

@@ -242,10 +242,13 @@ def test_line_that_comes_back(spark):
     assert got == {1: [], 2: [0], 3: [0]}  # what is like a later line only stays
 
 
-def test_jaccard_join(spark, docs, empty):
+@pytest.mark.parametrize("limits", [{}, {"BUCKET": 2, "SMALL": 3, "BLOCK": 40, "LEAD": 4}, {"BUCKET": 3, "DEPTH": 1, "LEAD": 2}])
+def test_jaccard_join(spark, docs, empty, limits, monkeypatch):
+    for name, value in limits.items():
+        monkeypatch.setattr(jaccard_join, name, value)
     got = jaccard_join.join(docs).collect()
     rows = docs.collect()
-    sets = [frozenset(x.tolist()) for x in jaccard_join.shingles([r.text for r in rows], shared.Hashes())]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for w in (shared.alnum_words(r.text) for r in rows)]
     key = [(r.doc_id, text_hash(r.text)) for r in rows]
     cls = {(g.doc_id, g.h): g.class_id for g in got}
     near = lambda a, b: a and b and len(a & b) >= 0.8 * len(a | b)
@@ -263,18 +266,40 @@ def test_jaccard_join(spark, docs, empty):
 
 def test_alike_groups():
     rng = np.random.default_rng(5)
-    sk = rng.integers(1, 9, (60, jaccard_join.RANGES)).astype(np.uint16)
-    for i in range(1, 60):
+    sk = rng.integers(1, 9, (90, jaccard_join.RANGES)).astype(np.uint16)
+    sk[:, 100:] = 0
+    for i in range(1, 90):
         if i % 3:
             sk[i] = np.where(rng.random(jaccard_join.RANGES) < 0.2, sk[i], sk[i - 1])
-    f, g = jaccard_join.Forest(60), jaccard_join.Forest(60)
-    for i, j in jaccard_join.alike(sk):
-        f.join(i, j)
-    for i in range(60):
-        for j in range(i):
-            if (sk[i] == sk[j]).mean() >= jaccard_join.LOOSE:
-                g.join(i, j)
-    assert [f.find(i) for i in range(60)] == [g.find(i) for i in range(60)]
+    sig = jaccard_join.signatures(sk)
+    bucket = np.repeat([0, 1, 2], [20, 60, 10])
+    for buckets, got in ((np.zeros(90), jaccard_join.led(sig)), (np.zeros(90), jaccard_join.beside(np.zeros(90), sig)), (bucket, jaccard_join.beside(bucket, sig))):
+        want = list(range(90))
+        for _ in range(90):
+            for i in range(90):
+                for j in range(i):
+                    if buckets[i] == buckets[j] and (sk[i] == sk[j])[:100].mean() >= jaccard_join.LOOSE:
+                        want[i] = want[j] = min(want[i], want[j])
+        assert got.tolist() == want
+    assert len(set(want)) > 20
+
+
+def test_exact_links():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 60, (3, 50), dtype=np.uint64)
+    items = [np.unique(np.where(rng.random(50) < 0.06, rng.integers(0, 1 << 60, 50, dtype=np.uint64), base[i % 3])) for i in range(100)]
+    block = rng.integers(0, 2, 100)
+    near = lambda i, j: len(np.intersect1d(items[i], items[j])) >= 0.8 * len(np.union1d(items[i], items[j]))
+    for apart in (None, block):
+        got = [x.tolist() for x in jaccard_join.exact_links(items, apart)]
+        assert got == [[j for j in range(100) if j != i and near(i, j) and (apart is None or block[i] != block[j])] for i in range(100)]
+    assert any(got)
+
+
+def test_copies_beside_clashing_columns(spark):
+    t = "one two three four five six seven"
+    rows = spark.createDataFrame([(1, t, 5, 1, "b"), (1, t, 5, 1, "a"), (2, t, 6, 2, "c"), (3, None, 7, 3, "d")], "doc_id long, text string, _h int, h int, k string")
+    assert sorted(map(tuple, jaccard_join.one_of_each(rows).collect())) == [(1, t, 5, 1, "a"), (3, None, 7, 3, "d")]
 
 
 def compare(spark, name):
