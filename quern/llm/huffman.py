@@ -9,24 +9,23 @@ symbol of each at a time, in numpy.
 
 from __future__ import annotations
 
-import re
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import filesystem, keep, publish, scratch, spans, text_batches
+from .shared import filesystem, keep, mix, powers, publish, scratch, spans, text_batches, text_bytes
 
 MAGIC, BLOCK, LIMIT = b"QUERNHF1", 512, 20
 #: Token ids to a file, about.
 FILE_IDS = 4_000_000
-#: Words that a Python worker remembers the ids of.
-MEMO = 500_000
-#: Python splits at these, the tokenizer does not: such texts are encoded whole.
-_ODD = re.compile("[\x1c-\x1f]")
+#: Tasks' files that are numbered together.
+GROUP = 4096
+#: Pieces that a Python worker remembers the ids of.
+MEMO = 1_000_000
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -153,24 +152,101 @@ def parse(raw: np.ndarray) -> File:
     return File(take("<i8", docs), take("<u4", docs).astype(np.int64), lengths, take("<u8", -(-total // block)), raw[32 + head :], total, block)
 
 
+#: Classes of bytes: white space, letters, digits, other ASCII, and those that make a word one to give the tokenizer whole.
+_GAP, _LETTER, _DIGIT, _MARK, _WHOLE = range(5)
+_CLASS = np.array([_GAP if c == 32 or 9 <= c <= 13 else _WHOLE if c >= 128 or chr(c) in "'<" or c < 32 or c == 127 else _LETTER if chr(c).isalpha() else _DIGIT if chr(c).isdigit() else _MARK for c in range(256)], np.uint8)
+_PLAIN = np.random.default_rng(21).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FOLDED = _PLAIN[[c + 32 if 65 <= c <= 90 else c for c in range(256)]]
+#: Pieces that the tokenizer gets in one text.
+_TOGETHER = 500
+
+
+def pieces(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and 64-bit hash of each piece, and whether it is a whole word that is no piece of its own.
+
+    Words of ASCII letters, digits and marks come apart into runs of letters, single digits and runs of marks; a word
+    with an apostrophe, "<", a control character or anything beyond ASCII stays whole.  No piece crosses a cut.
+    """
+    kind = _CLASS[data]
+    edges = np.zeros(len(data) + 1, bool)
+    edges[cuts] = True
+    edges = edges[:-1]
+    gap = kind == _GAP
+    begin = ~gap
+    begin[1:] &= gap[:-1] | edges[1:]
+    words = np.flatnonzero(begin)
+    if not len(words):
+        none = np.zeros(0, np.int64)
+        return none, none, none.astype(np.uint64), none.astype(bool)
+    odd = np.logical_or.reduceat(kind == _WHOLE, words)
+    apart = begin.copy()
+    apart[1:] |= ~gap[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))
+    v = _FOLDED[data]
+    if odd.any():
+        inside = np.repeat(odd, np.diff(np.append(words, len(data))))
+        inside = np.concatenate([np.zeros(len(data) - len(inside), bool), inside])
+        apart &= ~inside | begin
+        v[inside] = _PLAIN[data[inside]]
+    v[gap] = 0
+    starts = np.flatnonzero(apart)
+    hashes, at = np.zeros(len(starts), np.uint64), 0
+    while at < len(starts):  # some pieces at a time
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + (1 << 17))))
+        end = int(starts[to]) if to < len(starts) else len(data)
+        first = starts[at:to] - starts[at]
+        up, down = powers(end - int(starts[at]))
+        part = v[starts[at] : end]
+        hashes[at:to] = np.add.reduceat(part * up[: len(part)], first) * down[first]
+        at = to
+    stops = np.flatnonzero(~gap & np.append(gap[1:] | edges[1:], True) | ~gap & np.append(apart[1:], True)) + 1
+    whole = odd[np.searchsorted(words, starts, "right") - 1]
+    return starts, stops, mix(hashes, 7), whole
+
+
 class Encoder:
-    """Ids of texts by the tokenizers library, remembering words.
+    """Ids of texts by the tokenizers library, remembering pieces by their 64-bit hashes.
 
-    White space never joins words under this tokenizer (its rules lower the case, drop white space and split at it), so
-    a text's ids are its words' ids one after another; a full stop or comma after letters is a piece of its own.
+    Under a tokenizer of the form that apart() knows, white space never joins words, a run of ASCII letters, a digit and
+    a run of ASCII marks without apostrophe each are a piece of their own, and every piece ends with a token that says
+    so.  Such pieces reach the library once each, many in a text; words that are not made of them reach it whole.  Under
+    any other tokenizer every text does.
     """
 
     _own: Encoder | None = None
 
     def __init__(self, path: str):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.path, self.tokenizer = path, Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            form = json.load(f)
+        self.path, self.tokenizer, self.apart = path, Tokenizer.from_file(path), self.known(form)
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.kind = np.uint16 if size <= 1 << 16 else np.uint32
+        self.ends = np.zeros(size + 1, bool)
+        if self.apart:
+            self.ends[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
         self.clear()
 
+    @staticmethod
+    def known(form: dict) -> bool:
+        """Whether the tokenizer's file has the normaliser, splitting and word ends that pieces() relies on."""
+        normal = [(n["type"], n.get("pattern"), n.get("content")) for n in (form.get("normalizer") or {}).get("normalizers", [])]
+        split = (form.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        model = form.get("model") or {}
+        return (
+            normal == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+            and [x["type"] for x in split] == ["Split", "ByteLevel"]
+            and (split[0]["pattern"], split[0]["behavior"], split[0]["invert"]) == ({"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "Removed", True)
+            and (split[1]["add_prefix_space"], split[1]["use_regex"]) == (False, False)
+            and (model.get("type"), model.get("end_of_word_suffix"), model.get("dropout")) == ("BPE", "</w>", None)
+            and form.get("post_processor") is None
+            and all(t["content"].startswith("<") and not any(c.isspace() for c in t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in form.get("added_tokens", []))
+        )
+
     @classmethod
     def of(cls, path: str) -> Encoder:
         if cls._own is None or cls._own.path != path:
@@ -178,41 +254,55 @@ class Encoder:
         return cls._own
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
-
-    def learn(self, words: list[str]) -> None:
-        new = list(dict.fromkeys(w for w in words if w not in self.number))
-        if not new:
-            return
-        stems = [w[:-1] if len(w) > 1 and w[-1] in ".," and w[:-1].isalpha() and max(w) < "ɐ" else w for w in new]
-        ask = list(dict.fromkeys(stems))
-        got = dict(zip(ask, (e.ids for e in self.tokenizer.encode_batch_fast(ask, add_special_tokens=False)), strict=True))
-        ends = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ".,"}
-        ids = [got[s] if len(s) == len(w) else got[s] + ends[w[-1]] for s, w in zip(stems, new, strict=True)]
+        self.keys, self.starts, self.sizes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
+
+    def ask(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, keys: np.ndarray, words: list[str], whole: np.ndarray) -> None:
+        """Adds pieces: their hashes, texts, and whether they are whole words."""
+        ids: list = [None] * len(words)
+        some = np.flatnonzero(~whole).tolist()
+        for part, got in zip((some[i : i + _TOGETHER] for i in range(0, len(some), _TOGETHER)), self.ask([" ".join(words[k] for k in some[i : i + _TOGETHER]) for i in range(0, len(some), _TOGETHER)]), strict=True):
+            cut = (np.flatnonzero(self.ends[got]) + 1).tolist()
+            each = [got[i:j] for i, j in zip([0, *cut], cut, strict=False)] if len(cut) == len(part) else self.ask([words[k] for k in part])
+            for k, x in zip(part, each, strict=True):
+                ids[k] = x
+        some = np.flatnonzero(whole).tolist()
+        for k, x in zip(some, self.ask([words[k] for k in some]), strict=True):
+            ids[k] = x
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.starts = np.concatenate([self.starts, len(self.flat) + spans(size)[:-1]])
-        self.sizes = np.concatenate([self.sizes, size])
-        self.flat = np.concatenate([self.flat.astype(kind), np.fromiter((i for x in ids for i in x), kind, int(size.sum()))])
-        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-
-    def __call__(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, with `end` after each text, and how many each has."""
-        words = [[] if not t else [t] if _ODD.search(t) else t.split() for t in texts]
-        flat = [w for x in words for w in x]
-        self.learn(flat)
-        at = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
+        starts = len(self.flat) + spans(size)[:-1]
+        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), self.kind, int(size.sum()))])
+        keys = np.concatenate([self.keys, keys])
+        order = np.argsort(keys)
+        self.keys, self.starts, self.sizes = keys[order], np.concatenate([self.starts, starts])[order], np.concatenate([self.sizes, size])[order]
+
+    def __call__(self, column, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of an Arrow column of texts one after another, with `end` after each text, and how many each has."""
+        if not self.apart:
+            ids = self.ask([t or "" for t in column.to_pylist()])
+            n = np.fromiter((len(x) + 1 for x in ids), np.int64, len(ids))
+            return np.fromiter((i for x in ids for i in (*x, end)), self.kind, int(n.sum())), n
+        data, cuts = text_bytes(column)
+        starts, stops, h, whole = pieces(data, cuts)
+        if len(self.keys) > MEMO:
+            self.clear()
+        every, first, back = np.unique(h, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, every)
+        new = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != every) if len(self.keys) else np.arange(len(every))
+        if len(new):
+            raw = data.tobytes()
+            self.learn(every[new], [raw[i:j].decode("utf-8", "replace") for i, j in zip(starts[first[new]].tolist(), stops[first[new]].tolist(), strict=True)], whole[first[new]])
+            at = np.searchsorted(self.keys, every)
+        at = at[back]
         size = self.sizes[at]
-        per = np.array([len(x) for x in words], np.int64)
-        cut = spans(size)[spans(per)]
+        cut = spans(size)[np.searchsorted(starts, cuts)]
         n = np.diff(cut) + 1
-        out = np.full(int(n.sum()), end, self.flat.dtype)
+        out = np.full(int(n.sum()), end, self.kind)
         keep_ = np.ones(len(out), bool)
         keep_[np.cumsum(n) - 1] = False
         out[keep_] = self.flat[np.repeat(self.starts[at] + size - np.cumsum(size), size) + np.arange(int(size.sum()))]
-        if len(self.number) > MEMO:
-            self.clear()
         return out, n
 
 
@@ -223,7 +313,7 @@ def encode(docs: DataFrame, tokenizer: str, end: int = 2) -> DataFrame:
     def run(batches):
         each = Encoder.of(tokenizer)
         for b in text_batches(batches):
-            ids, n = each(b.column("text").to_pylist(), end)
+            ids, n = each(b.column("text"), end)
             raw, at = ids.astype("<u2" if ids.itemsize == 2 else "<u4").tobytes(), spans(n) * ids.itemsize
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([raw[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary()), pa.array([ids.itemsize] * len(n), pa.int32())], ["doc_id", "ids", "width"])
 
@@ -238,8 +328,8 @@ def _joined(batch) -> np.ndarray:
 def write(encoded: DataFrame, folder: str, block: int = BLOCK, limit: int = LIMIT, file_ids: int = FILE_IDS) -> DataFrame:
     """Writes rows of encode() in ascending doc_id order as files in `folder`; returns a row for each file.
 
-    Rows: file, path, first (ids in the files before it), n_docs, n_ids.  Null ids come first, equal ids by their
-    contents.  Code lengths come from the counts of all ids.  Files appear whole or not at all, and a repeated task
+    Rows: file, path, first (ids in the files before it), n_docs, n_ids.  Null ids come first (the files
+    hold -2 ** 63 for them, which is no id of its own), equal ids by their contents.  Code lengths come from the counts of all ids.  Files appear whole or not at all, and a repeated task
     writes the same bytes to the same name.
     """
     spark = encoded.sparkSession
@@ -293,9 +383,13 @@ def write(encoded: DataFrame, folder: str, block: int = BLOCK, limit: int = LIMI
             yield close()
 
     ordered = encoded.withColumn("doc_id", F.col("doc_id").cast("long")).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "ids")
-    made = ordered.select("doc_id", "ids", "width").mapInArrow(save, "file long, path string, n_docs long, n_ids long").toPandas().sort_values("file", ignore_index=True)
-    made["first"] = made["n_ids"].cumsum() - made["n_ids"]
-    return spark.createDataFrame(made[["file", "path", "first", "n_docs", "n_ids"]], "file long, path string, first long, n_docs long, n_ids long")
+    made = keep(ordered.select("doc_id", "ids", "width").mapInArrow(save, "file long, path string, n_docs long, n_ids long"), f"{folder}/list")
+    # what comes before a file: the sums of GROUP files each, added up in order, and then within the group
+    group = (F.col("file") / (10_000 * GROUP)).cast("long")
+    before = made.groupBy(group.alias("g")).agg(F.sum("n_ids").alias("n")).select(F.col("g").alias("g_"), (F.sum("n").over(Window.orderBy("g")) - F.col("n")).alias("before"))
+    inside = F.sum("n_ids").over(Window.partitionBy("g").orderBy("file")) - F.col("n_ids")
+    out = made.withColumn("g", group).withColumn("inside", inside).join(before, F.col("g") == F.col("g_"))
+    return out.select("file", "path", (F.col("before") + F.col("inside")).alias("first"), "n_docs", "n_ids")
 
 
 def read(files: DataFrame) -> DataFrame:
@@ -312,6 +406,7 @@ def read(files: DataFrame) -> DataFrame:
                 docs = pa.array([None if d == -(2**63) else d for d in own.doc_ids.tolist()], pa.int64())
                 yield pa.RecordBatch.from_arrays([docs, pa.array(first + at[:-1]), pa.array(own.lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
+    files = keep(files, scratch(files.sparkSession) + "/files")
     spread = files.select("file", "path", "first").repartition(max(1, min(files.count(), 10_000)), "file")
     return spread.select("path", "first").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
