@@ -11,6 +11,10 @@ for _b in range(256):
         _SELECT[_b, _k] = _i
 
 
+#: Elements whose low bits are written at a time, a multiple of 8.
+STEP = 1 << 18
+
+
 def encode(x: np.ndarray) -> list[np.ndarray]:
     """Parts of the encoded sequence: sizes, low bits, high bits, ones before each 64 high bits."""
     x = x.astype(np.uint64)
@@ -18,14 +22,12 @@ def encode(x: np.ndarray) -> list[np.ndarray]:
     top = int(x[-1]) if n else 0
     low = max(0, (top // max(1, n)).bit_length() - 1)
     bits = np.zeros((n * low + 7) // 8 + 8, np.uint8)
-    if low and n:
-        v = x & np.uint64((1 << low) - 1)
-        at = np.arange(n, dtype=np.int64) * low
+    for a in range(0, n if low else 0, STEP):  # a slice begins with a byte
+        v = x[a : a + STEP] & np.uint64((1 << low) - 1)
+        at, own = np.arange(len(v), dtype=np.int64) * low, bits[a * low // 8 :]
         for k in range(low):  # bit by bit over all elements
-            p = at + k
-            on = ((v >> np.uint64(k)) & np.uint64(1)).astype(bool)
-            q = p[on]
-            np.bitwise_or.at(bits, q >> 3, (1 << (q & 7)).astype(np.uint8)) if low < 8 else _or_apart(bits, q, low)
+            q = (at + k)[((v >> np.uint64(k)) & np.uint64(1)).astype(bool)]
+            np.bitwise_or.at(own, q >> 3, (1 << (q & 7)).astype(np.uint8)) if low < 8 else _or_apart(own, q, low)
     high = (x >> np.uint64(low)).astype(np.int64) + np.arange(n, dtype=np.int64)
     length = (int(high[-1]) if n else 0) + 2
     unary = np.zeros((length + 63) // 64 * 64, np.uint8)

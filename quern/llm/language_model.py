@@ -26,11 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .elias_fano import EliasFano, encode
-from .shared import Hashes, drop, keep, mapped, mix, publish, scratch, space_words, spans, text_batches
+from .shared import SPACE, drop, keep, mapped, mix, publish, release, scratch, spans, text_batches, text_bytes, word_hashes
 
 DISCOUNT = 0.75
 #: Token n-grams to a block of the counts, words to a vocabulary file, about.
-PART, SHARD = 3_000_000, 2_000_000
+PART, SHARD = 3_000_000, 750_000
+#: Token n-grams that a task sorts and counts at a time.
+BATCH = 3_000_000
+#: N-grams of a shard whose probabilities are worked out at a time.
+STEP = 1 << 19
 #: log10 probabilities are kept in 16 bits from -LOWEST to 0.
 LOWEST = 24.0
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end of text "))
@@ -128,28 +132,26 @@ class Trie:
         return (u * self.f.shards) // (self.f.words + 2)
 
     def find(self, level: int, shard: int, node: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Numbers (in the shard and level) of successors w of nodes, -1 where there is none."""
+        """Numbers (in the shard and level) of successors w of nodes, -1 where there is none; pairs are distinct and in order."""
         pointers, successors = self.structures(level, shard)
         out = np.full(len(node), -1, np.int64)
-        ok = np.flatnonzero((node >= 0) & (node < pointers.n - 1))
-        if not len(ok) or not successors.n:
+        i, j = np.searchsorted(node, [0, pointers.n - 1])
+        if i >= j or not successors.n:
             return out
-        # each distinct pair is searched once, in order; each distinct node's range is looked up once
-        pair, back = np.unique((node[ok].astype(np.uint64) << np.uint64(32)) | w[ok].astype(np.uint64), return_inverse=True)
-        own, of = np.unique(pair >> np.uint64(32), return_inverse=True)
-        own = own.astype(np.int64)
+        node, w = node[i:j], w[i:j].astype(np.uint64)
+        # each distinct node's range is looked up once
+        new = np.concatenate([[True], node[1:] != node[:-1]])
+        own, of = node[new], np.cumsum(new) - 1
         ends = pointers[np.concatenate([own, own + 1])].astype(np.int64)
         a, b = ends[: len(own)], ends[len(own) :]
         some = np.flatnonzero(a < b)
         before = np.zeros(len(own), np.uint64)
         before[some] = np.where(a[some] > 0, successors[np.maximum(a[some] - 1, 0)], 0)
         go = np.flatnonzero((a < b)[of])
-        found = np.full(len(pair), -1, np.int64)
         if len(go):
             c = of[go]
-            at, hit = successors.find(before[c] + (pair[go] & np.uint64(0xFFFFFFFF)), a[c], b[c])
-            found[go[hit]] = at[hit]
-        out[ok] = found[back]
+            at, hit = successors.find(before[c] + w[go], a[c], b[c])
+            out[i + go[hit]] = at[hit]
         return out
 
     def structures(self, level: int, shard: int) -> tuple[EliasFano, EliasFano]:
@@ -159,60 +161,65 @@ class Trie:
             self.open[key] = EliasFano(*x[:4]), EliasFano(*x[4:8])
         return self.open[key]
 
-    def bigrams(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(shard, number) of bigrams; number -1 where there is none."""
+    def start(self, shard: int) -> int:
+        return -(-shard * (self.f.words + 2) // self.f.shards)
+
+    def bigrams(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(shard, number) of bigrams, distinct and in order; number -1 where there is none."""
+        u, v = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
         s, at = self.shard(u), np.full(len(u), -1, np.int64)
-        for k in np.unique(s).tolist():
-            own = np.flatnonzero(s == k)
-            start = -(-k * (self.f.words + 2) // self.f.shards)
-            at[own] = self.find(2, k, u[own] - start, v[own])
+        for k, i, j in _runs(s):
+            at[i:j] = self.find(2, k, u[i:j] - self.start(k), v[i:j])
         return s, at
 
-    def gather(self, level: int, which: int, s: np.ndarray, at: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(at), self.file(f"level-{level}-{int(s[0])}")[which].dtype if len(s) else np.uint16)
-        for k in np.unique(s).tolist():
-            own = np.flatnonzero(s == k)
-            out[own] = self.file(f"level-{level}-{k}")[which][at[own]]
+    def two(self, pair: np.ndarray, found: tuple[np.ndarray, np.ndarray], one: np.ndarray) -> np.ndarray:
+        """log10 P(v | u) of bigrams that bigrams() has found; one: log10 P(v)."""
+        u, out = (pair >> np.uint64(32)).astype(np.int64), one.copy()
+        for k, i, j in _runs(found[0]):
+            x, at = self.file(f"level-2-{k}"), found[1][i:j]
+            hit = np.flatnonzero(at >= 0)
+            out[i + hit] = restored(x[8][at[hit]])
+            rest = np.flatnonzero((at < 0) & (u[i:j] < self.unknown))
+            out[i + rest] += restored(x[9][u[i + rest] - self.start(k)])
         return out
 
-    def two(self, u: np.ndarray, v: np.ndarray, found: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-        """log10 P(v | u)."""
-        s, at = found or self.bigrams(u, v)
-        out = self.one(v)
-        known = np.flatnonzero(u < self.unknown)
-        own = np.flatnonzero(at[known] < 0)
-        rest = known[own]
-        if len(rest):
-            start = -((-s[rest] * (self.f.words + 2)) // self.f.shards)
-            out[rest] += restored(self.gather(2, 9, s[rest], u[rest] - start))
-        hit = np.flatnonzero(at >= 0)
-        if len(hit):
-            out[hit] = restored(self.gather(2, 8, s[hit], at[hit]))
+    def three(self, context: np.ndarray, last: np.ndarray, found: tuple[np.ndarray, np.ndarray], w: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """log10 P(w | u v) of trigrams in order of their first bigram.
+
+        context and last number the bigrams u v and v w in what bigrams() has found; w: the last word; two: log10 P(w | v).
+        """
+        out = two[last]
+        s, node = found[0][context], found[1][context]
+        seen = found[1][last] >= 0
+        for k, i, j in _runs(s):
+            x, ok = self.file(f"level-3-{k}"), i + np.flatnonzero(node[i:j] >= 0)
+            hit = np.full(len(ok), -1, np.int64)
+            can = seen[ok]  # a trigram that was seen holds a bigram that was
+            hit[can] = self.find(3, k, node[ok[can]], w[ok[can]])
+            out[ok[hit < 0]] += restored(x[9][node[ok[hit < 0]]])
+            out[ok[hit >= 0]] = restored(x[8][hit[hit >= 0]])
         return out
 
-    def three(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, uv: tuple[np.ndarray, np.ndarray], vw: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """log10 P(w | u v)."""
-        out = self.two(v, w, vw)
-        if self.f.levels < 3:
-            return out
-        s, at = uv
-        for k in np.unique(s[at >= 0]).tolist():
-            own = np.flatnonzero((s == k) & (at >= 0))
-            x = self.file(f"level-3-{k}")
-            hit = self.find(3, k, at[own], np.where(vw[1][own] >= 0, w[own], self.unknown + 1))
-            out[own[hit < 0]] += restored(x[9][at[own[hit < 0]]])
-            out[own[hit >= 0]] = restored(x[8][hit[hit >= 0]])
-        return out
+
+def _runs(s: np.ndarray):
+    """Each run of equal numbers: the number, its start and its end."""
+    edge = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]])[: len(s) + 1]) if len(s) else []
+    return [(int(s[i]), int(i), int(j)) for i, j in zip(edge[:-1], edge[1:], strict=True)]
+
+
+def _pairs(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return (u.astype(np.uint64) << np.uint64(32)) | v.astype(np.uint64)
 
 
-def _sequence(texts: list[str | None], hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, each text's end among them, and tokens to a text."""
-    words = [space_words(t) for t in texts]
-    n = np.array([len(w) + 1 for w in words], np.int64)
+def _sequence(column) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens of an Arrow column of texts, each text's end among them, and tokens to a text."""
+    data, cuts = text_bytes(column)
+    starts, h = word_hashes(data, cuts, SPACE)
+    n = np.diff(np.searchsorted(starts, cuts)) + 1
     out = np.full(int(n.sum()), END, np.uint64)
     inner = np.ones(len(out), bool)
     inner[np.cumsum(n) - 1] = False
-    out[inner] = hashes([w for x in words for w in x])
+    out[inner] = h
     return out, n
 
 
@@ -234,10 +241,14 @@ def _blocks(keys: np.ndarray, parts: int):
 
 def _split(k: np.ndarray, c: np.ndarray, part: np.ndarray):
     """Rows (part, n, packed) of sorted keys and their counts, by the given parts."""
-    for p in np.unique(part).tolist():
-        own = part == p
-        raw = np.diff(k[own], prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() + c[own].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-        yield p, int(own.sum()), pa.compress(raw, _CODEC, asbytes=True)
+    if len(part) and int(part.max()) < 1 << 16:
+        order = np.argsort(part.astype(np.uint16), kind="stable")
+    else:
+        order = np.argsort(part, kind="stable")
+    k, c = k[order], c[order]
+    for p, i, j in _runs(part[order]):
+        raw = np.diff(k[i:j], prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() + c[i:j].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+        yield p, j - i, pa.compress(raw, _CODEC, asbytes=True)
 
 
 def _unpacked(n: int, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -251,8 +262,8 @@ def _block_batch(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["part", "n", "raw"])
 
 
-def _tally(texts: DataFrame, keys_of, parts: int, least: int = 2, packed: bool = False) -> DataFrame:
-    """k and c for keys (u64 as long) that occur at least `least` times in texts; keys_of(texts) gives an array of them.
+def _tally(texts: DataFrame, keys_of, parts: int, least: int = 1, packed: bool = False) -> DataFrame:
+    """k and c for keys (u64 as long) that occur at least `least` times in texts; keys_of(column) gives an array of them.
 
     With `packed`, rows (part, n, raw) of blocks of them instead, whose keys are all different.
     """
@@ -264,9 +275,9 @@ def _tally(texts: DataFrame, keys_of, parts: int, least: int = 2, packed: bool =
             return _block_batch(list(_blocks(np.concatenate(held), parts)))
 
         for b in text_batches(batches):
-            held.append(keys_of(b.column("text").to_pylist()))
+            held.append(keys_of(b.column("text")))
             n += len(held[-1])
-            if n > 6_000_000:
+            if n > BATCH:
                 yield out()
                 held, n = [], 0
         if n:
@@ -333,9 +344,16 @@ def _each_packed(blocks: DataFrame, shard_of, work, shards: int) -> dict[int, in
                 yield _block_batch(list(_split(k, c, shard_of(k))))
 
     def close(shard, held):
-        k, c = (np.concatenate(x) for x in zip(*(_unpacked(*x) for x in held), strict=True))
+        n = sum(x for x, _ in held)
+        k, c, at = np.empty(n, np.uint64), np.empty(n, np.uint32), 0
+        for x, raw in held:
+            k[at : at + x], c[at : at + x] = _unpacked(x, raw)
+            at += x
+        held.clear()
         order = np.argsort(k)
-        return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([work(shard, k[order], c[order].astype(np.float64))])], ["k", "n"])
+        k, c = k[order], c[order]
+        del order
+        return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([work(shard, k, c)])], ["k", "n"])
 
     def run(batches):
         shard, held = -1, []
@@ -343,7 +361,6 @@ def _each_packed(blocks: DataFrame, shard_of, work, shards: int) -> dict[int, in
             for p, n, raw in zip(*(b.column(x).to_pylist() for x in ("part", "n", "raw")), strict=True):
                 if held and p != shard:
                     yield close(shard, held)
-                    held = []
                 shard = p
                 held.append((n, raw))
         if held:
@@ -353,17 +370,14 @@ def _each_packed(blocks: DataFrame, shard_of, work, shards: int) -> dict[int, in
     return {r.k: r.n for r in made}
 
 
-def train(docs: DataFrame, folder: str, least: int = 2) -> Files | None:
+def train(docs: DataFrame, folder: str, least: int = 1) -> Files | None:
     """Counts the n-grams of docs (text) and writes the model's files, with bigrams and trigrams that occur at least
     `least` times; None if there are no texts."""
     texts = docs.select(F.col("text").cast("string"))
 
     def words_of():
-        hashes = Hashes()
-
         def keys(batch):
-            h, n = _sequence(batch, hashes)
-            return h
+            return _sequence(batch)[0]
 
         return keys
 
@@ -373,6 +387,7 @@ def train(docs: DataFrame, folder: str, least: int = 2) -> Files | None:
     parts = max(1, int(rough.c or 0) // 6 // PART + 1)
     unigrams = keep(_tally(texts, _Lazy(words_of), parts, 1), f"{folder}/unigrams")
     total = unigrams.agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
+    _check(int(total.v) + 2, "words")
     bits = max(0, (int(total.v) // SHARD).bit_length())
     f = Files(folder, int(total.v), int(total.n), int(rough.n), bits)
 
@@ -383,18 +398,20 @@ def train(docs: DataFrame, folder: str, least: int = 2) -> Files | None:
     by = F.shiftrightunsigned("k", 64 - bits).cast("int") if bits else F.lit(0)
     sizes = _each(unigrams.withColumn("p", by), "p", [_order("k")], vocabulary, 1 << bits)
     f.sizes = [sizes.get(k, 0) for k in range(1 << bits)]
+    drop(docs.sparkSession, f"{folder}/unigrams")
+    release(docs.sparkSession)
 
     def bigrams_of():
-        hashes, trie = Hashes(), Trie(f)
+        trie = Trie(f)
 
         def keys(batch):
-            ids, n = _known(batch, hashes, trie)
+            ids, n = _known(batch, trie)
             u, _ = _contexts(ids, n)
             if least < 2:
-                return (u.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64)
+                return _pairs(u, ids)
             c = trie.counts(ids)  # a bigram can occur twice only if both words do
             often = (c >= 2) & (np.where(u == 0, 2, np.concatenate([[2], c[:-1]])) >= 2)
-            return (u[often].astype(np.uint64) << np.uint64(32)) | ids[often].astype(np.uint64)
+            return _pairs(u[often], ids[often])
 
         return keys
 
@@ -415,21 +432,24 @@ def train(docs: DataFrame, folder: str, least: int = 2) -> Files | None:
             second(k, np.zeros(0, np.uint64), np.zeros(0))
             made[k] = 0
     drop(docs.sparkSession, f"{folder}/bigrams")
+    release(docs.sparkSession)
     f.levels = 2
     first = spans(np.array([made[k] for k in range(f.shards)], np.int64))
+    _check(int(first[-1]), "bigrams")
 
     def trigrams_of():
-        hashes, trie = Hashes(), Trie(f)
+        trie = Trie(f)
 
         def keys(batch):
-            ids, n = _known(batch, hashes, trie)
-            v, u = _contexts(ids, n)
+            ids, n = _known(batch, trie)
+            v, _ = _contexts(ids, n)
             inner = np.ones(len(ids), bool)
             inner[spans(n)[:-1]] = False
-            s, at = trie.bigrams(v, ids)
-            i = np.flatnonzero(inner & (at >= 0))
-            i = i[at[i - 1] >= 0]
-            return ((first[s[i - 1]] + at[i - 1]).astype(np.uint64) << np.uint64(32)) | ids[i].astype(np.uint64)
+            pair, back = np.unique(_pairs(v, ids), return_inverse=True)
+            s, at = trie.bigrams(pair)
+            i = np.flatnonzero(inner & (at[back] >= 0))
+            i = i[at[back[i - 1]] >= 0]
+            return _pairs((first[s] + at)[back[i - 1]], ids[i])
 
         return keys
 
@@ -440,7 +460,12 @@ def train(docs: DataFrame, folder: str, least: int = 2) -> Files | None:
         node, w = (key >> np.uint64(32)).astype(np.int64) - first[k], (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
         x = trie.file(f"level-2-{k}")
         v = (x[11][node].astype(np.int64)) if len(node) else node
-        _level(f"{folder}/level-3-{k}", node, w, c, x[10].astype(np.float64), 10 ** trie.two(v, w))
+        lower = np.zeros(len(key))
+        for i in range(0, len(key), STEP):
+            pair, back = np.unique(_pairs(v[i : i + STEP], w[i : i + STEP]), return_inverse=True)
+            lower[i : i + STEP] = 10 ** trie.two(pair, trie.bigrams(pair), trie.one((pair & np.uint64(0xFFFFFFFF)).astype(np.int64)))[back]
+        del v
+        _level(f"{folder}/level-3-{k}", node, w, c, x[10].astype(np.float64), lower)
         return len(key)
 
     made = _each_packed(triples, lambda k: np.searchsorted(first[1:-1], (k >> np.uint64(32)).astype(np.int64), "right"), third, f.shards)
@@ -451,6 +476,11 @@ def train(docs: DataFrame, folder: str, least: int = 2) -> Files | None:
     return f
 
 
+def _check(n: int, what: str) -> None:
+    if n >= 1 << 32:
+        raise ValueError(f"{n} different {what}: their numbers have to fit in 32 bits; a larger `least` leaves out the rarest n-grams")
+
+
 class _Lazy:
     """A function that each task makes for itself when it first needs it."""
 
@@ -465,8 +495,8 @@ class _Lazy:
         return self.own(texts)
 
 
-def _known(batch: list[str | None], hashes: Hashes, trie: Trie) -> tuple[np.ndarray, np.ndarray]:
-    h, n = _sequence(batch, hashes)
+def _known(column, trie: Trie) -> tuple[np.ndarray, np.ndarray]:
+    h, n = _sequence(column)
     every, back = np.unique(h, return_inverse=True)
     return trie.ids(every)[back], n
 
@@ -477,15 +507,18 @@ def _level(path: str, node: np.ndarray, w: np.ndarray, c: np.ndarray, context: n
     Parts: pointers and successors (four arrays each), probabilities, back-off masses of nodes and, if a level follows
     (`nodes`), counts and words.
     """
-    size = np.bincount(node, minlength=len(context))
-    ends = np.cumsum(size)
-    spent = np.bincount(node, c - DISCOUNT, minlength=len(context)) / context
-    rest = np.clip(1 - spent, 1e-12, 1)
-    p = (c - DISCOUNT) / context[node] + rest[node] * lower
+    ends = np.cumsum(np.bincount(node, minlength=len(context)))
+    spent, p = np.zeros(len(context)), np.zeros(len(node), np.uint16)
+    slices = [slice(i, i + STEP) for i in range(0, len(node), STEP)]
+    for i in slices:
+        np.add.at(spent, node[i], c[i] - DISCOUNT)
+    rest = np.clip(1 - spent / context, 1e-12, 1)
+    for i in slices:
+        p[i] = quantise((c[i] - DISCOUNT) / context[node[i]] + rest[node[i]] * lower[i])
     last = np.zeros(len(context), np.int64)  # the largest successor of each node
     last[node] = w
     base = np.concatenate([[0], np.cumsum(last)[:-1]]) if len(last) else last
-    level = [*encode(np.concatenate([[0], ends])), *encode(base[node] + w), quantise(p), quantise(rest)]
+    level = [*encode(np.concatenate([[0], ends])), *encode(base[node] + w), p, quantise(rest)]
     if nodes:
         level += [c.astype(np.uint32), w.astype(np.uint32)]
     save(path, level)
@@ -498,21 +531,28 @@ def score(docs: DataFrame, files: Files | None) -> DataFrame:
     total = files.tokens if files else 0
 
     def run(batches):
-        hashes, trie = Hashes(), Trie(files) if files else None
-        for b in text_batches(batches, 2_000_000):
-            texts = b.column("text").to_pylist()
+        trie = Trie(files) if files else None
+        for b in text_batches(batches, 1_500_000):
             if trie is None:
-                n = np.array([len(space_words(t)) + 1 for t in texts], np.int64)
+                n = _sequence(b.column("text"))[1]
                 known, base, full = np.zeros(len(n), np.int64), np.zeros(len(n)), np.zeros(len(n))
             else:
-                ids, n = _known(texts, hashes, trie)
-                v, u = _contexts(ids, n)
-                one = trie.one(ids)
-                vw = trie.bigrams(v, ids)
-                uv = (np.concatenate([[0], vw[0][:-1]]), np.concatenate([[-1], vw[1][:-1]]))
-                uv[1][spans(n)[:-1]] = -1
-                p = trie.three(u, v, ids, uv, vw)
-                at = spans(n)[:-1]
+                h, n = _sequence(b.column("text"))
+                every, back = np.unique(h, return_inverse=True)
+                every = trie.ids(every)
+                ids, one, at = every[back], trie.one(every)[back], spans(n)[:-1]
+                pair, of = np.unique(_pairs(_contexts(ids, n)[0], ids), return_inverse=True)
+                found, base1 = trie.bigrams(pair), np.zeros(len(pair))
+                base1[of] = one
+                two = trie.two(pair, found, base1)
+                inner = np.ones(len(ids), bool)
+                inner[at] = False
+                i, p = np.flatnonzero(inner), two[of]
+                if trie.f.levels > 2:
+                    # in order of the bigram before, and in that of the word
+                    triple, own = np.unique(_pairs(of[i - 1], of[i]), return_inverse=True)
+                    context, last = (triple >> np.uint64(32)).astype(np.int64), (triple & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                    p[i] = trie.three(context, last, found, (pair[last] & np.uint64(0xFFFFFFFF)).astype(np.int64), two)[own]
                 known = np.add.reduceat((ids < trie.unknown).astype(np.int64), at)
                 base, full = np.add.reduceat(one, at), np.add.reduceat(p, at)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(known), pa.array(np.full(len(n), total)), pa.array(base), pa.array(full)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
@@ -520,7 +560,7 @@ def score(docs: DataFrame, files: Files | None) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def fit_and_score(docs: DataFrame, held_out: Column, least: int = 2) -> DataFrame:
+def fit_and_score(docs: DataFrame, held_out: Column, least: int = 1) -> DataFrame:
     """Learns from the rows of docs where held_out is false and scores all: doc_id, held_out and the columns of score().
 
     Null and empty texts are one end token, repeated rows count and are scored each, other columns are ignored; with

@@ -11,7 +11,6 @@ import uuid
 from urllib.parse import urlparse
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,34 +124,6 @@ def alnum_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_WORD_TABLE).split() if text else []
 
 
-class Ids(dict):
-    """Numbers words as they come; hashes() has their 64-bit hashes in that order."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-    def hashes(self, start: int = 0) -> np.ndarray:
-        from itertools import islice
-
-        return np.fromiter(map(xxhash.xxh3_64_intdigest, islice(self, start, None)), np.uint64, len(self) - start)
-
-
-class Hashes:
-    """64-bit hashes of words, of which each distinct one is hashed once; the memory in use is bounded."""
-
-    def __init__(self, most: int = 400_000):
-        self.most, self.ids, self.known = most, Ids(), np.zeros(0, np.uint64)
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        if len(self.ids) > self.most:
-            self.ids, self.known = Ids(), np.zeros(0, np.uint64)
-        at = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
-        if len(self.ids) > len(self.known):
-            self.known = np.concatenate([self.known, self.ids.hashes(len(self.known))])
-        return self.known[at]
-
-
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """splitmix64 of uint64s."""
     with np.errstate(over="ignore"):

@@ -58,7 +58,7 @@ def test_elias_fano():
 
 
 def test_language_model(spark, docs, empty):
-    got = language_model.fit_and_score(docs, shared.held_out(7, 2)).collect()
+    got = language_model.fit_and_score(docs, shared.held_out(7, 2), least=2).collect()
     rows = docs.select("doc_id", "text").collect()
     learn = [r.text for r in rows if r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 7 != 2]
     seq = lambda t: [b"<s>", *shared.space_words(t), b"</s>"]
