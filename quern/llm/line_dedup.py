@@ -38,7 +38,7 @@ CLOSE, MORE = 0.4, 128
 #: Sets of which a task remembers that it sent them.
 MEMO = 100_000
 #: Groups of up to SMALL sets are compared side by side; larger ones alone, in blocks of sets and windows of others.
-SMALL, BLOCK, WINDOW = 48, 256, 2048
+SMALL, BLOCK, WINDOW = 96, 256, 2048
 #: Words from which on a set also has a bitmap of WIDE bits.
 LONG, WIDE = 160, 512
 #: The earliest sets of a larger group, which all others meet first.
@@ -357,7 +357,7 @@ def _candidates(threshold: float, most: int | None):
         u, v, far = (np.concatenate(x) for x in zip(*found, strict=True))
         long = np.flatnonzero((rows.n[u] > LONG) & (rows.n[v] > LONG))
         if len(long):
-            x, y = (np.frombuffer(b"".join(wide[k] for k in stay[w[long]].tolist()), np.uint64).reshape(len(long), -1) for w in (u, v))
+            x, y = (np.frombuffer(b"".join(wide.take(pa.array(stay[w[long]])).to_pylist()), np.uint64).reshape(len(long), -1) for w in (u, v))
             apart, allowed = np.bitwise_count(x ^ y).sum(1), rows.allowed(u[long], v[long])
             far[long] = differing(apart, WIDE) / np.maximum(allowed, 1)
             bad = long[apart > allowed]
@@ -380,7 +380,7 @@ def _candidates(threshold: float, most: int | None):
 
         def close():
             *cols, wide = zip(*held, strict=True)
-            return settle(*(np.concatenate(x) for x in cols), [y for x in wide for y in x])
+            return settle(*(np.concatenate(x) for x in cols), pa.concat_arrays(wide))
 
         rows = 0
         for b in batches:
@@ -388,8 +388,7 @@ def _candidates(threshold: float, most: int | None):
                 continue
             g, s, doc_id, line, size, b1, b2 = (b.column(c).to_numpy(zero_copy_only=False) for c in ("g", "s", "doc_id", "line", "size", "b1", "b2"))
             wanted = b.column("open").to_numpy(zero_copy_only=False).astype(bool) if most is None else np.zeros(len(g), bool)
-            wide = b.column("wide").to_pylist() if b.column("wide").null_count < len(g) else [None] * len(g)
-            cols = [g, s, doc_id, line, size >> 32, size & 0xFFFFFFFF, b1.view(np.uint64), b2.view(np.uint64), wanted, wide]
+            cols = [g, s, doc_id, line, size >> 32, size & 0xFFFFFFFF, b1.view(np.uint64), b2.view(np.uint64), wanted, b.column("wide")]
             last = int(np.searchsorted(g, g[-1]))
             if rows and (held[-1][0][-1] != g[0] or last) and rows + last > 100_000:
                 held.append([x[:last] for x in cols])
@@ -476,16 +475,16 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD, words: int = 1, firs
     items = members(pairs, "items")
     likely = keep(_verified(pairs.groupBy("s").agg(F.min_by("t", "far").alias("t")), items, threshold), f"{at}/likely")
     others = _verified(pairs.join(likely, "s", "left_anti").select("s", "t"), items, threshold)
-    early = keep(likely.unionByName(others).distinct(), f"{at}/early")
+    early = keep(likely.unionByName(others), f"{at}/early")
     unsettled = keep(met.where("more").select("g", "s").distinct().join(early, "s", "left_anti"), f"{at}/open")
-    late = early.limit(0)
+    gone = early
     if not unsettled.isEmpty():
         groups = spark.sparkContext.broadcast(bloom(unsettled, "g"))
         rows = docs.mapInArrow(_postings(sent, firsts, threshold, words, large, groups), _POSTING)
         rows = rows.join(unsettled.select("g").distinct(), "g", "left_semi").join(unsettled.withColumn("open", F.lit(True)), ["g", "s"], "left")
         more = keep(meet(rows.withColumn("open", F.coalesce("open", F.lit(False))), None).select("s", "t").distinct(), f"{at}/more")
-        late = _verified(more, members(more, "more-items"), threshold)
-    gone = keep(early.unionByName(late).distinct(), f"{at}/gone").withColumn("gone", F.lit(True))
+        gone = keep(early.unionByName(_verified(more, members(more, "more-items"), threshold)).distinct(), f"{at}/gone")
+    gone = gone.withColumn("gone", F.lit(True))
     # the first line of a set: of its least id, and there of the least line and hash
     several = counts.join(gone, ["s", "s2"], "left").where("gone or k > 1")
     judged = keep(own.join(several.select("s", "s2", "least", "gone"), ["s", "s2"]), f"{at}/judged", "zstd")
