@@ -11,31 +11,46 @@ COUNTS = T.StructType([T.StructField(x, T.IntegerType()) for x in "ncsdi"])
 STEPS = T.ArrayType(T.StructType([T.StructField(x, T.StringType()) for x in ("ref", "hyp")]))
 
 
-def table(ref, hyp) -> np.ndarray:
-    """Least edits between prefixes of ref (rows) and hyp (columns); a row at a time in numpy."""
+def _rows(ref, hyp):
+    """For each token of ref the least edits of the prefix up to it and all prefixes of hyp; before them, those of no token."""
     vocabulary = {t: k for k, t in enumerate(dict.fromkeys([*ref, *hyp]))}
-    r = np.array([vocabulary[t] for t in ref], np.int64)
     h = np.array([vocabulary[t] for t in hyp], np.int64)
     at = np.arange(len(h) + 1)
-    out = np.zeros((len(r) + 1, len(h) + 1), np.int64)
-    out[0] = at
-    for k in range(len(r)):
-        up = out[k] + 1
-        if len(h):
-            up[1:] = np.minimum(up[1:], out[k, :-1] + (h != r[k]))
-        out[k + 1] = np.minimum.accumulate(up - at) + at  # insertions run along the row
-    return out
+    row = at
+    yield row
+    for t in ref:
+        up = row + 1
+        up[1:] = np.minimum(up[1:], row[:-1] + (h != vocabulary[t]))
+        row = np.minimum.accumulate(up - at) + at  # insertions run along the row
+        yield row
+
+
+def distance(ref, hyp) -> int:
+    """Least edits between two sequences, with two rows in memory."""
+    last = None
+    for last in _rows(ref, hyp):
+        pass
+    return int(last[-1])
 
 
 def steps(ref, hyp) -> list[tuple[str, str]]:
-    """Pairs (ref token, hyp token) of the best alignment, "" for a gap; of equal paths deletions come before insertions before pairs."""
-    d = table(ref, hyp)
+    """Pairs (ref token, hyp token) of the best alignment, "" for a gap; of equal paths deletions come before insertions before pairs.
+
+    Of each cell only the way that led to it is kept, in a byte.
+    """
+    way = np.zeros((len(ref) + 1, len(hyp) + 1), np.uint8)
+    before = None
+    for i, row in enumerate(_rows(ref, hyp)):
+        way[i, 1:] = np.where(row[1:] == row[:-1] + 1, 2, 0)
+        if i:
+            way[i, row == before + 1] = 1
+        before = row
     i, j, out = len(ref), len(hyp), []
     while i or j:
-        if i and d[i, j] == d[i - 1, j] + 1:
+        if i and way[i, j] == 1:
             i -= 1
             out.append((ref[i], ""))
-        elif j and d[i, j] == d[i, j - 1] + 1:
+        elif j and way[i, j] == 2:
             j -= 1
             out.append(("", hyp[j]))
         else:
@@ -52,20 +67,24 @@ def counts(ref, hyp) -> tuple[int, int, int, int, int]:
     return len(ref), correct, len(a) - deleted - inserted - correct, deleted, inserted
 
 
+def _listed(x) -> list:
+    return [] if x is None else list(x)
+
+
 @F.pandas_udf(COUNTS)
 def align_counts(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    rows = [counts(r, h) for r, h in zip(ref, hyp, strict=True)]
+    rows = [counts(_listed(r), _listed(h)) for r, h in zip(ref, hyp, strict=True)]
     return pd.DataFrame(rows, columns=["n", "c", "s", "d", "i"])
 
 
 @F.pandas_udf(STEPS)
 def align_steps(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    return pd.Series([[{"ref": r, "hyp": h} for r, h in steps(list(a), list(b))] for a, b in zip(ref, hyp, strict=True)])
+    return pd.Series([[{"ref": r, "hyp": h} for r, h in steps(_listed(a), _listed(b))] for a, b in zip(ref, hyp, strict=True)])
 
 
 @F.pandas_udf(T.IntegerType())
 def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([int(table(list(x), list(y))[-1, -1]) for x, y in zip(a, b, strict=True)])
+    return pd.Series([distance(_listed(x), _listed(y)) for x, y in zip(a, b, strict=True)])
 
 
 def forced_align(scores: np.ndarray, targets: list[int], blank: int = 0) -> np.ndarray:
@@ -83,9 +102,22 @@ def forced_align(scores: np.ndarray, targets: list[int], blank: int = 0) -> np.n
         best = options.max(0) + scores[t, path]
     if not len(scores):
         return np.zeros(0, np.int64)
-    k = len(path) - 1 if len(path) < 2 or best[-1] >= best[-2] else len(path) - 2
+    k = len(path) - 1 if len(path) < 2 or best[-1] > best[-2] else len(path) - 2
     out = []
     for t in range(len(scores) - 1, -1, -1):
         out.append(path[k])
         k -= back[t, k]
     return np.array(out[::-1])
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def align_frames(scores: pd.Series, targets: pd.Series) -> pd.Series:
+    """forced_align() of each row's frames (an array of scores by label each) and targets; null or empty frames give no labels."""
+
+    def one(frames, ids):
+        rows = [list(f) for f in _listed(frames)]
+        if not rows:
+            return []
+        return forced_align(np.array(rows, float).reshape(len(rows), -1), [int(x) for x in _listed(ids)]).tolist()
+
+    return pd.Series([one(f, t) for f, t in zip(scores, targets, strict=True)])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,42 @@ def dynamic_batches(df: DataFrame, shard: str, order: list[str], size: str, limi
 
 
 def pad(c, width, value, left: bool = False):
-    """An array filled up to `width` with a value."""
+    """An array filled up, or cut, to `width` with a value."""
     fill = F.array_repeat(F.lit(value), F.greatest(width - F.size(c), F.lit(0)))
-    return F.concat(fill, c) if left else F.concat(c, fill)
+    kept = F.slice(c, 1, F.least(F.size(c), width))
+    return F.concat(fill, kept) if left else F.concat(kept, fill)
+
+
+def collate(df: DataFrame, batch: list[str], fills: dict[str, object], left: bool) -> DataFrame:
+    """Pads the array columns of `fills`, each with its value, to the longest of the batch by the first of them; adds width.
+
+    Sequences pad on the left for inference and on the right for training.
+    """
+    w = Window.partitionBy(*batch)
+    out = df.withColumn("width", F.max(F.size(next(iter(fills)))).over(w))
+    return out.withColumns({c: pad(F.col(c), F.col("width"), value, left) for c, value in fills.items()})
+
+
+def batches(df: DataFrame, batch: list[str], order: str, columns: list[str]) -> DataFrame:
+    """A row a batch with the lists of its rows' columns, in order."""
+    rows = F.sort_array(F.collect_list(F.struct(order, *columns)))
+    return df.groupBy(*batch).agg(rows.alias("_rows")).select(*batch, *[F.col("_rows")[c].alias(c) for c in columns])
+
+
+def length_mask(length, width):
+    """True for the first `length` of `width` places."""
+    return F.transform(F.sequence(F.lit(1), width), lambda t: t <= length)
+
+
+def drop_prefix(frames, length, n: int = 4):
+    """Frames without the first n, and their length."""
+    return F.slice(frames, n + 1, F.greatest(F.size(frames) - n, F.lit(0))), F.greatest(length - n, F.lit(0))
+
+
+def downsampled(length, k: int):
+    return F.floor(length / k)
+
+
+def audio_seconds(df: DataFrame, batch: list[str], length: str, shift_ms: float = 10, frames: int = 6) -> DataFrame:
+    """Seconds of audio in each batch of stacked frames."""
+    return df.groupBy(*batch).agg((F.sum(length) * shift_ms * frames / 1000).alias("seconds"))

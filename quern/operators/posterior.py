@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyspark.sql.functions as F
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 
 TINY = 1e-12
 
@@ -39,3 +39,113 @@ def entropy(p: Column) -> Column:
 def best(p: Column) -> Column:
     """The lowest index of the largest value."""
     return F.array_position(p, F.array_max(p)) - 1
+
+
+def ban(v: Column, k: int) -> Column:
+    """Scores with entry k made the least there is."""
+    return F.transform(v, lambda x, i: F.when(i == k, F.lit(float("-inf"))).otherwise(x))
+
+
+def probabilities(df: DataFrame, vector: str) -> DataFrame:
+    """df with log probabilities (no entry of any row above 0) turned into probabilities."""
+    top = df.agg(F.max(F.array_max(vector)).alias("_top"))
+    both = df.crossJoin(F.broadcast(top))  # one row
+    return both.withColumn(vector, F.when(F.col("_top") <= 0, F.transform(vector, F.exp)).otherwise(F.col(vector))).drop("_top")
+
+
+def resample(df: DataFrame, key: str, frame: str, vector: str, lengths: DataFrame) -> DataFrame:
+    """key, t and the vector of the frames of each key at the length of `lengths` (key, length).
+
+    Frames are numbered from 0 in the order of `frame`; their logs are interpolated linearly (half-pixel centres) and
+    made probabilities again, also where the length stays.  A key without a length goes.
+    """
+    w = Window.partitionBy(key)
+    rows = df.select(key, (F.row_number().over(w.orderBy(frame)) - 1).cast("long").alias("t"), F.transform(F.col(vector).cast("array<double>"), lambda x: F.log(_floor(x))).alias("v"))
+    size = rows.groupBy(key).agg(F.count("*").alias("n"))
+    target = size.join(lengths.select(key, "length"), key).select(key, "n", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length").cast("long") - 1)).alias("t"))
+    src = F.greatest((F.col("t") + 0.5) * F.col("n") / F.col("length") - 0.5, F.lit(0.0))
+    low = F.least(F.floor(src), F.col("n") - 1)
+    target = target.select(key, "t", low.alias("low"), F.least(low + 1, F.col("n") - 1).alias("high"), (src - low).alias("w"))
+    a = rows.select(key, F.col("t").alias("low"), F.col("v").alias("a"))
+    b = rows.select(key, F.col("t").alias("high"), F.col("v").alias("b"))
+    both = target.join(a, [key, "low"]).join(b, [key, "high"])
+    mixed = F.zip_with("a", "b", lambda x, y: x * (1 - F.col("w")) + y * F.col("w"))
+    return both.select(key, "t", F.transform(softmax(mixed), _floor).alias(vector))
+
+
+METRICS = ("js", "sce", "top1_acc", "entropy_a", "entropy_b", "blank_frac_a", "blank_frac_b", "edit_dist", "edit_norm", "len_a", "len_b")
+
+
+def compare(a: DataFrame, b: DataFrame, key: str, frame: str, vector: str, blank: int = 0) -> DataFrame:
+    """key and METRICS for each key that both sides (key, frame, vector) have, both brought to the longer one's length."""
+    from .align import edit_distance
+    from .sequence import collapse
+
+    size = lambda d, n: d.groupBy(key).agg(F.count("*").alias(n))
+    lengths = size(a, "x").join(size(b, "y"), key).select(key, F.greatest("x", "y").alias("length"))
+    p, q = (resample(d, key, frame, vector, lengths) for d in (a, b))
+    both = p.withColumnRenamed(vector, "p").join(q.withColumnRenamed(vector, "q"), [key, "t"])
+    p, q = F.col("p"), F.col("q")
+    best_p, best_q = best(p), best(q)
+    rows = both.select(key, "t", js_distance(p, q).alias("js"), cross_entropy(p, q).alias("sce"), entropy(p).alias("ep"), entropy(q).alias("eq"), best_p.alias("ip"), best_q.alias("iq"))
+    share = lambda c: F.avg(c.cast("double"))
+    means = rows.groupBy(key).agg(
+        F.avg("js").alias("js"), F.avg("sce").alias("sce"), share(F.col("ip") == F.col("iq")).alias("top1_acc"), F.avg("ep").alias("entropy_a"), F.avg("eq").alias("entropy_b"),
+        share(F.col("ip") == blank).alias("blank_frac_a"), share(F.col("iq") == blank).alias("blank_frac_b"),
+    )
+    x, y = (collapse(rows, key, ["t"], c, blank).withColumnRenamed("ids", n) for c, n in (("ip", "x"), ("iq", "y")))
+    texts = x.join(y, key).withColumn("edit_dist", edit_distance(F.col("x").cast("array<string>"), F.col("y").cast("array<string>")))
+    len_a, len_b = F.size("x"), F.size("y")
+    out = means.join(texts, key).withColumn("edit_norm", F.col("edit_dist") / F.greatest(len_a, len_b, F.lit(1)))
+    return out.withColumns({"len_a": len_a, "len_b": len_b}).select(key, *METRICS)
+
+
+def comparison(groups: dict[str, DataFrame], key: str, frame: str, vector: str, blank: int = 0) -> DataFrame:
+    """The row of 35 columns for each key that all of ctc, clean and noise have: key, METRICS of three pairs, and delta."""
+    out = None
+    for x, y in (("ctc", "clean"), ("ctc", "noise"), ("noise", "clean")):
+        names = [m[:-1] + {"a": x, "b": y}[m[-1]] if m[-2:] in ("_a", "_b") else m for m in METRICS]
+        one = compare(groups[x], groups[y], key, frame, vector, blank).select(key, *[F.col(m).alias(f"{x}_{y}_{n}") for m, n in zip(METRICS, names, strict=True)])
+        out = one if out is None else out.join(one, key)
+    return out.withColumn("delta", F.col("ctc_noise_js") - F.col("ctc_clean_js"))
+
+
+def delta_summary(rows: DataFrame) -> DataFrame:
+    """The mean delta and the percentage of keys where it is below 0."""
+    return rows.agg(F.avg("delta").alias("mean_delta"), (F.avg((F.col("delta") < 0).cast("double")) * 100).alias("below_zero"))
+
+
+def write_comparison(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("header", True).csv(path)
+
+
+def soft_embedding(df: DataFrame, key: list[str], vector: str, table: DataFrame, blank_last: bool = False) -> DataFrame:
+    """key, h and x: the sum over v of the vector's entry v and the table's (v, h, e); its last entry can be left out as the blank."""
+    v = F.col(vector)
+    v = softmax(F.slice(v, 1, F.size(v) - 1)) if blank_last else v
+    long = df.select(*key, F.posexplode(v).alias("v", "p"))
+    return long.join(table.select("v", "h", "e"), "v").groupBy(*key, "h").agg(F.sum(F.col("p") * F.col("e")).alias("x"))
+
+
+def top1_gather(df: DataFrame, key: list[str], vector: str, table: DataFrame) -> DataFrame:
+    """key, h and x: the table's row of the vector's best entry."""
+    return df.select(*key, best(F.col(vector)).alias("v")).join(table, "v").select(*key, "h", F.col("e").alias("x"))
+
+
+def pseudo_posterior(df: DataFrame, key: str, ids: str, size: int, alpha: Column | None = None, keep: Column | None = None) -> DataFrame:
+    """key, t, id, p (of the id) and rest (of each other entry of `size`) for the ids of each text.
+
+    Without alpha and keep rows are one-hot.  alpha (of key) is the mass spread over all entries; keep (of key, at and
+    id) says which places stay, and t numbers those.
+    """
+    long = df.select(key, F.posexplode(ids).alias("at", "id"), (F.lit(0.0) if alpha is None else alpha).cast("double").alias("alpha"))
+    long = long if keep is None else long.where(keep)
+    t = F.row_number().over(Window.partitionBy(key).orderBy("at")) - 1
+    return long.select(key, t.alias("t"), "id", (1 - F.col("alpha") + F.col("alpha") / size).alias("p"), (F.col("alpha") / size).alias("rest"))
+
+
+def sinusoid(t: Column, depth: int) -> Column:
+    """Sines, then cosines, of the place t (from 1 on) at depth / 2 falling frequencies."""
+    half = depth // 2
+    angles = [t * float(10000.0 ** (-i / (half - 1))) for i in range(half)]
+    return F.array(*[F.sin(x) for x in angles], *[F.cos(x) for x in angles])

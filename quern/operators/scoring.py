@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cluster
-from .align import align_counts, align_steps
+from .align import align_counts, align_steps, edit_distance
 
 
 def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
     """Of rows with one key the last."""
+    name = "_n"
+    while name in df.columns:
+        name += "_"
     n = F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))
-    return df.withColumn("_n", n).where("_n = 1").drop("_n")
+    return df.withColumn(name, n).where(F.col(name) == 1).drop(name)
 
 
 def pairs(ref: DataFrame, hyp: DataFrame, order: str) -> DataFrame:
@@ -45,3 +48,28 @@ def token_counts(both: DataFrame) -> DataFrame:
 def by_cluster(both: DataFrame) -> DataFrame:
     """token_counts by kind of token, with the total in the row of null."""
     return token_counts(both).rollup(cluster(F.col("token")).alias("cluster")).agg(*[F.sum(x).alias(x) for x in "ncsdi"])
+
+
+def by_clusters(both: DataFrame, clusters: DataFrame) -> DataFrame:
+    """token_counts summed by the clusters (cluster, word) that name a token; tokens of no cluster are left out."""
+    return token_counts(both).join(clusters.withColumnRenamed("word", "token"), "token").groupBy("cluster").agg(*[F.sum(x).alias(x) for x in "ncsdi"])
+
+
+def errors(both: DataFrame) -> DataFrame:
+    """id, n (tokens of the reference), errors (least edits) and wer for each pair."""
+    n, e = F.size("ref"), edit_distance("ref", "hyp")
+    return both.select("id", n.alias("n"), e.alias("errors")).withColumn("wer", rate(F.col("errors"), F.col("n")))
+
+
+def line(name: str):
+    """A line of the report from columns wer, n, c, s, d and i."""
+    return F.format_string(f"{name} -> %4.2f %% N=%d C=%d S=%d D=%d I=%d", "wer", *[F.col(x).cast("long") for x in "ncsdi"])
+
+
+def report(both: DataFrame) -> DataFrame:
+    """Lines of the text report: each pair's in order of ids, the whole's, and those of the clusters of tokens."""
+    pair = per_pair(both).select(F.lit(0).alias("part"), "id", line("WER:").alias("line"))
+    whole = overall(both).select(F.lit(1).alias("part"), F.lit("").alias("id"), line("Overall").alias("line"))
+    kinds = by_cluster(both).where("cluster is not null").withColumn("wer", rate(F.col("s") + F.col("d") + F.col("i"), F.col("n")))
+    kinds = kinds.select(F.lit(2).alias("part"), F.col("cluster").alias("id"), F.concat(F.col("cluster"), line("")).alias("line"))
+    return pair.unionByName(whole).unionByName(kinds).orderBy("part", "id").select("line")

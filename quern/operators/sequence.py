@@ -28,6 +28,35 @@ def timestamps(df: DataFrame, key: str, order: list[str], symbol: str, blank, st
     return g.where(F.col("symbol") != F.lit(blank)).select(key, "run", "symbol", F.greatest(at(F.col("s")), F.lit(0.0)).alias("start"), F.least(at(F.col("e")), at(F.col("T"))).alias("end"))
 
 
+def greedy(df: DataFrame, key: str, frame: str, vector: str, blank: int = 0) -> DataFrame:
+    """key and ids: the best entry of each frame's scores, without repeats and blanks."""
+    best = df.select(key, frame, F.expr(f"array_position({vector}, array_max({vector})) - 1").alias("_id"))
+    return collapse(best, key, [frame], "_id", blank)
+
+
+def merge_encoded(df: DataFrame, key: str, frame: str, vector: str, encoded: str, blank: int = 0, threshold: float = 0.9) -> DataFrame:
+    """merge_frames() of encoder rows: key, first, frames, blank (mean probability) and the mean of `encoded` of what stays."""
+    both = df.select(key, frame, F.concat(F.array(F.col(vector)[blank].cast("double")), F.col(encoded).cast("array<double>")).alias("_both"), F.expr(f"array_position({vector}, array_max({vector})) - 1").alias("_id"))
+    r = runs(both, key, [frame], "_id").withColumn("_part", F.when(F.col("_id") == blank, F.col("t")).otherwise(-1))
+    long = r.select(key, "run", "_part", F.col(frame).alias("_f"), F.posexplode("_both").alias("_k", "_v"))
+    mean = long.groupBy(key, "run", "_part", "_k").agg(F.avg("_v").alias("_v"), F.min("_f").alias("_f"), F.count("*").alias("_n"))
+    out = mean.groupBy(key, "run", "_part").agg(F.min("_f").alias("first"), F.max("_n").alias("frames"), F.transform(F.sort_array(F.collect_list(F.struct("_k", "_v"))), lambda e: e["_v"]).alias("_all"))
+    return out.where(F.col("_all")[0] < threshold).select(key, "first", "frames", F.col("_all")[0].alias("blank"), F.expr("slice(_all, 2, size(_all) - 1)").alias("vector"))
+
+
+def position_ids(mask: Column) -> Column:
+    """Places of the unmasked entries from 0 on; 1 for masked ones."""
+    at = F.transform(mask, lambda x, i: F.aggregate(F.slice(mask, 1, i + 1), F.lit(0), lambda a, b: a + b.cast("int")) - 1)
+    return F.zip_with(mask, at, lambda m, k: F.when(m, k).otherwise(1))
+
+
+def expanded_labels(df: DataFrame, key: str, token: str, label: str, placeholder: Column, pad: int, ignore: int = -100) -> DataFrame:
+    """key, ids and labels of the new sequence, from rows with start and length of expand(): slots have the pad's id and are ignored."""
+    long = df.select(key, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("_at"), F.when(placeholder, pad).otherwise(F.col(token)).alias("_t"), F.when(placeholder, ignore).otherwise(F.col(label)).alias("_l"))
+    listed = long.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_at", "_t", "_l"))).alias("_x"))
+    return listed.select(key, F.transform("_x", lambda x: x["_t"]).alias("ids"), F.transform("_x", lambda x: x["_l"]).alias("labels"))
+
+
 def merge_frames(df: DataFrame, key: str, frame: str, vector: str, blank: int = 0, threshold: float = 0.9) -> DataFrame:
     """Posterior-guided merging of frames with posteriors `vector`.
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import batching, metrics, posterior, scoring, sequence
+from ..operators.align import align_frames
+from ..sources import manifest as M
 from ..sources.manifest import shard
 
 _ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
@@ -18,13 +20,13 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def pairs(s, d):
     c = t(s, d, "conversations")
-    ref = c.where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("id"), X.tokens(F.col("text")).alias("tokens"))
-    hyp = c.where("role = 'assistant'").select(F.concat_ws("-", "conv_id", F.col("turn") - 1).alias("id"), X.tokens(F.col("text")).alias("tokens"), "turn")
+    ref = c.where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("id"), X.words(F.col("text")).alias("tokens"))
+    hyp = c.where("role = 'assistant'").select(F.concat_ws("-", "conv_id", F.col("turn") - 1).alias("id"), X.words(F.col("text")).alias("tokens"), "turn")
     return scoring.pairs(ref, hyp, "turn")
 
 
 def probabilities(s, d):
-    return t(s, d, "embeddings").select("vec_id", "label", posterior.softmax(F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double") * 20)).alias("p"))
+    return t(s, d, "embeddings").select("vec_id", "label", posterior.softmax(F.transform("embedding", lambda x: x.cast("double") * 20)).alias("p"))
 
 
 def neighbours(s, d):
@@ -36,7 +38,7 @@ def sized(s, d):
     return t(s, d, "events").select("user_id", "ts", "event_id", (F.floor("value") % 50 + 1).cast("int").alias("size"))
 
 
-_SOFT = "SELECT vec_id, label, list_transform(e, lambda x: exp(x - list_max(e)) / list_sum(list_transform(e, lambda y: exp(y - list_max(e))))) AS p FROM (SELECT vec_id, label, list_transform(embedding[1:8], lambda x: x::DOUBLE * 20) AS e FROM embeddings)"
+_SOFT = "SELECT vec_id, label, list_transform(e, lambda x: exp(x - list_max(e)) / list_sum(list_transform(e, lambda y: exp(y - list_max(e))))) AS p FROM (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE * 20) AS e FROM embeddings)"
 _NEAR = f"WITH e AS ({_SOFT}), n AS (SELECT a.vec_id, a.p, b.p AS q FROM e a JOIN e b ON b.vec_id = a.vec_id + 1) "
 _RUNS = """WITH f AS (SELECT user_id, event_type AS x, row_number() OVER w - 1 AS t, (lag(event_type) OVER w IS DISTINCT FROM event_type)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 g AS (SELECT user_id, x, t, sum(new) OVER (PARTITION BY user_id ORDER BY t) AS run, count(*) OVER (PARTITION BY user_id) AS n FROM f) """
@@ -46,6 +48,108 @@ r AS (SELECT user_id, event_id, size, k, 0 AS batch, 1 AS n, size AS longest FRO
  CASE WHEN (r.n + 1) * greatest(r.longest, s.size) > 200 THEN s.size ELSE greatest(r.longest, s.size) END FROM r JOIN s ON s.user_id = r.user_id AND s.k = r.k + 1) """
 _WS = r"[ \t\n\r\f\x0b]+"
 _LANG = " ".join(f"WHEN '{k}' THEN {v}" for k, v in X.LANGUAGES.items())
+_CHAR = f"list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '{X.TOKEN}'), lambda x: regexp_replace(upper(replace(x, 'ß', 'ss')), '(?s)<[^>]*>?', '', 'g')), lambda x: x != '')"
+_PAIRS = f"k AS (SELECT conv_id, turn, role, {_CHAR} AS w FROM conversations), q AS (SELECT r.conv_id || '-' || r.turn AS id, r.w AS ref, h.w AS hyp FROM k r JOIN k h ON r.conv_id = h.conv_id AND h.turn = r.turn + 1 WHERE r.role = 'user' AND h.role = 'assistant')"
+
+
+def _edits(pairs: str) -> str:
+    """SQL of the least edits of each pair: a row of the table a step, insertions as least values along the row."""
+    return f"""WITH RECURSIVE {pairs}, d AS (SELECT id, ref, hyp, 0 AS i, list_transform(range(0, len(hyp) + 1), lambda x: x::BIGINT) AS row FROM q UNION ALL
+    SELECT id, ref, hyp, i + 1, list_transform(range(0, len(hyp) + 1), lambda j: j + list_min(list_transform(up[1:j + 1], lambda x, m: x - (m - 1)))) FROM
+    (SELECT id, ref, hyp, i, list_transform(range(0, len(hyp) + 1), lambda j: CASE WHEN j = 0 THEN i + 1 ELSE least(row[j + 1] + 1, row[j] + (hyp[j] != ref[i + 1])::BIGINT) END) AS up FROM d WHERE i < len(ref))),
+    e AS (SELECT id, len(ref)::INTEGER AS n, row[len(hyp) + 1]::INTEGER AS errors FROM d WHERE i = len(ref)) """
+
+
+_RATE = "round(CASE WHEN n > 0 THEN 100.0::DOUBLE * errors / n ELSE 0 END, 6) AS wer"
+_DIGITS = "list_filter(w, lambda x: regexp_matches(x, '[0-9]'))"
+_FRAMES = "f AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t, list_transform(p, lambda x: ln(greatest(x, 1e-12))) AS v FROM (%s)), c AS (SELECT label, count(*) AS n FROM f GROUP BY label)"
+
+
+def _resampled(o: int, sizes: str) -> str:
+    """SQL of the frames of label (key + o) % 10 at the lengths m of sizes (key, m)."""
+    return f"""(SELECT key, t, list_transform(e, lambda x: greatest(x / list_sum(e), 1e-12)) AS p FROM (SELECT key, t, list_transform(v, lambda x: exp(x - list_max(v))) AS e FROM (
+    SELECT s.key, s.t, list_transform(list_zip(a.v, b.v), lambda z: z[1] * (1 - s.w) + z[2] * s.w) AS v FROM (SELECT key, l, t, lo, least(lo + 1, n - 1) AS hi, src - lo AS w FROM
+    (SELECT *, least(floor(src)::BIGINT, n - 1) AS lo FROM (SELECT u.key, c.label AS l, c.n, u.t, greatest((u.t + 0.5::DOUBLE) * c.n / u.m - 0.5, 0) AS src
+    FROM (SELECT key, m, unnest(range(0, m)) AS t FROM ({sizes})) u JOIN c ON c.label = (u.key + {o}) % 10))) s JOIN f a ON a.label = s.l AND a.t = s.lo JOIN f b ON b.label = s.l AND b.t = s.hi)))"""
+
+
+def _compared(a: int, b: int, name: str) -> str:
+    """SQL (common table expressions) of the comparison of labels key + a and key + b."""
+    sizes = f"SELECT k.label AS key, greatest(x.n, y.n) AS m FROM c k JOIN c x ON x.label = (k.label + {a}) % 10 JOIN c y ON y.label = (k.label + {b}) % 10"
+    term = "0.5 * z[1] * (ln(z[1]) - ln((z[1] + z[2]) / 2)) + 0.5 * z[2] * (ln(z[2]) - ln((z[1] + z[2]) / 2))"
+    sequence = lambda i: f"coalesce(string_agg(chr(48 + {i}::INTEGER), '' ORDER BY t) FILTER ({i} != 0 AND {i} IS DISTINCT FROM b{i}), '')"
+    return f"""{name}_r AS (SELECT x.key, x.t, x.p, y.p AS q FROM {_resampled(a, sizes)} x JOIN {_resampled(b, sizes)} y ON x.key = y.key AND x.t = y.t),
+    {name}_i AS (SELECT key, t, sqrt(greatest(list_sum(list_transform(list_zip(p, q), lambda z: {term})), 0)) AS js, list_sum(list_transform(list_zip(p, q), lambda z: -0.5 * (z[1] * ln(z[2]) + z[2] * ln(z[1])))) AS sce,
+      list_sum(list_transform(p, lambda x: -x * ln(x))) AS ep, list_sum(list_transform(q, lambda x: -x * ln(x))) AS eq, list_position(p, list_max(p)) - 1 AS ip, list_position(q, list_max(q)) - 1 AS iq FROM {name}_r),
+    {name}_j AS (SELECT *, lag(ip) OVER (PARTITION BY key ORDER BY t) AS bip, lag(iq) OVER (PARTITION BY key ORDER BY t) AS biq FROM {name}_i),
+    {name} AS (SELECT *, levenshtein(x, y)::INTEGER AS edit_dist, levenshtein(x, y)::DOUBLE / greatest(len(x), len(y), 1) AS edit_norm FROM (SELECT key, avg(js) AS js, avg(sce) AS sce, avg((ip = iq)::INT) AS top1_acc, avg(ep) AS entropy_a, avg(eq) AS entropy_b,
+      avg((ip = 0)::INT) AS blank_frac_a, avg((iq = 0)::INT) AS blank_frac_b, {sequence('ip')} AS x, {sequence('iq')} AS y FROM {name}_j GROUP BY key))"""
+
+
+def labelled(s, d, o: int):
+    """Frames (key, vec_id, p) of the label key + o, modulo 10."""
+    return probabilities(s, d).select(F.pmod(F.col("label") - o, F.lit(10)).alias("key"), "vec_id", "p")
+
+
+def compared(s, d):
+    return posterior.comparison({"ctc": labelled(s, d, 0), "clean": labelled(s, d, 1), "noise": labelled(s, d, 2)}, "key", "vec_id", "p")
+
+
+def mean_table(s, d):
+    """v, h and e: the mean entry v of the vectors of label h."""
+    long = t(s, d, "embeddings").select(F.col("label").alias("h"), F.posexplode("embedding").alias("v", "e"))
+    return long.groupBy("v", "h").agg(F.avg(F.col("e").cast("double")).alias("e"))
+
+
+_TABLE = "(SELECT v - 1 AS v, h, avg(e) AS e FROM (SELECT label AS h, unnest(range(1, 65)) AS v, unnest(embedding)::DOUBLE AS e FROM embeddings) GROUP BY ALL)"
+_LENGTHS = r"list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r\f\x0b]+'), lambda x: x != ''), lambda x: len(x)::INTEGER)"
+
+
+def lengths(c):
+    """The lengths of a text's words, as ids that any engine makes alike."""
+    return F.transform(F.filter(F.split(F.coalesce(c, F.lit("")), r"[ \t\r\n\f\x0b]+"), lambda x: x != ""), F.length)
+
+
+def collated(s, d, left: bool):
+    rows = t(s, d, "conversations").select("conv_id", "turn", lengths(F.col("text")).alias("ids")).withColumn("mask", M.attention(F.col("ids")))
+    out = batching.collate(rows, ["conv_id"], {"ids": 0, "mask": False}, left)
+    return out.select("conv_id", "turn", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"), F.array_join(F.transform("mask", lambda x: x.cast("int").cast("string")), "").alias("mask"))
+
+
+def _collated(left: bool) -> str:
+    fill = "list_transform(range(0, width - len(ids)), lambda x: %s)"
+    ids, mask = (f"{fill % f} || {x}" if left else f"{x} || {fill % f}" for f, x in (("0::INTEGER", "ids"), ("0", "list_transform(ids, lambda x: 1)")))
+    return f"SELECT conv_id, turn, array_to_string({ids}, ' ') AS ids, array_to_string({mask}, '') AS mask FROM (SELECT *, max(len(ids)) OVER (PARTITION BY conv_id) AS width FROM (SELECT conv_id, turn, {_LENGTHS} AS ids FROM conversations))"
+
+
+_PROMPTS = {"en": "Say {} now.", "de": "Sag es.", "fr": "Dis-le.", "es": "Dilo."}
+
+
+def prompted(s, d, append):
+    """Documents as a manifest: the language is the task, the source goes where the task's prompt asks for more."""
+    langs = t(s, d, "documents").select("lang").distinct()  # a row a language
+    prompts = langs.select(F.col("lang").alias("task"), F.array(F.coalesce(F.create_map(*[F.lit(x) for kv in _PROMPTS.items() for x in kv])[F.col("lang")], F.lit("Go on."))).alias("prompts"))
+    rows = t(s, d, "documents").select(F.col("doc_id").cast("string").alias("key"), F.col("lang").alias("task"), F.col("source").alias("en"))
+    return M.with_prompt(rows, prompts, "<speech>{}", append=append).select("key", "prompt")
+
+
+_PROMPT = "CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _PROMPTS.items()) + " ELSE 'Go on.' END"
+
+
+def sequences(s, d):
+    """Prompt and target ids of the documents: the lengths of the language's name and of the text's words, with 2 at the end."""
+    docs = t(s, d, "documents").select("doc_id", F.array(F.length("lang")).alias("prompt"), F.concat(lengths(F.col("text")), F.array(F.lit(2))).alias("target"))
+    return docs.withColumns({"ids": F.concat("prompt", "target"), "labels": M.labels(F.col("prompt"), F.col("target"))})
+
+
+def frames(s, d):
+    """Frames of the user's events: a score for each kind of event."""
+    kinds = ["click", "purchase", "signup", "view"]
+    e = t(s, d, "events")
+    return e.select("user_id", "ts", "event_id", F.array(*[F.when(F.col("event_type") == k, F.lit(1.0)).otherwise(F.pmod("event_id", F.lit(7)) / 100.0 + i / 1000.0) for i, k in enumerate(kinds)]).alias("scores"))
+
+
+_SCORES = "[" + ", ".join(f"CASE WHEN event_type = '{k}' THEN 1.0::DOUBLE ELSE (event_id % 7) / 100.0::DOUBLE + {i} / 1000.0::DOUBLE END" for i, k in enumerate(["click", "purchase", "signup", "view"])) + "]"
 _TOK = f"list_filter(regexp_split_to_array(upper(replace(text, 'ß', 'ss')), '{_WS}'), lambda x: x != '')"
 _EXPAND = "SELECT *, sum(length) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) - length AS start FROM (SELECT *, CASE WHEN l_returnflag = 'R' THEN floor(l_quantity)::BIGINT ELSE 1 END AS length FROM lineitem)"
 
@@ -57,7 +161,7 @@ CATALOGUE = {
     "wer_by_cluster_rollup": (lambda s, d: scoring.by_cluster(pairs(s, d)), None),
     "wer_reference_tokens": (
         lambda s, d: pairs(s, d).agg(F.sum(F.size("ref")).alias("ref_tokens"), F.sum(F.size("hyp")).alias("hyp_tokens"), F.count("*").alias("pairs")),
-        f"WITH k AS (SELECT conv_id, turn, role, {_TOK} AS w FROM conversations) SELECT sum(len(r.w))::BIGINT AS ref_tokens, sum(len(h.w))::BIGINT AS hyp_tokens, count(*) AS pairs FROM k r JOIN k h ON r.conv_id = h.conv_id AND h.turn = r.turn + 1 WHERE r.role = 'user' AND h.role = 'assistant'",
+        f"WITH {_PAIRS} SELECT sum(len(ref))::BIGINT AS ref_tokens, sum(len(hyp))::BIGINT AS hyp_tokens, count(*) AS pairs FROM q",
     ),
     "hyp_last_wins": (
         lambda s, d: scoring.last_wins(t(s, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id"),
@@ -65,19 +169,19 @@ CATALOGUE = {
     ),
     "norm_target_train": (
         lambda s, d: t(s, d, "documents").select("doc_id", X.train_target(F.col("text")).alias("target")),
-        r"SELECT doc_id, trim(lower(regexp_replace(text, '[^A-Za-z\s.,!?'']+', '', 'g')), ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)) AS target FROM documents",
+        f"SELECT doc_id, trim(lower(regexp_replace(text, '[^A-Za-z{X.SPACES}.,!?'']+', '', 'g')), '{X.SPACES}') AS target FROM documents",
     ),
     "norm_target_decode": (
         lambda s, d: t(s, d, "documents").select("doc_id", X.decode_target(F.col("text")).alias("target")),
-        r"SELECT doc_id, trim(lower(regexp_replace(text, '[^A-Za-z\s.,!?]+', '', 'g')), ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)) AS target FROM documents",
+        f"SELECT doc_id, trim(lower(regexp_replace(text, '[^A-Za-z{X.SPACES}.,!?]+', '', 'g')), '{X.SPACES}') AS target FROM documents",
     ),
     "strip_tags": (
         lambda s, d: t(s, d, "pages").select("page_id", X.strip_tags(F.col("html")).alias("text")),
         "SELECT page_id, regexp_replace(html, '(?s)<[^>]*>?', '', 'g') AS text FROM pages",
     ),
     "clean_marks_ascii": (
-        lambda s, d: t(s, d, "benchmark").select("item_id", X.clean_marks(F.col("text")).alias("text")),
-        r"SELECT item_id, regexp_replace(text, '[\x00-\x1F\x7F!-%(-,./:-@\[-`{-~]', '', 'g') AS text FROM benchmark",
+        lambda s, d: t(s, d, "documents").select("doc_id", X.clean_marks(F.col("text")).alias("text")),
+        f"SELECT doc_id, regexp_replace(text, '{X.MARKS.replace("'", "''")}', '', 'g') AS text FROM documents",
     ),
     "token_cluster_ascii": (
         lambda s, d: t(s, d, "documents").select(F.explode(X.tokens(F.col("text"))).alias("token")).groupBy(X.cluster(F.col("token")).alias("cluster")).agg(F.count("*").alias("n")),
@@ -85,15 +189,140 @@ CATALOGUE = {
     ),
     "token_union_distinct": (
         lambda s, d: pairs(s, d).select(F.explode(F.concat("ref", "hyp")).alias("token")).distinct(),
-        f"WITH k AS (SELECT conv_id, turn, role, {_TOK} AS w FROM conversations) SELECT DISTINCT unnest(r.w || h.w) AS token FROM k r JOIN k h ON r.conv_id = h.conv_id AND h.turn = r.turn + 1 WHERE r.role = 'user' AND h.role = 'assistant'",
+        f"WITH {_PAIRS} SELECT DISTINCT unnest(ref || hyp) AS token FROM q",
     ),
     "ignore_words_anti": (
-        lambda s, d: t(s, d, "benchmark").select("item_id", F.array_except(X.tokens(F.col("text")), F.array(F.lit("THE"), F.lit("OF"), F.lit("AND"))).alias("k")).select("item_id", F.size("k").alias("kept")),
-        f"SELECT item_id, len(list_distinct(list_filter({_TOK}, lambda x: x NOT IN ('THE', 'OF', 'AND'))))::INTEGER AS kept FROM benchmark",
+        lambda s, d: t(s, d, "documents").select("doc_id", F.size(X.normalize(X.characterize(F.coalesce("text", F.lit(""))), F.array(F.lit("THE"), F.lit("OF"), F.lit("AND")))).alias("kept")),
+        f"SELECT doc_id, len(list_filter(list_transform(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '{X.TOKEN}'), lambda x: upper(replace(x, 'ß', 'ss'))), lambda x: x NOT IN ('THE', 'OF', 'AND')), lambda x: regexp_replace(x, '(?s)<[^>]*>?', '', 'g')), lambda x: x != ''))::INTEGER AS kept FROM documents",
     ),
     "split_words_flatten": (
-        lambda s, d: t(s, d, "benchmark").select("item_id", F.size(F.flatten(F.transform(X.tokens(F.col("text")), lambda x: F.when(x == "THE", F.array(F.lit("T"), F.lit("HE"))).otherwise(F.array(x))))).alias("n")),
-        f"SELECT item_id, len(flatten(list_transform({_TOK}, lambda x: CASE WHEN x = 'THE' THEN ['T', 'HE'] ELSE [x] END)))::INTEGER AS n FROM benchmark",
+        lambda s, d: t(s, d, "documents").select("doc_id", F.array_join(X.normalize(X.characterize(F.coalesce("text", F.lit(""))), split=F.create_map(F.lit("THE"), F.array(F.lit("T"), F.lit("HE")), F.lit("AND"), F.array(F.lit("A"), F.lit("N"), F.lit("D")))), " ").alias("words")),
+        f"SELECT doc_id, array_to_string(flatten(list_transform({_CHAR}, lambda x: CASE WHEN x = 'THE' THEN ['T', 'HE'] WHEN x = 'AND' THEN ['A', 'N', 'D'] ELSE [x] END)), ' ') AS words FROM documents",
+    ),
+    "characterize": (
+        lambda s, d: t(s, d, "documents").select("doc_id", F.array_join(X.characterize(F.coalesce("text", F.lit(""))), "|").alias("tokens")),
+        f"SELECT doc_id, array_to_string(regexp_extract_all(coalesce(text, ''), '{X.TOKEN}'), '|') AS tokens FROM documents",
+    ),
+    "wer_errors_per_pair": (
+        lambda s, d: scoring.errors(pairs(s, d)).withColumn("wer", F.round("wer", 6)),
+        _edits(_PAIRS) + f"SELECT id, n, errors, {_RATE} FROM e",
+    ),
+    "wer_errors_overall": (
+        lambda s, d: scoring.errors(pairs(s, d)).agg(F.sum("n").alias("n"), F.sum("errors").alias("errors")).withColumn("wer", F.round(scoring.rate(F.col("errors"), F.col("n")), 6)),
+        _edits(_PAIRS) + f"SELECT n, errors, {_RATE} FROM (SELECT sum(n)::BIGINT AS n, sum(errors)::BIGINT AS errors FROM e)",
+    ),
+    "wer_zero_ref": (
+        lambda s, d: scoring.errors(pairs(s, d).withColumns({c: F.filter(c, lambda x: x.rlike("[0-9]")) for c in ("ref", "hyp")})).withColumn("wer", F.round("wer", 6)),
+        _edits(_PAIRS.replace("r.w AS ref, h.w AS hyp", f"{_DIGITS.replace('(w', '(r.w')} AS ref, {_DIGITS.replace('(w', '(h.w')} AS hyp")) + f"SELECT id, n, errors, {_RATE} FROM e",
+    ),
+    "wer_report": (lambda s, d: scoring.report(pairs(s, d)), None),
+    "prompt_join": (
+        lambda s, d: prompted(s, d, ()),
+        f"SELECT doc_id::VARCHAR AS key, '<speech>' || {_PROMPT} AS prompt FROM documents",
+    ),
+    "prompt_append_info": (
+        lambda s, d: prompted(s, d, ("en",)),
+        f"SELECT doc_id::VARCHAR AS key, '<speech>' || CASE WHEN lang = 'en' THEN replace({_PROMPT}, '{{}}', coalesce(source, '')) ELSE {_PROMPT} END AS prompt FROM documents",
+    ),
+    "sequence_labels": (
+        lambda s, d: sequences(s, d).select("doc_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"), F.array_join(F.transform("labels", lambda x: x.cast("string")), " ").alias("labels"), F.size(M.attention(F.col("ids"))).alias("n")),
+        f"SELECT doc_id, array_to_string([len(lang)] || w || [2], ' ') AS ids, array_to_string([-100] || w || [2], ' ') AS labels, (len(w) + 2)::INTEGER AS n FROM (SELECT doc_id, lang, {_LENGTHS} AS w FROM documents)",
+    ),
+    "encode_words": (
+        lambda s, d: M.encode(t(s, d, "benchmark").select("item_id", X.words(F.col("text")).alias("w")), "item_id", "w", M.vocabulary(pairs(s, d).select(F.explode("ref").alias("word"))), -1).select("item_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids")),
+        f"WITH {_PAIRS}, v AS (SELECT word, row_number() OVER (ORDER BY encode(word)) AS id FROM (SELECT DISTINCT unnest(ref) AS word FROM q)), b AS (SELECT item_id, {_CHAR} AS w FROM benchmark), l AS (SELECT item_id, unnest(w) AS word, unnest(range(0, len(w))) AS place FROM b), x AS (SELECT l.item_id, string_agg(coalesce(v.id, 0)::VARCHAR, ' ' ORDER BY place) AS ids FROM l LEFT JOIN v USING (word) GROUP BY l.item_id) SELECT b.item_id, coalesce(x.ids || ' ', '') || '-1' AS ids FROM b LEFT JOIN x USING (item_id)",
+    ),
+    "collate_left": (lambda s, d: collated(s, d, True), _collated(True)),
+    "collate_right": (lambda s, d: collated(s, d, False), _collated(False)),
+    "batch_lists": (
+        lambda s, d: batching.batches(batching.dynamic_batches(sized(s, d), "user_id", ["ts", "event_id"], "size", 200), ["user_id", "batch"], "ts", ["event_id", "size"]).select("user_id", "batch", F.array_join(F.transform("event_id", lambda x: x.cast("string")), " ").alias("events")),
+        _FOLD.replace("s AS (SELECT user_id, event_id,", "s AS (SELECT user_id, event_id, ts,") + "SELECT user_id, batch, string_agg(event_id::VARCHAR, ' ' ORDER BY k) AS events FROM r GROUP BY user_id, batch",
+    ),
+    "length_mask": (
+        lambda s, d: sized(s, d).select("event_id", F.array_join(F.transform(batching.length_mask(F.col("size"), F.lit(50)), lambda x: x.cast("int").cast("string")), "").alias("mask")),
+        "SELECT event_id, repeat('1', size) || repeat('0', 50 - size) AS mask FROM (SELECT event_id, (floor(value) % 50 + 1)::INT AS size FROM events)",
+    ),
+    "prefix_drop": (
+        lambda s, d: t(s, d, "embeddings").select("vec_id", *[c.alias(n) for c, n in zip(batching.drop_prefix(F.col("embedding"), F.col("vec_id") % 9, 4), ("kept", "length"), strict=True)]).select("vec_id", F.size("kept").alias("n"), F.round(F.col("kept")[0].cast("double"), 6).alias("first"), "length", batching.downsampled(F.col("length"), 2).alias("half")),
+        "SELECT vec_id, len(embedding[5:])::INTEGER AS n, round(embedding[5]::DOUBLE, 6) AS first, greatest(vec_id % 9 - 4, 0) AS length, greatest(vec_id % 9 - 4, 0) // 2 AS half FROM embeddings",
+    ),
+    "audio_seconds": (
+        lambda s, d: batching.audio_seconds(sized(s, d), ["user_id"], "size").select("user_id", F.round("seconds", 6).alias("seconds")),
+        "SELECT user_id, round(sum(floor(value) % 50 + 1) * 60.0::DOUBLE / 1000, 6) AS seconds FROM events GROUP BY user_id",
+    ),
+    "ctc_greedy_decode": (
+        lambda s, d: sequence.greedy(frames(s, d).withColumn("at", F.struct("ts", "event_id")), "user_id", "at", "scores", 3).select("user_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids")),
+        f"""WITH f AS (SELECT user_id, ts, event_id, list_position(v, list_max(v)) - 1 AS id FROM (SELECT user_id, ts, event_id, {_SCORES} AS v FROM events)), g AS (SELECT *, lag(id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM f)
+        SELECT user_id, coalesce(string_agg(id::VARCHAR, ' ' ORDER BY ts, event_id) FILTER (id != 3 AND id IS DISTINCT FROM b), '') AS ids FROM g GROUP BY user_id""",
+    ),
+    "ban_entry": (
+        lambda s, d: probabilities(s, d).select("vec_id", posterior.best(posterior.ban(F.col("p"), 0)).alias("best")),
+        f"SELECT vec_id, list_position(p[2:], list_max(p[2:])) AS best FROM ({_SOFT})",
+    ),
+    "log_prob_detect": (
+        lambda s, d: posterior.probabilities(probabilities(s, d).withColumn("p", F.transform("p", lambda x: F.log(x))), "p").select("vec_id", F.round(F.array_max("p"), 6).alias("top")),
+        f"SELECT vec_id, round(list_max(p), 6) AS top FROM ({_SOFT})",
+    ),
+    "psd_encoder_merge": (
+        lambda s, d: sequence.merge_encoded(probabilities(s, d).join(t(s, d, "embeddings").select("vec_id", "embedding"), "vec_id").withColumn("u", F.col("vec_id") % 20), "u", "vec_id", "p", "embedding").select("u", "first", F.col("frames").cast("long").alias("frames"), F.round("blank", 6).alias("blank"), F.round(F.col("vector")[63], 6).alias("last")),
+        f"""WITH e AS (SELECT x.*, y.embedding FROM ({_SOFT}) x JOIN embeddings y USING (vec_id)), b AS (SELECT vec_id % 20 AS u, vec_id, p, embedding, list_position(p, list_max(p)) - 1 AS id FROM e),
+        c AS (SELECT *, sum(new) OVER (PARTITION BY u ORDER BY vec_id) AS run FROM (SELECT *, (lag(id) OVER (PARTITION BY u ORDER BY vec_id) IS DISTINCT FROM id)::INT AS new FROM b))
+        SELECT u, min(vec_id) AS first, count(*) AS frames, round(avg(p[1]), 6) AS blank, round(avg(embedding[64]::DOUBLE), 6) AS last FROM c GROUP BY u, run, CASE WHEN id = 0 THEN vec_id ELSE -1 END HAVING avg(p[1]) < 0.9""",
+    ),
+    "resample_log_linear": (
+        lambda s, d: posterior.resample(labelled(s, d, 0), "key", "vec_id", "p", labelled(s, d, 0).groupBy("key").agg((F.count("*") + 3).alias("length"))).select("key", "t", F.round(F.col("p")[0], 6).alias("first"), F.round(F.array_max("p"), 6).alias("top")),
+        f"WITH {_FRAMES % _SOFT} SELECT key, t, round(p[1], 6) AS first, round(list_max(p), 6) AS top FROM {_resampled(0, 'SELECT label AS key, n + 3 AS m FROM c')}",
+    ),
+    "comparison": (
+        lambda s, d: compared(s, d).select("key", *[F.round(c, 6).alias(c) if k in ("double",) else F.col(c) for c, k in compared(s, d).dtypes if c != "key"]),
+        f"WITH {_FRAMES % _SOFT}, {_compared(0, 1, 'ctc_clean')}, {_compared(0, 2, 'ctc_noise')}, {_compared(2, 1, 'noise_clean')} SELECT key, "
+        + ", ".join(
+            f"{r}.{m} AS {n}" if m == "edit_dist" else f"len({r}.{'x' if m == 'len_a' else 'y'})::INTEGER AS {n}" if m.startswith("len") else f"round({r}.{m}, 6) AS {n}"
+            for r in ("ctc_clean", "ctc_noise", "noise_clean")
+            for m in posterior.METRICS
+            for n in [f"{r}_{m[:-1] + r.split('_')[m[-1] == 'b'] if m[-2:] in ('_a', '_b') else m}"]
+        )
+        + ", round(ctc_noise.js - ctc_clean.js, 6) AS delta FROM ctc_clean JOIN ctc_noise USING (key) JOIN noise_clean USING (key)",
+    ),
+    "delta_summary": (
+        lambda s, d: posterior.delta_summary(compared(s, d)).select(F.round("mean_delta", 6).alias("mean_delta"), F.round("below_zero", 6).alias("below_zero")),
+        f"WITH {_FRAMES % _SOFT}, {_compared(0, 1, 'x')}, {_compared(0, 2, 'y')} SELECT round(avg(y.js - x.js), 6) AS mean_delta, round(avg((y.js < x.js)::INT) * 100, 6) AS below_zero FROM x JOIN y USING (key)",
+    ),
+    "soft_embedding": (
+        lambda s, d: posterior.soft_embedding(probabilities(s, d), ["vec_id"], "p", mean_table(s, d), blank_last=True).select("vec_id", "h", F.round("x", 6).alias("x")),
+        f"SELECT vec_id, h, round(sum(x * e), 6) AS x FROM (SELECT vec_id, unnest(range(0, 63)) AS v, unnest(list_transform(q, lambda x: exp(x - list_max(q)) / list_sum(list_transform(q, lambda y: exp(y - list_max(q)))))) AS x FROM (SELECT vec_id, p[1:63] AS q FROM ({_SOFT}))) JOIN {_TABLE} USING (v) GROUP BY vec_id, h",
+    ),
+    "top1_gather": (
+        lambda s, d: posterior.top1_gather(probabilities(s, d), ["vec_id"], "p", mean_table(s, d)).select("vec_id", "h", F.round("x", 6).alias("x")),
+        f"SELECT vec_id, h, round(e, 6) AS x FROM (SELECT vec_id, list_position(p, list_max(p)) - 1 AS v FROM ({_SOFT})) JOIN {_TABLE} USING (v)",
+    ),
+    "pseudo_posterior_onehot": (
+        lambda s, d: posterior.pseudo_posterior(sequences(s, d), "doc_id", "target", 64).select("doc_id", "t", "id", "p"),
+        f"SELECT doc_id, unnest(range(0, len(w)))::INTEGER AS t, unnest(w) AS id, 1.0::DOUBLE AS p FROM (SELECT doc_id, {_LENGTHS} || [2] AS w FROM documents)",
+    ),
+    "pseudo_posterior_smooth": (
+        lambda s, d: posterior.pseudo_posterior(sequences(s, d), "doc_id", "target", 64, F.col("doc_id") * 7919 % 1000 / 10000, (F.col("doc_id") * 31 + F.col("at") * 17) % 20 != 0).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("t").alias("last"), F.sum("id").alias("ids"), F.round(F.max("p"), 6).alias("p"), F.round(F.max("rest"), 6).alias("rest")),
+        f"SELECT doc_id, count(*) AS n, (count(*) - 1)::INTEGER AS last, sum(id)::BIGINT AS ids, round(max(1 - a + a / 64), 6) AS p, round(max(a / 64), 6) AS rest FROM (SELECT doc_id, doc_id * 7919 % 1000 / 10000.0::DOUBLE AS a, unnest(range(0, len(w))) AS place, unnest(w) AS id FROM (SELECT doc_id, {_LENGTHS} || [2] AS w FROM documents)) WHERE (doc_id * 31 + place * 17) % 20 != 0 GROUP BY doc_id",
+    ),
+    "next_token_accuracy": (
+        lambda s, d: metrics.next_token_accuracy(sequences(s, d), "ids", "labels").select(F.round("accuracy", 6).alias("accuracy")),
+        f"SELECT round(avg((x = y)::INT), 6) AS accuracy FROM (SELECT unnest(i[1:len(i) - 1]) AS x, unnest(i[2:]) AS y FROM (SELECT [len(lang)] || {_LENGTHS} || [2] AS i FROM documents))",
+    ),
+    "sinusoid": (
+        lambda s, d: t(s, d, "nation").select("n_nationkey", F.transform(posterior.sinusoid(F.col("n_nationkey") + 1, 8), lambda x: F.round(x, 6)).alias("x")).select("n_nationkey", F.col("x")[1].alias("sine"), F.col("x")[5].alias("cosine")),
+        "SELECT n_nationkey, round(sin((n_nationkey + 1) * pow(10000.0, -1.0 / 3)), 6) AS sine, round(cos((n_nationkey + 1) * pow(10000.0, -1.0 / 3)), 6) AS cosine FROM nation",
+    ),
+    "run_averages": (
+        lambda s, d: metrics.run_averages(t(s, d, "events"), ["value"]).select(F.round("value", 6).alias("value")),
+        "SELECT round(coalesce(avg(value), 0), 6) AS value FROM events",
+    ),
+    "expanded_labels": (
+        lambda s, d: sequence.expanded_labels(sequence.expand(t(s, d, "lineitem"), "l_orderkey", _ORDER, F.col("l_returnflag") == "R", F.floor("l_quantity")), "l_orderkey", "l_partkey", "l_suppkey", F.col("l_returnflag") == "R", 0).select("l_orderkey", F.size("ids").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("ids"), F.aggregate("labels", F.lit(0).cast("long"), lambda a, x: a + x).alias("labels"), F.col("ids")[0].alias("first")),
+        f"SELECT l_orderkey, sum(length)::INTEGER AS n, sum(CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_partkey END)::BIGINT AS ids, sum(CASE WHEN l_returnflag = 'R' THEN -100 * length ELSE l_suppkey END)::BIGINT AS labels, arg_min(CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_partkey END, start) AS first FROM ({_EXPAND}) GROUP BY l_orderkey",
+    ),
+    "forced_align": (
+        lambda s, d: frames(s, d).groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "scores"))), lambda x: F.transform(x.scores, lambda y: F.log(y + 1e-6))).alias("scores")).join(sequence.greedy(frames(s, d).withColumn("at", F.struct("ts", "event_id")), "user_id", "at", "scores", 3), "user_id").select("user_id", F.array_join(F.transform(align_frames("scores", "ids"), lambda x: x.cast("string")), " ").alias("ids")),
+        None,
     ),
     "file_ext": (
         lambda s, d: t(s, d, "pages").select("page_id", X.extension(F.col("url")).alias("ext")),

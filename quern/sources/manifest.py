@@ -57,5 +57,66 @@ def labels(prompt: Column, target: Column, ignore: int = -100) -> Column:
     return F.concat(F.transform(prompt, lambda x: F.lit(ignore)), target)
 
 
+def row_count(spark: SparkSession, folder: str) -> int:
+    """Lines of a split's manifest, blank ones too."""
+    return spark.read.text(f"{folder}/multitask.jsonl").count()
+
+
+def _lines(spark: SparkSession, path: str, case_sensitive: bool) -> DataFrame:
+    line = F.regexp_replace("value", r"^[ \t\r\n\x0b\x0c]+|[ \t\r\n\x0b\x0c]+$", "")
+    return spark.read.text(path).select((line if case_sensitive else F.upper(line)).alias("line")).where("line != ''")
+
+
+def ignored_words(spark: SparkSession, path: str, case_sensitive: bool = False) -> DataFrame:
+    """word: one a line, blank lines left out, in upper case unless the case counts."""
+    return _lines(spark, path, case_sensitive).select(F.col("line").alias("word")).distinct()
+
+
+def split_words(spark: SparkSession, path: str, case_sensitive: bool = False) -> DataFrame:
+    """word and parts of lines of a word and its parts; lines of one field are left out, of repeated words one line counts."""
+    parts = F.split("line", r"[ \t\r\n\x0b\x0c]+")
+    return _lines(spark, path, case_sensitive).select(parts.alias("p")).where("size(p) > 1").select(F.col("p")[0].alias("word"), F.expr("slice(p, 2, size(p) - 1)").alias("parts")).groupBy("word").agg(F.max("parts").alias("parts"))
+
+
+def clusters(spark: SparkSession, path: str) -> DataFrame:
+    """cluster and word of a file of <Name> words </Name>, in whatever lines: the whole file is read as one text."""
+    found = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<([^/>][^>]*)>(.*?)</\1>"), F.lit(0))).alias("x"))
+    words = F.explode(F.split(F.regexp_extract("x", r"(?s)>(.*)<", 1), r"\s+"))
+    return found.select(F.regexp_extract("x", "<([^>]*)>", 1).alias("cluster"), words.alias("word")).where("word != ''").distinct()
+
+
+def vocabulary(words: DataFrame) -> DataFrame:
+    """word and id (from 1 on, in order of the words; 0 is for words it lacks) of a table of words."""
+    distinct = words.select("word").where("word is not null").distinct()
+    return distinct.select("word", F.row_number().over(Window.orderBy("word")).alias("id"))  # of a vocabulary's size
+
+
+def encode(rows: DataFrame, key: str, tokens: str, words: DataFrame, end: int | None = None) -> DataFrame:
+    """key and ids of its tokens by a vocabulary (word, id), 0 for words it lacks, with the end's id after them."""
+    long = rows.select(key, F.posexplode_outer(tokens).alias("at", "word")).join(words, "word", "left")
+    listed = F.sort_array(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", F.coalesce("id", F.lit(0)).alias("id")))))
+    ids = F.transform(listed, lambda x: x.id)
+    return long.groupBy(key).agg((ids if end is None else F.concat(ids, F.array(F.lit(end)))).alias("ids"))
+
+
+def decode(rows: DataFrame, key: str, ids: str, words: DataFrame, pad: int = 0, ignore: int = -100) -> DataFrame:
+    """key and text: the words of its ids in order, those that are ignored or padding left out."""
+    long = rows.select(key, F.posexplode_outer(ids).alias("at", "id")).withColumn("id", F.when(F.col("id") == ignore, pad).otherwise(F.col("id"))).join(words, "id", "left")
+    listed = F.sort_array(F.collect_list(F.when((F.col("id") != pad) & F.col("word").isNotNull(), F.struct("at", "word"))))
+    return long.groupBy(key).agg(F.concat_ws(" ", F.transform(listed, lambda x: x.word)).alias("text"))
+
+
+def attention(ids: Column) -> Column:
+    return F.transform(ids, lambda x: x >= -1)
+
+
+def clean_transcript(rows: DataFrame) -> DataFrame:
+    """Lines (line) with the text after their first tab cleaned of marks; lines without a tab stay as they are."""
+    from ..functions.text import clean_marks
+
+    at = F.instr("line", "\t")
+    return rows.withColumn("line", F.when(at > 0, F.concat(F.expr("substring(line, 1, instr(line, '\t'))"), clean_marks(F.expr("substring(line, instr(line, '\t') + 1)")))).otherwise(F.col("line")))
+
+
 def line_numbers(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(F.monotonically_increasing_id())))

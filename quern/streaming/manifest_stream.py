@@ -1,11 +1,37 @@
-"""Append-only manifests as a stream."""
+"""Append-only manifests as a stream, and batches of bounded padded size that go on from one trigger to the next."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.manifest import MANIFEST
 
 
 def manifest_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(MANIFEST).json(folder)
+
+
+def dynamic_batch_stream(df: DataFrame, shard: str, order: str, size: str, limit: int) -> DataFrame:
+    """Adds batch to a stream's rows as operators.batching.dynamic_batches() does to a table's.
+
+    A shard's state is three numbers: the open batch, how many rows it has and the longest of them.  Rows of one trigger
+    are taken in `order`; a later trigger's come after all before.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        batch, n, longest = state.get if state.exists else (0, 0, 0)
+        rows, out = pd.concat(list(frames)).sort_values(order, kind="stable"), []
+        for s in rows[size].tolist():
+            if n and (n + 1) * max(longest, s) > limit:
+                batch, n, longest = batch + 1, 0, 0
+            n, longest = n + 1, max(longest, s)
+            out.append(batch)
+        state.update((batch, n, longest))
+        yield rows.assign(batch=out)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", batch int"
+    return df.groupBy(shard).applyInPandasWithState(step, schema, "batch int, n int, longest int", "append", GroupStateTimeout.NoTimeout)
