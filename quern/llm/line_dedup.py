@@ -33,8 +33,9 @@ THRESHOLD = 0.8
 COUNTERS = 1 << 22
 #: Candidates of a set in a group that are verified first, and sets from which on a word's sets are dealt to several groups.
 FIRST, LARGE = 4, 1 << 22
-#: A candidate is close if it seems to differ in up to this share of the words that the threshold allows; a set without a close one has so many times FIRST.
-CLOSE, MORE = 0.4, 128
+#: How close a candidate is: the words in which it seems to differ, as a share of what the threshold allows.  A set whose
+#: closest one is at a limit or beyond has so many times FIRST.
+CLOSE = ((0.0, 1), (0.15, 8), (0.4, 64))
 #: Sets of which a task remembers that it sent them.
 MEMO = 100_000
 #: Groups of up to SMALL sets are compared side by side; larger ones alone, in blocks of sets and windows of others.
@@ -99,7 +100,7 @@ def lines(docs: DataFrame, words: int = 1) -> DataFrame:
 
     def run(batches):
         counts = np.zeros(COUNTERS, np.int32)
-        for b in text_batches(batches):
+        for b in text_batches(batches, 2_000_000):
             data, cuts = text_bytes(b.column("text"))
             x, th = split(data, cuts), text_hashes(data, cuts)
             add_counts(counts, x.words & np.uint64(COUNTERS - 1))
@@ -139,7 +140,7 @@ def _postings(sent, firsts, threshold: float, words: int, large: int, wanted=Non
 
     def run(batches):
         often_of, seen = sent.value, {}
-        for b in text_batches(batches):
+        for b in text_batches(batches, 2_000_000):
             x = split(*text_bytes(b.column("text")))
             ids = b.column("doc_id").fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
             # a set that one more word makes too different is similar to its equals only, which its name finds
@@ -244,8 +245,8 @@ class Rows:
         return np.where(before, v, u), np.where(before, u, v), far
 
 
-def closest(u, v, far, most: int, others: int):
-    """Of each row's pairs the `most` closest, or up to `others` where none is close; and the rows that have more."""
+def closest(u, v, far, most: int):
+    """Of each row's pairs the `most` closest, or several times as many where none is close; and the rows that have more."""
     if not len(u):
         return u, v, far, u
     by = np.lexsort((v, far, u))
@@ -253,7 +254,8 @@ def closest(u, v, far, most: int, others: int):
     first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
     count = np.diff(np.append(first, len(u)))
     rank = np.arange(len(u)) - np.repeat(first, count)
-    stay = rank < np.repeat(np.where(far[first] <= CLOSE, most, others), count)
+    times = np.array([t for _, t in CLOSE])[np.searchsorted([f for f, _ in CLOSE], far[first], "right") - 1]
+    stay = rank < np.repeat(most * times, count)
     return u[stay], v[stay], far[stay], u[~stay]
 
 
@@ -294,7 +296,9 @@ def _within(rows: Rows, wanted, most: int | None):
     in_head[head] = True
     if most is not None:
         u, v, far = (np.concatenate(x) for x in zip(*found, strict=True))
-        done = np.bincount(u[(far <= CLOSE) & in_head[v]], minlength=m) >= most
+        done = np.zeros(m, bool)
+        for (times, below) in zip((t for _, t in CLOSE), (f for f, _ in CLOSE[1:]), strict=False):
+            done |= np.bincount(u[(far < below) & in_head[v]], minlength=m) >= times * most
         more.append(np.flatnonzero(done & ~in_head))
         wanted = wanted[~done[wanted]]
     wanted = wanted[~in_head[wanted]]
@@ -312,8 +316,8 @@ def _within(rows: Rows, wanted, most: int | None):
             u, v, far = meet(own, by[w : min(w + WINDOW, int(hi))])
             ok = asked[u]
             parts.append((u[ok], v[ok], far[ok]))
-            if most is not None and sum(len(x[0]) for x in parts) > 4 * BLOCK * MORE * most:
-                *part, rest = closest(*(np.concatenate(x) for x in zip(*parts, strict=True)), most, MORE * most)
+            if most is not None and sum(len(x[0]) for x in parts) > 4 * BLOCK * CLOSE[-1][1] * most:
+                *part, rest = closest(*(np.concatenate(x) for x in zip(*parts, strict=True)), most)
                 parts = [tuple(part)]
                 more.append(rest)
         found += parts
@@ -326,7 +330,7 @@ def _within(rows: Rows, wanted, most: int | None):
 def _candidates(threshold: float, most: int | None):
     """From postings sorted by group: rows (g, s, t, far, more) of sets s and earlier candidates t of them.
 
-    With `most`, each set has its `most` closest candidates in the group (MORE times as many where none is close), and
+    With `most`, each set has its `most` closest candidates in the group (several times as many where none is close), and
     `more` says whether there may be others; without it each set with the flag `open` has all of them.
     """
 
@@ -365,7 +369,7 @@ def _candidates(threshold: float, most: int | None):
         if most is None:
             u, v, far = u[wanted[u]], v[wanted[u]], far[wanted[u]]
         else:
-            u, v, far, rest = closest(u, v, far, most, MORE * most)
+            u, v, far, rest = closest(u, v, far, most)
             more.append(rest)
         some = np.zeros(len(s), bool)
         some[np.concatenate(more)] = True
@@ -407,7 +411,7 @@ def _items(docs: DataFrame, wanted, words: int) -> DataFrame:
 
     def run(batches):
         seen: set = set()
-        for b in text_batches(batches):
+        for b in text_batches(batches, 2_000_000):
             x = split(*text_bytes(b.column("text")))
             some = np.flatnonzero((x.size >= words) & may_hold(wanted.value, x.names[0]))
             if len(seen) > MEMO:
@@ -512,7 +516,7 @@ def clean(docs: DataFrame, threshold: float = THRESHOLD, words: int = 1) -> Data
     names, keyed_schema = docs.columns, T.StructType([*docs.schema.fields, T.StructField(h, T.LongType())])
 
     def key(batches):
-        for b in text_batches(batches):
+        for b in text_batches(batches, 2_000_000):
             yield b.append_column(h, pa.array(text_hashes(*text_bytes(b.column("text")))))
 
     def rewrite(batches):
