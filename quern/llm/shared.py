@@ -152,6 +152,19 @@ def text_batches(batches, chars: int = 4_000_000):
             end = max(at + 1, end)
             yield batch.slice(at, end - at)
             at = end
+    trim()
+
+
+def trim() -> None:
+    """Gives memory that is free back to the system, so that a worker that waits for its next task holds little."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 #: Bytes whose words are hashed at a time.

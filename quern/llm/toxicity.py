@@ -9,6 +9,7 @@ task computes it once for each distinct word, and a text costs a lookup a word.
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -71,22 +72,34 @@ class Words(dict):
         return v
 
 
-def train(texts: list[str | None], labels: np.ndarray, weights: np.ndarray, buckets: int = BUCKETS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Model:
-    """Fits embeddings and softmax together by Adagrad on the weighted cross-entropy."""
+class Texts:
+    """Texts as numbers of their distinct words, and the buckets of each word's n-grams."""
+
+    def __init__(self, texts: list[str | None], buckets: int = BUCKETS):
+        number: dict[bytes, int] = {}
+        self.buckets = buckets
+        self.docs = [np.unique(np.array([number.setdefault(w, len(number)) for w in alnum_words(t)], np.int32)) for t in texts]
+        flat, size = array("i"), array("i")
+        for w in number:
+            grams = subwords(w, buckets)
+            flat.extend(grams)
+            size.append(len(grams))
+        self.flat, self.at = np.array(flat, np.int32), spans(np.array(size, np.int64))
+
+    def log_odds(self, model: Model, rows: np.ndarray) -> np.ndarray:
+        words = np.add.reduceat(model.value[self.flat], self.at[:-1]) / np.diff(self.at) if len(self.flat) else np.zeros(0)
+        return np.array([model.bias + words[self.docs[i]].sum() / (len(self.docs[i]) + PADDING) for i in rows.tolist()])
+
+
+def train(texts: Texts, rows: np.ndarray, labels: np.ndarray, weights: np.ndarray, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Model:
+    """Fits embeddings and softmax together by Adagrad on the weighted cross-entropy of the rows of texts."""
     rng = np.random.default_rng(seed)
-    number: dict[bytes, int] = {}
-    docs = []
-    for t in texts:
-        ids = np.array([number.setdefault(w, len(number)) for w in alnum_words(t)], np.int64)
-        docs.append(np.unique(ids))
-    grams = [np.array(subwords(w, buckets), np.int64) for w in number]
-    g_len = np.array([len(g) for g in grams] or [0], np.int64)
-    g_at, flat = spans(g_len), np.concatenate(grams) if grams else np.zeros(0, np.int64)
+    docs, buckets, flat, g_at, g_len = texts.docs, texts.buckets, texts.flat, texts.at, np.diff(texts.at)
     e = rng.normal(0, 0.001, (buckets, dim))
     w, b = rng.normal(0, 0.5, (dim, 2)), np.zeros(2)
-    b[1] = np.log(max(weights[labels == 1].sum(), 1e-3) / max(weights[labels == 0].sum(), 1e-3))
+    b[1] = np.log(max(weights[rows][labels[rows] == 1].sum(), 1e-3) / max(weights[rows][labels[rows] == 0].sum(), 1e-3))
     se = sw = sb = None
-    full = [i for i, ids in enumerate(docs) if len(ids)]
+    full = [i for i in rows.tolist() if len(docs[i])]
     epochs = max(epochs, -(-UPDATES * BATCH // max(1, len(full))))
     for _ in range(epochs if full else 0):
         for start in range(0, len(full), BATCH):
@@ -125,11 +138,6 @@ def train(texts: list[str | None], labels: np.ndarray, weights: np.ndarray, buck
     return Model((GAIN * (e @ (w[:, 1] - w[:, 0]))).astype(np.float32), float(b[1] - b[0]))
 
 
-def log_odds(model: Model, texts: list[str | None]) -> np.ndarray:
-    memo = Words(model)
-    return np.array([model.bias + sum(map(memo.__getitem__, s)) / (len(s) + PADDING) for s in (set(alnum_words(t)) for t in texts)])
-
-
 def calibration(x: np.ndarray, labels: np.ndarray, weights: np.ndarray, steps: int = 50) -> np.ndarray:
     """The scale and shift that fit log odds of texts to their labels, by Newton's method."""
     v = np.stack([np.clip(x, -30, 30), np.ones(len(x))], 1)
@@ -154,7 +162,8 @@ def crossed(texts: list[str | None], labels: np.ndarray, weights: np.ndarray) ->
     n = np.bincount(labels, minlength=2)
     if not n.all():
         return Model(np.zeros(BUCKETS, np.float32), float(np.log((n[1] + 0.5) / (n[0] + 0.5)) if n.sum() else 0.0))
-    model = train(texts, labels, weights)
+    texts = Texts(texts)
+    model = train(texts, np.arange(len(labels)), labels, weights)
     if (n < 2).any():
         return model
     part = np.zeros(len(labels), np.int64)
@@ -163,7 +172,7 @@ def crossed(texts: list[str | None], labels: np.ndarray, weights: np.ndarray) ->
     x = np.zeros(len(labels))
     for k in range(min(FOLDS, int(n.min()))):
         own, other = np.flatnonzero(part != k), np.flatnonzero(part == k)
-        x[other] = log_odds(train([texts[i] for i in own], labels[own], weights[own]), [texts[i] for i in other])
+        x[other] = texts.log_odds(train(texts, own, labels, weights), other)
     seen = part < n.min()
     alike = np.array([weights[seen & (labels == k)].sum() for k in (0, 1)])
     c = calibration(x[seen], labels[seen], (weights / np.sqrt(alike[labels]))[seen])
