@@ -8,10 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 TINY = 1e-12
 
 
+def _bound(c: Column, use) -> Column:
+    """use(c) with c worked out once, not for each element that it is used for."""
+    return F.transform(F.array(c), use)[0]
+
+
 def softmax(v: Column) -> Column:
     v = v.cast("array<double>")
-    e = F.transform(v, lambda x: F.exp(x - F.array_max(v)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    e = _bound(v, lambda a: _bound(F.array_max(a), lambda m: F.transform(a, lambda x: F.exp(x - m))))
+    return _bound(e, lambda a: _bound(_sum(a), lambda total: F.transform(a, lambda x: x / total)))
 
 
 def _sum(v: Column) -> Column:
