@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import filesystem, keep, mix, powers, publish, scratch, spans, text_batches, text_bytes
+from .shared import SHORT, filesystem, keep, long_hashes, mix, powers, publish, scratch, spans, text_batches, text_bytes
 
 MAGIC, BLOCK, LIMIT = b"QUERNHF1", 512, 20
 #: Token ids to a file, about.
@@ -200,7 +200,13 @@ def pieces(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         at = to
     stops = np.flatnonzero(~gap & np.append(gap[1:] | edges[1:], True) | ~gap & np.append(apart[1:], True)) + 1
     whole = odd[np.searchsorted(words, starts, "right") - 1]
-    return starts, stops, mix(hashes, 7), whole
+    hashes = mix(hashes, 7)
+    for folded in (True, False):
+        pick = np.flatnonzero((whole != folded) & (stops - starts > SHORT))
+        part = hashes[pick]
+        long_hashes(part, data, starts[pick], stops[pick], folded)
+        hashes[pick] = part
+    return starts, stops, hashes, whole
 
 
 class Encoder:

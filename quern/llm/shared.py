@@ -169,6 +169,18 @@ def trim() -> None:
 
 #: Bytes whose words are hashed at a time.
 _CHUNK = 1 << 17
+#: Bytes of the longest words that are hashed by sums.  Sums modulo 2 ** 64 cannot part certain long words (those whose
+#: letters alternate as the digit sums of their places do, from some 1,024 bytes on), so longer ones go to xxh3.
+SHORT = 32
+
+
+def long_hashes(hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, fold: bool = True) -> None:
+    """Puts xxh3 of the bytes (A-Z lower-cased if fold says so) in place of the hashes of all words of over SHORT bytes."""
+    import xxhash
+
+    for k in np.flatnonzero(stops - starts > SHORT).tolist():
+        word = data[starts[k] : stops[k]].tobytes()
+        hashes[k] = xxhash.xxh3_64_intdigest(word.lower() if fold else word, 6)
 
 
 def _values(word: bytes) -> np.ndarray:
@@ -210,7 +222,8 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(data: np.ndarray, cuts: np.ndarray, values: np.ndarray = ALNUM) -> tuple[np.ndarray, np.ndarray]:
     """Where each word starts and its 64-bit hash, A-Z lower-cased; no word crosses a cut.
 
-    A word's hash is a polynomial in its bytes' values: one pass of sums over all bytes, without a step a word.
+    A short word's hash is a polynomial in its bytes' values: one pass of sums over all bytes, without a step a word.
+    A word of over SHORT bytes has xxh3 of its bytes.
     """
     starts, hashes, at, n = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0, len(data)
     edges = np.zeros(n + 1, bool)
@@ -230,7 +243,11 @@ def word_hashes(data: np.ndarray, cuts: np.ndarray, values: np.ndarray = ALNUM)
         first = np.flatnonzero(first)
         if len(first):
             up, down = powers(len(v))
-            hashes.append(mix(np.add.reduceat(v * up[: len(v)], first) * down[first], 6))
+            h = mix(np.add.reduceat(v * up[: len(v)], first) * down[first], 6)
+            stop = word.copy()
+            stop[:-1] &= ~word[1:] | edges[at + 1 : end]
+            long_hashes(h, data[at:end], first, np.flatnonzero(stop) + 1)
+            hashes.append(h)
             starts.append(first + at)
         at = end
     return np.concatenate(starts), np.concatenate(hashes)

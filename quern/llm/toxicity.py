@@ -15,14 +15,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import ALNUM, alnum_words, spans, text_batches, text_bytes, word_hashes
 
-#: Labelled rows of each class that the fit uses at most, those with the lowest hash of the id.
-SAMPLE = 4000
-BUCKETS, DIM, EPOCHS, BATCH, RATE = 1 << 17, 4, 3, 64, 0.3
+#: Labelled rows of each class that the fit uses at most, those with the lowest hash of the id, and their characters.
+SAMPLE, CHARS = 4000, 32_000_000
+#: UPDATES batches are drawn at every size of the sample: three passes over a full one.
+BUCKETS, DIM, UPDATES, BATCH, RATE = 1 << 17, 4, 375, 64, 0.3
 SIZES = (3, 4, 5)
 #: A text's mean vector is multiplied by this before the softmax: a few words among hundreds have to tip it.
 GAIN = 1000.0
@@ -35,8 +36,6 @@ STIFF = 20.0
 LONG = 256
 #: Parts for the calibration.
 FOLDS = 2
-#: Updates that a small sample gets at least.
-UPDATES = 300
 
 
 def subwords(word: bytes, buckets: int = BUCKETS) -> list[int]:
@@ -91,7 +90,7 @@ class Texts:
         return np.array([model.bias + words[self.docs[i]].sum() / (len(self.docs[i]) + PADDING) for i in rows.tolist()])
 
 
-def train(texts: Texts, rows: np.ndarray, labels: np.ndarray, weights: np.ndarray, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Model:
+def train(texts: Texts, rows: np.ndarray, labels: np.ndarray, weights: np.ndarray, dim: int = DIM, updates: int = UPDATES, rate: float = RATE, seed: int = 7) -> Model:
     """Fits embeddings and softmax together by Adagrad on the weighted cross-entropy of the rows of texts."""
     rng = np.random.default_rng(seed)
     docs, buckets, flat, g_at, g_len = texts.docs, texts.buckets, texts.flat, texts.at, np.diff(texts.at)
@@ -100,41 +99,38 @@ def train(texts: Texts, rows: np.ndarray, labels: np.ndarray, weights: np.ndarra
     b[1] = np.log(max(weights[rows][labels[rows] == 1].sum(), 1e-3) / max(weights[rows][labels[rows] == 0].sum(), 1e-3))
     se = sw = sb = None
     full = [i for i in rows.tolist() if len(docs[i])]
-    epochs = max(epochs, -(-UPDATES * BATCH // max(1, len(full))))
-    for _ in range(epochs if full else 0):
-        for start in range(0, len(full), BATCH):
-            if not start:
-                order = rng.permutation(full)
-            pick = order[start : start + BATCH]
-            n = np.array([len(docs[i]) for i in pick])
-            words = np.concatenate([docs[i] for i in pick])
-            share = np.concatenate([np.full(len(docs[i]), 1 / (len(docs[i]) + PADDING)) for i in pick])
-            row = np.repeat(np.arange(len(pick)), n)
-            uniq, back = np.unique(words, return_inverse=True)
-            length = g_len[uniq]
-            own = flat[np.repeat(g_at[uniq + 1] - np.cumsum(length), length) + np.arange(int(length.sum()))]
-            ends = spans(length)[:-1]
-            vec = np.add.reduceat(e[own], ends) / length[:, None]
-            h = np.add.reduceat(vec[back] * share[:, None], spans(n)[:-1])
-            z = GAIN * h @ w + b
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            y = np.eye(2)[labels[pick]]
-            d = (p - y) * (weights[pick] / weights[pick].sum())[:, None]
-            dw, db, dh = GAIN * h.T @ d, d.sum(0), GAIN * d @ w.T
-            per = dh[row] * share[:, None]
-            dv = np.stack([np.bincount(back, per[:, k], len(uniq)) for k in range(dim)], 1) / length[:, None]
-            spread = np.repeat(dv, length, 0)
-            hit, where = np.unique(own, return_inverse=True)
-            de = np.stack([np.bincount(where, spread[:, k], len(hit)) for k in range(dim)], 1)
-            if se is None:  # the start holds back what occurs in a few texts only
-                se, sw, sb = np.full(e.shape, STIFF * (de**2).mean()), STIFF * (dw**2).mean() + 0 * w, STIFF * (db**2).mean() + 0 * b
-            se[hit] += de**2
-            e[hit] -= rate * de / np.sqrt(se[hit])
-            sw += dw**2
-            sb += db**2
-            w -= rate * dw / np.sqrt(sw)
-            b -= rate * db / np.sqrt(sb)
+    order = np.concatenate([rng.permutation(full) for _ in range(-(-updates * BATCH // len(full)))]) if full else np.zeros(0, np.int64)
+    for start in range(0, min(len(order), updates * BATCH), BATCH):
+        pick = order[start : start + BATCH]
+        n = np.array([len(docs[i]) for i in pick])
+        words = np.concatenate([docs[i] for i in pick])
+        share = np.concatenate([np.full(len(docs[i]), 1 / (len(docs[i]) + PADDING)) for i in pick])
+        row = np.repeat(np.arange(len(pick)), n)
+        uniq, back = np.unique(words, return_inverse=True)
+        length = g_len[uniq]
+        own = flat[np.repeat(g_at[uniq + 1] - np.cumsum(length), length) + np.arange(int(length.sum()))]
+        ends = spans(length)[:-1]
+        vec = np.add.reduceat(e[own], ends) / length[:, None]
+        h = np.add.reduceat(vec[back] * share[:, None], spans(n)[:-1])
+        z = GAIN * h @ w + b
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        y = np.eye(2)[labels[pick]]
+        d = (p - y) * (weights[pick] / weights[pick].sum())[:, None]
+        dw, db, dh = GAIN * h.T @ d, d.sum(0), GAIN * d @ w.T
+        per = dh[row] * share[:, None]
+        dv = np.stack([np.bincount(back, per[:, k], len(uniq)) for k in range(dim)], 1) / length[:, None]
+        spread = np.repeat(dv, length, 0)
+        hit, where = np.unique(own, return_inverse=True)
+        de = np.stack([np.bincount(where, spread[:, k], len(hit)) for k in range(dim)], 1)
+        if se is None:  # the start holds back what occurs in a few texts only
+            se, sw, sb = np.full(e.shape, STIFF * (de**2).mean()), STIFF * (dw**2).mean() + 0 * w, STIFF * (db**2).mean() + 0 * b
+        se[hit] += de**2
+        e[hit] -= rate * de / np.sqrt(se[hit])
+        sw += dw**2
+        sb += db**2
+        w -= rate * dw / np.sqrt(sw)
+        b -= rate * db / np.sqrt(sb)
     return Model((GAIN * (e @ (w[:, 1] - w[:, 0]))).astype(np.float32), float(b[1] - b[0]))
 
 
@@ -179,11 +175,12 @@ def crossed(texts: list[str | None], labels: np.ndarray, weights: np.ndarray) ->
     return Model((model.value * c[0]).astype(np.float32), float(model.bias * c[0] + c[1]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample: int = SAMPLE, chars: int = CHARS) -> Model:
     """Learns from labels (doc_id, toxic) where `learn` (of doc_id) holds.
 
-    Null labels and ids are left out, of repeated ones the largest label counts.  At most `sample` rows of each class
-    (those with the lowest hash of the id) reach the driver, weighted so that the classes keep their shares.  With no
+    Null labels and ids are left out, of repeated ones the largest label counts.  Of each class the `sample` ids with the
+    lowest hashes are looked up, one text an id (where an id has several, that with the least hash); of those texts, as
+    many as have `chars` characters together reach the driver, weighted so that the classes keep their shares.  With no
     rows of one class, or none at all, every text gets the same score.
     """
     rows = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
@@ -191,7 +188,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample:
     total = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     picked = [rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     few = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * sample rows at most
-    got = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(few, "doc_id").orderBy("doc_id").toPandas()
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(few, "doc_id")
+    each = found.groupBy("doc_id").agg(F.max("y").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    so_far = F.sum(F.length(F.coalesce("text", F.lit("")))).over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    got = each.withColumn("so_far", so_far).where(F.col("so_far") <= chars).orderBy("doc_id").toPandas()
     y = got["y"].to_numpy(np.int64)
     count = np.bincount(y, minlength=2)
     weight = np.array([total.get(k, 0) / max(1, count[k]) for k in (0, 1)])
