@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hamming, huffman, jaccard_join, language_model, line_dedup, packing, quality, toxicity, url_filters
+from . import decontaminate, hamming, huffman, importance, jaccard_join, language_model, lexical, line_dedup, packing, quality, sharding, toxicity, url_filters
 from .shared import held_out, keep, scratch
 
 #: File of the tokenizer that op4 uses, by its name in the public_tokenizers package.
@@ -65,10 +65,27 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.place(table(spark, sf_dir, "documents"), shards=16)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict:
-    ops = (op1_ngram_lm, op2_quality, op3_packing, op4_huffman_ids, op5_line_dedup, op6_toxicity, op7_jaccard_join, op8_decontaminate, op9_hamming_topk, op10_url_filters)
+    ops = (op1_ngram_lm, op2_quality, op3_packing, op4_huffman_ids, op5_line_dedup, op6_toxicity, op7_jaccard_join, op8_decontaminate, op9_hamming_topk, op10_url_filters, op11_lexical_search, op12_importance, op13_sharding)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontaminate": decontaminate.ORACLE, "op9_hamming_topk": hamming.ORACLE, "op10_url_filters": url_filters.oracle()}
+    return {
+        "op8_decontaminate": decontaminate.ORACLE, "op9_hamming_topk": hamming.ORACLE, "op10_url_filters": url_filters.oracle(),
+        "op11_lexical_search": lexical.ORACLE, "op12_importance": importance.oracle(), "op13_sharding": sharding.oracle(),
+    }
