@@ -80,14 +80,15 @@ UNCOUNTED = "&'@℃=.-_#+;"
 
 
 def cluster(c: Column) -> Column:
-    """Number, English or Other for ASCII tokens; the symbols & ' @ = . - _ # + ; do not count."""
-    bare = F.regexp_replace(c, r"[&'@=.\-_#+;]", "")
+    """Number, English or Other for ASCII tokens; the symbols & ' @ ℃ = . - _ # + ; do not count."""
+    bare = F.regexp_replace(c, r"[&'@℃=.\-_#+;]", "")
     return F.when(bare.rlike("^[0-9]+$"), "Number").when(bare.rlike("^[A-Za-z]+$"), "English").otherwise("Other")
 
 
 @F.pandas_udf(T.StringType())
 def cluster_of(c: pd.Series) -> pd.Series:
     """Number, Mandarin, English, Japanese or Other by the names of the token's characters; symbols that do not count are left out."""
+    # fixed values: how the names of characters begin, and the kinds they stand for
     kinds = (("DIGIT", "Number"), ("CJK UNIFIED IDEOGRAPH", "Mandarin"), ("CJK COMPATIBILITY IDEOGRAPH", "Mandarin"), ("LATIN CAPITAL LETTER", "English"), ("LATIN SMALL LETTER", "English"), ("HIRAGANA LETTER", "Japanese"))
     memo: dict[str, str] = {}
 
@@ -104,10 +105,14 @@ def cluster_of(c: pd.Series) -> pd.Series:
     return c.map(whole)
 
 
+def columns(text: str | None) -> int:
+    """Columns that a text takes: two for wide and ambiguous characters of East Asia, else one."""
+    return sum(1 + (unicodedata.east_asian_width(x) in "AFW") for x in text or "")
+
+
 @F.pandas_udf(T.IntegerType())
 def width(c: pd.Series) -> pd.Series:
-    """Columns that a text takes: two for wide and ambiguous characters of East Asia, else one."""
-    return c.map(lambda t: sum(1 + (unicodedata.east_asian_width(x) in "AFW") for x in t or ""))
+    return c.map(columns)
 
 
 def extension(c: Column) -> Column:

@@ -33,17 +33,62 @@ def distance(ref, hyp) -> int:
     return int(last[-1])
 
 
+#: Cells of the largest table that is kept whole; longer pairs are halved.
+CELLS = 1 << 22
+
+
+def _ways(row: np.ndarray, before: np.ndarray | None) -> np.ndarray:
+    """How the best path comes to each cell of a row: 1 over a deletion, 2 over an insertion, 0 over a pair; of equal ones in this order."""
+    way = np.zeros(len(row), np.uint8)
+    way[1:] = np.where(row[1:] == row[:-1] + 1, 2, 0)
+    if before is not None:
+        way[row == before + 1] = 1
+    return way
+
+
+def _crossing(ref: list, hyp: list, middle: int) -> int:
+    """The column in which the best path of the whole pair, followed from its end, comes to row `middle`.
+
+    Each cell below that row carries the column of its path along: a deletion takes it from the cell above, a pair from
+    the one before that, and insertions from the cell left of them.  So halving a pair changes no choice between equal paths.
+    """
+    at, before, column = np.arange(len(hyp) + 1), None, None
+    for i, row in enumerate(_rows(ref, hyp)):
+        if i == middle:
+            column = at
+        elif i > middle:
+            way = _ways(row, before)
+            moved = np.where(way == 1, column, np.concatenate([[0], column[:-1]]))
+            column = moved[np.maximum.accumulate(np.where(way == 2, 0, at))]
+        before = row
+    return int(column[-1])
+
+
 def steps(ref, hyp) -> list[tuple[str, str]]:
     """Pairs (ref token, hyp token) of the best alignment, "" for a gap; of equal paths deletions come before insertions before pairs.
 
-    Of each cell only the way that led to it is kept, in a byte.
+    A pair whose table has over CELLS cells is parted where its path crosses the middle of ref, and so are its parts, so
+    memory is of the tokens' number plus CELLS bytes.
     """
+    ref, hyp, out, todo = list(ref), list(hyp), [], []
+    todo.append((0, len(ref), 0, len(hyp)))
+    while todo:
+        a, b, c, d = todo.pop()
+        if (b - a + 1) * (d - c + 1) > CELLS and b - a > 1:
+            middle = (b - a) // 2
+            j = c + _crossing(ref[a:b], hyp[c:d], middle)
+            todo += [(a + middle, b, j, d), (a, a + middle, c, j)]  # the first part is taken up next
+        else:
+            out += _table(ref[a:b], hyp[c:d])
+    return out
+
+
+def _table(ref: list, hyp: list) -> list[tuple[str, str]]:
+    """steps() by a table of a byte a cell."""
     way = np.zeros((len(ref) + 1, len(hyp) + 1), np.uint8)
     before = None
     for i, row in enumerate(_rows(ref, hyp)):
-        way[i, 1:] = np.where(row[1:] == row[:-1] + 1, 2, 0)
-        if i:
-            way[i, row == before + 1] = 1
+        way[i] = _ways(row, before)
         before = row
     i, j, out = len(ref), len(hyp), []
     while i or j:

@@ -2,31 +2,110 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.registry import register
 
-def fold(sizes, limit: int) -> list[int]:
-    """Batch numbers: an element that would make (count + 1) * longest exceed the limit starts the next batch."""
-    out, batch, n, longest = [], 0, 0, 0
-    for s in sizes:
-        if n and (n + 1) * max(longest, s) > limit:
-            batch, n, longest = batch + 1, 0, 0
-        n, longest = n + 1, max(longest, s)
+
+@dataclass(frozen=True)
+class Policy:
+    """How a sequence of rows falls into batches: a fold whose state is a tuple of numbers.
+
+    columns: what a step sees of a row.  start: the state of a batch without rows.  step: from the state and the row's
+    values to the state with the row in it, or None where the row has to begin the next batch.  form: the state as a schema.
+    A batch takes its first row whatever the step says of it.
+    """
+
+    columns: tuple[str, ...]
+    start: tuple
+    step: Callable[..., tuple | None]
+    form: str
+
+    def first(self, *values) -> tuple:
+        """The state of a batch of one row."""
+        return self.step(self.start, *values, first=True)
+
+
+@register("policy", "padded")
+def padded(size: str, limit: int) -> Policy:
+    """Rows times the longest of them stay within the limit."""
+
+    def step(state, s, first=False):
+        n, longest = state[0] + 1, max(state[1], int(s))
+        return (n, longest) if first or n * longest <= limit else None
+
+    return Policy((size,), (0, 0), step, "n long, longest long")
+
+
+@register("policy", "total")
+def total(size: str, limit: int) -> Policy:
+    """The sum of the sizes stays within the limit."""
+
+    def step(state, s, first=False):
+        held = state[0] + int(s)
+        return (held,) if first or held <= limit else None
+
+    return Policy((size,), (0,), step, "held long")
+
+
+@register("policy", "frames")
+def frames_and_tokens(tokens: str, frames: str, limit: int, ds_rate: int = 1) -> Policy:
+    """As padded, of rows as long as their tokens with frames // ds_rate slots in the place of one of them."""
+
+    def step(state, t, f, first=False):
+        n, longest = state[0] + 1, max(state[1], int(t) + int(f) // ds_rate - 1)
+        return (n, longest) if first or n * longest <= limit else None
+
+    return Policy((tokens, frames), (0, 0), step, "n long, longest long")
+
+
+def folded(policy: Policy, rows: Iterable[tuple], batch: int = 0, state: tuple | None = None) -> tuple[list[int], int, tuple | None]:
+    """The batch numbers of rows (the policy's values), and the open batch and its state, from those of an earlier call on."""
+    out = []
+    for values in rows:
+        after = policy.first(*values) if state is None else policy.step(state, *values)
+        if after is None:
+            batch, after = batch + 1, policy.first(*values)
+        state = after
         out.append(batch)
-    return out
+    return out, batch, state
 
 
-def dynamic_batches(df: DataFrame, shard: str, order: list[str], size: str, limit: int) -> DataFrame:
-    """Adds batch, the number in the shard.  A shard is a sequence by definition, so one task folds it; shards run side by side."""
-    schema = df.schema.simpleString()[7:-1]
+def fold(sizes, limit: int) -> list[int]:
+    """Batch numbers under padded(): an element that would make (count + 1) * longest exceed the limit starts the next batch."""
+    return folded(padded("", limit), ((s,) for s in sizes))[0]
+
 
-    def run(d: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values(order, kind="stable", ignore_index=True)
-        return d.assign(batch=fold(d[size].tolist(), limit))
+def dynamic_batches(df: DataFrame, shard: str, order: list[str], size: str | Policy, limit: int | None = None) -> DataFrame:
+    """Adds batch, the number in the shard, by a policy, or by padded(size, limit).
 
-    return df.groupBy(shard).applyInPandas(run, schema.replace(":", " ") + ", batch int")
+    A shard is a sequence by definition, so one task folds it, in a few numbers of memory; shards run side by side.
+    """
+    policy = padded(size, limit) if isinstance(size, str) else size
+    form = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", batch int"
+
+    def run(batches):
+        of, batch, state, begun = None, 0, None, False
+        for b in batches:
+            keys, values = b.column(shard).to_pylist(), list(zip(*(b.column(c).to_pylist() for c in policy.columns), strict=True))
+            out, at = [], 0
+            while at < len(keys):
+                end = at + 1
+                while end < len(keys) and keys[end] == keys[at]:
+                    end += 1
+                if not begun or keys[at] != of:
+                    of, batch, state, begun = keys[at], 0, None, True
+                numbers, batch, state = folded(policy, values[at:end], batch, state)
+                out += numbers
+                at = end
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], [*b.schema.names, "batch"])
+
+    return df.repartition(shard).sortWithinPartitions(shard, *order).mapInArrow(run, form)
 
 
 def pad(c, width, value, left: bool = False):

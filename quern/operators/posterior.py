@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
@@ -78,6 +80,7 @@ def resample(df: DataFrame, key: str, frame: str, vector: str, lengths: DataFram
     return both.select(key, "t", F.transform(softmax(mixed), _floor).alias(vector))
 
 
+#: The columns of a comparison.
 METRICS = ("js", "sce", "top1_acc", "entropy_a", "entropy_b", "blank_frac_a", "blank_frac_b", "edit_dist", "edit_norm", "len_a", "len_b")
 
 
@@ -149,6 +152,28 @@ def pseudo_posterior(df: DataFrame, key: str, ids: str, size: int, alpha: Column
     return long.select(key, t.alias("t"), "id", (1 - F.col("alpha") + F.col("alpha") / size).alias("p"), (F.col("alpha") / size).alias("rest"))
 
 
+def with_insertions(rows: DataFrame, key: str, share: float, place: Callable[[Column, Column], Column], copied: Callable[[Column, Column], Column], blank: int = 0) -> DataFrame:
+    """pseudo_posterior()'s rows (key, t, id, p, rest) of each key with floor(n * share) rows put in, and t numbered anew.
+
+    place(j, n) and copied(j, n) are columns (that may also use the key) of an insertion's number j from 0 and the key's
+    rows n: before which of the rows 0 to n it goes (n: behind all), and whether it repeats the row before that place
+    (the first row at place 0) or is the blank alone.  Insertions at one place go by j.  Each is known by its key and
+    number alone, so they are made side by side, and a row moves once.
+    """
+    n = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    put = n.withColumn("_j", F.explode(F.sequence(F.lit(0), F.floor(F.col("_n") * share).cast("int") - 1))).where(F.floor(F.col("_n") * share) > 0)
+    at = F.least(F.greatest(place(F.col("_j"), F.col("_n")), F.lit(0)), F.col("_n")).cast("int")
+    put = put.select(key, "_j", at.alias("_at"), copied(F.col("_j"), F.col("_n")).alias("_copy"))
+    put = put.withColumn("_of", F.when(F.col("_copy"), F.greatest(F.col("_at") - 1, F.lit(0))))
+    own = rows.select(F.col(key).alias("_key"), F.col("t").alias("_t"), "id", "p", "rest")
+    found = put.join(own, put[key].eqNullSafe(F.col("_key")) & (F.col("_of") == F.col("_t")), "left")
+    alone = F.col("_copy")
+    new = found.select(key, F.col("_at"), F.lit(0).alias("_own"), "_j", F.when(alone, F.col("id")).otherwise(blank).cast(dict(rows.dtypes)["id"]).alias("id"), F.when(alone, F.col("p")).otherwise(1.0).alias("p"), F.when(alone, F.col("rest")).otherwise(0.0).alias("rest"))
+    old = rows.select(key, F.col("t").alias("_at"), F.lit(1).alias("_own"), F.lit(0).alias("_j"), "id", "p", "rest")
+    t = F.row_number().over(Window.partitionBy(key).orderBy("_at", "_own", "_j")) - 1
+    return old.unionByName(new).select(key, t.alias("t"), "id", "p", "rest")
+
+
 def sinusoid(t: Column, depth: int) -> Column:
     """Sines, then cosines, of the place t (from 1 on) at depth / 2 falling frequencies."""
     half = depth // 2

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import cluster
+from ..functions.text import cluster_of, columns
 from .align import align_counts, align_steps, edit_distance
 
 
@@ -46,8 +48,8 @@ def token_counts(both: DataFrame) -> DataFrame:
 
 
 def by_cluster(both: DataFrame) -> DataFrame:
-    """token_counts by kind of token, with the total in the row of null."""
-    return token_counts(both).rollup(cluster(F.col("token")).alias("cluster")).agg(*[F.sum(x).alias(x) for x in "ncsdi"])
+    """token_counts by kind of token (by the names of its characters), with the total in the row of null."""
+    return token_counts(both).withColumn("cluster", cluster_of("token")).rollup("cluster").agg(*[F.sum(x).alias(x) for x in "ncsdi"])
 
 
 def by_clusters(both: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -61,15 +63,65 @@ def errors(both: DataFrame) -> DataFrame:
     return both.select("id", n.alias("n"), e.alias("errors")).withColumn("wer", rate(F.col("errors"), F.col("n")))
 
 
-def line(name: str):
-    """A line of the report from columns wer, n, c, s, d and i."""
-    return F.format_string(f"{name} -> %4.2f %% N=%d C=%d S=%d D=%d I=%d", "wer", *[F.col(x).cast("long") for x in "ncsdi"])
+#: How lines of the report look.
+PAIR, WHOLE, KIND, COUNTED = "WER: %s %%", "Overall -> %s %%", "%s -> %s %%", " N=%d C=%d S=%d D=%d I=%d"
+RATE, RULE = "%4.2f", "=" * 75
+
 
+@F.pandas_udf(T.StringType())
+def shown(rates: pd.Series) -> pd.Series:
+    """Rates to two places, rounded by their exact values (a format of the JVM's would round their decimal digits)."""
+    return rates.map(lambda x: RATE % x)
 
-def report(both: DataFrame) -> DataFrame:
-    """Lines of the text report: each pair's in order of ids, the whole's, and those of the clusters of tokens."""
-    pair = per_pair(both).select(F.lit(0).alias("part"), "id", line("WER:").alias("line"))
-    whole = overall(both).select(F.lit(1).alias("part"), F.lit("").alias("id"), line("Overall").alias("line"))
-    kinds = by_cluster(both).where("cluster is not null").withColumn("wer", rate(F.col("s") + F.col("d") + F.col("i"), F.col("n")))
-    kinds = kinds.select(F.lit(2).alias("part"), F.col("cluster").alias("id"), F.concat(F.col("cluster"), line("")).alias("line"))
-    return pair.unionByName(whole).unionByName(kinds).orderBy("part", "id").select("line")
+
+def _counted(form: str, *first):
+    """A line of the report from columns wer, n, c, s, d and i."""
+    return F.format_string(form + COUNTED, *first, shown("wer"), *[F.col(x).cast("long") for x in "ncsdi"])
+
+
+def wrapped(steps: list[tuple[str, str]], words: int | None = None, padding: str = " ") -> list[str]:
+    """Lines of an alignment: lab with the reference's tokens, rec with the hypothesis's below them, and an empty one, again and again.
+
+    Both tokens of a pair take the wider one's columns (two for wide and ambiguous characters of East Asia), filled up
+    with `padding`; at most `words` pairs stand in a line.
+    """
+    out, words = [], words or max(1, len(steps))
+    for i in range(0, len(steps), words):
+        part = [(r, h, columns(r), columns(h)) for r, h in steps[i : i + words]]
+        for name, k in (("lab", 0), ("rec", 1)):
+            out.append(f"{name}: " + "".join(p[k] + padding * (max(p[2], p[3]) - p[2 + k]) + " " for p in part))
+        out.append("")
+    return out
+
+
+def report(both: DataFrame, aligned: bool = False, words: int | None = None, padding: str = " ", clusters: DataFrame | None = None) -> DataFrame:
+    """Lines of the text report in order: each pair's in order of ids, the whole's, those of the kinds of tokens, and of `clusters` (cluster, word).
+
+    With aligned, a pair's line stands below its id and above its alignment, as wrapped() has it, and rules stand around
+    the sums.
+    """
+    rated = lambda d: d.withColumn("wer", rate(F.col("s") + F.col("d") + F.col("i"), F.col("n")))
+    row = lambda part, key, lines: (F.lit(part).alias("part"), key.alias("id"), lines.alias("lines"))
+    one = lambda part, key, line: row(part, key, F.array(line))
+    counted = per_pair(both)
+    if aligned:
+
+        @F.pandas_udf("array<string>")
+        def laid_out(steps: pd.Series) -> pd.Series:
+            return pd.Series([wrapped([(e["ref"], e["hyp"]) for e in x], words, padding) for x in steps])
+
+        counted = rated(both.select("id", align_counts("ref", "hyp").alias("a"), laid_out(align_steps("ref", "hyp")).alias("shown")).select("id", "a.*", "shown"))
+        pair = counted.select(*row(0, F.col("id"), F.concat(F.array(F.lit(""), F.concat(F.lit("utt: "), "id"), _counted(PAIR)), "shown")))
+    else:
+        pair = counted.select(*one(0, F.col("id"), _counted(PAIR)))
+    parts = [pair, overall(both).select(*one(2, F.lit(""), _counted(WHOLE)))]
+    parts.append(rated(by_cluster(both).where("cluster is not null")).select(*one(3, F.col("cluster"), _counted(KIND, "cluster"))))
+    if clusters is not None:
+        parts.append(rated(by_clusters(both, clusters)).select(*one(4, F.col("cluster"), _counted(KIND, "cluster"))))
+    if aligned:
+        rules = both.sparkSession.createDataFrame([(1, "", [RULE, ""]), (5, "", ["", RULE])], "part int, id string, lines array<string>")
+        parts.append(rules)
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.orderBy("part", "id").select(F.explode("lines").alias("line"))

@@ -60,6 +60,26 @@ def _edits(pairs: str) -> str:
     e AS (SELECT id, len(ref)::INTEGER AS n, row[len(hyp) + 1]::INTEGER AS errors FROM d WHERE i = len(ref)) """
 
 
+def _aligned(pairs: str) -> str:
+    """SQL of the best alignment of each pair, its steps (r, h) in order: a row a cell, a line of the table a step, each with the path to it.
+
+    A cell comes over a deletion if that is as good as any, else over an insertion, else over a pair; a path is a letter a step.
+    """
+    w = "(PARTITION BY id ORDER BY j)"
+    return f"""WITH RECURSIVE {pairs}, d AS (SELECT id, 0 AS i, j, j AS cost, repeat('I', j) AS path FROM (SELECT id, unnest(range(0, len(hyp) + 1)) AS j FROM q) UNION ALL
+    SELECT id, i + 1, j, new, last_value(CASE way WHEN 1 THEN path || 'D' WHEN 0 THEN before || 'P' END IGNORE NULLS) OVER {w} || repeat('I', j - max(CASE WHEN way != 2 THEN j END) OVER {w}) FROM
+    (SELECT *, CASE WHEN new = cost + 1 THEN 1 WHEN j > 0 AND new = lag(new) OVER {w} + 1 THEN 2 ELSE 0 END AS way FROM
+    (SELECT *, j + min(up - j) OVER {w} AS new FROM
+    (SELECT id, i, j, cost, path, lag(path) OVER {w} AS before, CASE WHEN j = 0 THEN i + 1 ELSE least(cost + 1, lag(cost) OVER {w} + (hyp[j] != ref[i + 1])::BIGINT) END AS up FROM d JOIN q USING (id) WHERE i < len(ref))))),
+    a AS (SELECT id, ref, list_transform(range(1, len(path) + 1), lambda k: {{'r': CASE WHEN path[k] = 'I' THEN '' ELSE ref[len(replace(path[1:k], 'I', ''))] END, 'h': CASE WHEN path[k] = 'D' THEN '' ELSE hyp[len(replace(path[1:k], 'D', ''))] END}}) AS steps FROM d JOIN q USING (id) WHERE i = len(ref) AND j = len(hyp)),
+    e AS (SELECT id, len(ref)::INTEGER AS n, len(list_filter(steps, lambda x: x.r = x.h))::INTEGER AS c, len(list_filter(steps, lambda x: x.r != '' AND x.h != '' AND x.r != x.h))::INTEGER AS s, len(list_filter(steps, lambda x: x.h = ''))::INTEGER AS d, len(list_filter(steps, lambda x: x.r = ''))::INTEGER AS i FROM a),
+    tk AS (SELECT CASE WHEN x.r = '' THEN x.h ELSE x.r END AS token, count(*) FILTER (x.r != '') AS n, count(*) FILTER (x.r = x.h) AS c, count(*) FILTER (x.r != '' AND x.h != '' AND x.r != x.h) AS s, count(*) FILTER (x.h = '') AS d, count(*) FILTER (x.r = '') AS i FROM (SELECT unnest(steps) AS x FROM a) GROUP BY 1),
+    ck AS (SELECT CASE WHEN regexp_matches(b, '^[0-9]+$') THEN 'Number' WHEN regexp_matches(b, '^[A-Za-zÀ-ÖØ-öø-ž]+$') THEN 'English' WHEN regexp_matches(b, '^[一-鿿]+$') THEN 'Mandarin' WHEN regexp_matches(b, '^[ぁ-ゖ]+$') THEN 'Japanese' ELSE 'Other' END AS cluster, n, c, s, d, i FROM (SELECT *, regexp_replace(token, '[&''@℃=._#+;-]', '', 'g') AS b FROM tk)) """
+
+
+_SUMS = ", ".join(f"sum({x})::BIGINT AS {x}" for x in "ncsdi")
+_WER = "CASE WHEN n > 0 THEN 100.0::DOUBLE * (s + d + i) / n ELSE 0 END"
+_COUNTED = "' N=' || n || ' C=' || c || ' S=' || s || ' D=' || d || ' I=' || i"
 _RATE = "round(CASE WHEN n > 0 THEN 100.0::DOUBLE * errors / n ELSE 0 END, 6) AS wer"
 _DIGITS = "list_filter(w, lambda x: regexp_matches(x, '[0-9]'))"
 _FRAMES = "f AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t, list_transform(p, lambda x: ln(greatest(x, 1e-12))) AS v FROM (%s)), c AS (SELECT label, count(*) AS n FROM f GROUP BY label)"
@@ -153,12 +173,56 @@ _SCORES = "[" + ", ".join(f"CASE WHEN event_type = '{k}' THEN 1.0::DOUBLE ELSE (
 _TOK = f"list_filter(regexp_split_to_array(upper(replace(text, 'ß', 'ss')), '{_WS}'), lambda x: x != '')"
 _EXPAND = "SELECT *, sum(length) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) - length AS start FROM (SELECT *, CASE WHEN l_returnflag = 'R' THEN floor(l_quantity)::BIGINT ELSE 1 END AS length FROM lineitem)"
 
+def listed(vector):
+    """A vector as text, in millionths."""
+    return F.array_join(F.transform(vector, lambda x: F.round(x * 1_000_000).cast("long").cast("string")), " ")
+
+
+_PSD = f"""WITH e AS (SELECT x.*, y.embedding FROM ({_SOFT}) x JOIN embeddings y USING (vec_id)), b AS (SELECT vec_id % 20 AS u, vec_id, p, {{of}} AS v, list_position(p, list_max(p)) - 1 AS id FROM e),
+c AS (SELECT *, sum(new) OVER (PARTITION BY u ORDER BY vec_id) AS run FROM (SELECT *, (lag(id) OVER (PARTITION BY u ORDER BY vec_id) IS DISTINCT FROM id)::INT AS new FROM b))
+SELECT u, min(vec_id) AS first, count(*) AS frames, {{more}}array_to_string(list_transform([{', '.join(f'avg(v[{k}])' for k in range(1, 65))}], lambda x: round(x * 1000000)::BIGINT), ' ') AS vector FROM c GROUP BY u, run, CASE WHEN id = 0 THEN vec_id ELSE -1 END HAVING avg(p[1]) < 0.9"""
+
+
+def spoken_frames(s, d):
+    """Posteriors of 20 utterances, of which the first n frames count (none of the first utterance)."""
+    return probabilities(s, d).withColumn("u", F.col("vec_id") % 20).withColumn("n", F.col("u") * 3)
+
+
+def interleaved(s, d, left: bool):
+    """Turns of a conversation as padded sequences of word lengths, in which words of three letters stand for some slots."""
+    rows = t(s, d, "conversations").select("conv_id", "turn", lengths(F.col("text")).alias("ids"))
+    rows = rows.withColumns({"mask": F.transform("ids", lambda x: F.lit(1)), "labels": F.transform("ids", lambda x: x * 10), "slots": F.transform(F.filter("ids", lambda x: x == 3), lambda x, i: F.pmod(F.col("turn") + i, F.lit(4)) + 1)})
+    rows = batching.collate(rows, ["conv_id"], {"ids": 0, "mask": 0, "labels": -100}, left)
+    out = sequence.interleave(rows, ["conv_id"], "ids", "mask", "labels", "slots", 3, -7)
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias(c)
+    return out.select("conv_id", "turn", "left", text("ids"), text("mask"), text("labels"), text("position_ids"), F.array_join(F.transform("audio", lambda x: x.cast("int").cast("string")), "").alias("audio"))
+
+
+def _interleaved(left: bool) -> str:
+    side = "count(*) OVER b = 1 OR NOT max(len(w) < width) OVER b" if not left else "true"
+    fill = lambda v: f"list_transform(range(0, gap), lambda k: {v})"
+    both = lambda v, x: f"array_to_string(CASE WHEN l THEN {fill(v)} || {x} ELSE {x} || {fill(v)} END, ' ')"
+    return f"""WITH w AS (SELECT conv_id, turn, {_LENGTHS} AS w, max(len({_LENGTHS})) OVER (PARTITION BY conv_id) AS width FROM conversations),
+    p AS (SELECT *, list_filter(range(1, len(w) + 1), lambda k: w[k] = 3) AS place, {side} AS l FROM w WINDOW b AS (PARTITION BY conv_id)),
+    x AS (SELECT *, flatten(list_transform(range(1, len(w) + 1), lambda k: CASE WHEN w[k] = 3 THEN list_transform(range(0, (turn + list_position(place, k) - 1) % 4 + 1), lambda z: {{'i': -7, 'l': -100, 'a': 1}}) ELSE [{{'i': w[k], 'l': w[k] * 10, 'a': 0}}] END)) AS x FROM p),
+    g AS (SELECT *, max(len(x) + width - len(w)) OVER (PARTITION BY conv_id) - len(x) AS gap FROM x)
+    SELECT conv_id, turn, l AS "left", {both('-7', 'list_transform(x, lambda y: y.i)')} AS ids, {both('0', 'list_transform(x, lambda y: 1)')} AS mask, {both('-100', 'list_transform(x, lambda y: y.l)')} AS labels,
+    {both('1', 'range(0, len(x))')} AS position_ids, replace({both('0', 'list_transform(x, lambda y: y.a)')}, ' ', '') AS audio FROM g"""
+
+
+def inserted(s, d):
+    """The documents' smoothed targets with an insertion for every ten rows."""
+    rows = posterior.pseudo_posterior(sequences(s, d), "doc_id", "target", 64, F.col("doc_id") * 7919 % 1000 / 10000)
+    place = lambda j, n: (F.col("doc_id") * 31 + j * j * 17) % (n + 1)
+    return posterior.with_insertions(rows, "doc_id", 0.1, place, lambda j, n: (F.col("doc_id") + j) % 2 == 0)
+
+
 #: name: (query, SQL or None)
 CATALOGUE = {
-    "wer_overall": (lambda s, d: scoring.overall(pairs(s, d)).withColumn("wer", F.round("wer", 6)), None),
-    "wer_per_pair": (lambda s, d: scoring.per_pair(pairs(s, d)), None),
-    "token_stats": (lambda s, d: scoring.token_counts(pairs(s, d)), None),
-    "wer_by_cluster_rollup": (lambda s, d: scoring.by_cluster(pairs(s, d)), None),
+    "wer_overall": (lambda s, d: scoring.overall(pairs(s, d)).withColumn("wer", F.round("wer", 6)), _aligned(_PAIRS) + f"SELECT *, round({_WER}, 6) AS wer FROM (SELECT {_SUMS} FROM e)"),
+    "wer_per_pair": (lambda s, d: scoring.per_pair(pairs(s, d)), _aligned(_PAIRS) + f"SELECT *, {_WER} AS wer FROM e"),
+    "token_stats": (lambda s, d: scoring.token_counts(pairs(s, d)), _aligned(_PAIRS) + "SELECT * FROM tk"),
+    "wer_by_cluster_rollup": (lambda s, d: scoring.by_cluster(pairs(s, d)), _aligned(_PAIRS) + f"SELECT cluster, {_SUMS} FROM ck GROUP BY ROLLUP (cluster)"),
     "wer_reference_tokens": (
         lambda s, d: pairs(s, d).agg(F.sum(F.size("ref")).alias("ref_tokens"), F.sum(F.size("hyp")).alias("hyp_tokens"), F.count("*").alias("pairs")),
         f"WITH {_PAIRS} SELECT sum(len(ref))::BIGINT AS ref_tokens, sum(len(hyp))::BIGINT AS hyp_tokens, count(*) AS pairs FROM q",
@@ -215,7 +279,13 @@ CATALOGUE = {
         lambda s, d: scoring.errors(pairs(s, d).withColumns({c: F.filter(c, lambda x: x.rlike("[0-9]")) for c in ("ref", "hyp")})).withColumn("wer", F.round("wer", 6)),
         _edits(_PAIRS.replace("r.w AS ref, h.w AS hyp", f"{_DIGITS.replace('(w', '(r.w')} AS ref, {_DIGITS.replace('(w', '(h.w')} AS hyp")) + f"SELECT id, n, errors, {_RATE} FROM e",
     ),
-    "wer_report": (lambda s, d: scoring.report(pairs(s, d)), None),
+    "wer_report": (
+        lambda s, d: scoring.report(pairs(s, d)),
+        _aligned(_PAIRS)
+        + f"""SELECT 'WER: ' || printf('%.2f', {_WER}) || ' %' || {_COUNTED} AS line FROM e UNION ALL SELECT 'Overall -> ' || printf('%.2f', {_WER}) || ' %' || {_COUNTED} FROM (SELECT {_SUMS} FROM e)
+        UNION ALL SELECT cluster || ' -> ' || printf('%.2f', {_WER}) || ' %' || {_COUNTED} FROM (SELECT cluster, {_SUMS} FROM ck GROUP BY cluster)""",
+    ),
+    "wer_report_aligned": (lambda s, d: scoring.report(pairs(s, d), aligned=True, words=12), None),
     "prompt_join": (
         lambda s, d: prompted(s, d, ()),
         f"SELECT doc_id::VARCHAR AS key, '<speech>' || {_PROMPT} AS prompt FROM documents",
@@ -264,17 +334,15 @@ CATALOGUE = {
         f"SELECT vec_id, round(list_max(p), 6) AS top FROM ({_SOFT})",
     ),
     "psd_encoder_merge": (
-        lambda s, d: sequence.merge_encoded(probabilities(s, d).join(t(s, d, "embeddings").select("vec_id", "embedding"), "vec_id").withColumn("u", F.col("vec_id") % 20), "u", "vec_id", "p", "embedding").select("u", "first", F.col("frames").cast("long").alias("frames"), F.round("blank", 6).alias("blank"), F.round(F.col("vector")[63], 6).alias("last")),
-        f"""WITH e AS (SELECT x.*, y.embedding FROM ({_SOFT}) x JOIN embeddings y USING (vec_id)), b AS (SELECT vec_id % 20 AS u, vec_id, p, embedding, list_position(p, list_max(p)) - 1 AS id FROM e),
-        c AS (SELECT *, sum(new) OVER (PARTITION BY u ORDER BY vec_id) AS run FROM (SELECT *, (lag(id) OVER (PARTITION BY u ORDER BY vec_id) IS DISTINCT FROM id)::INT AS new FROM b))
-        SELECT u, min(vec_id) AS first, count(*) AS frames, round(avg(p[1]), 6) AS blank, round(avg(embedding[64]::DOUBLE), 6) AS last FROM c GROUP BY u, run, CASE WHEN id = 0 THEN vec_id ELSE -1 END HAVING avg(p[1]) < 0.9""",
+        lambda s, d: sequence.merge_encoded(probabilities(s, d).join(t(s, d, "embeddings").select("vec_id", "embedding"), "vec_id").withColumn("u", F.col("vec_id") % 20), "u", "vec_id", "p", "embedding").select("u", "first", "frames", F.round("blank", 6).alias("blank"), listed(F.col("vector")).alias("vector")),
+        _PSD.format(of="embedding::DOUBLE[]", more="round(avg(p[1]), 6) AS blank, "),
     ),
     "resample_log_linear": (
         lambda s, d: posterior.resample(labelled(s, d, 0), "key", "vec_id", "p", labelled(s, d, 0).groupBy("key").agg((F.count("*") + 3).alias("length"))).select("key", "t", F.round(F.col("p")[0], 6).alias("first"), F.round(F.array_max("p"), 6).alias("top")),
         f"WITH {_FRAMES % _SOFT} SELECT key, t, round(p[1], 6) AS first, round(list_max(p), 6) AS top FROM {_resampled(0, 'SELECT label AS key, n + 3 AS m FROM c')}",
     ),
     "comparison": (
-        lambda s, d: compared(s, d).select("key", *[F.round(c, 6).alias(c) if k in ("double",) else F.col(c) for c, k in compared(s, d).dtypes if c != "key"]),
+        lambda s, d: (c := compared(s, d)).select("key", *[F.round(n, 6).alias(n) if k == "double" else F.col(n) for n, k in c.dtypes if n != "key"]),
         f"WITH {_FRAMES % _SOFT}, {_compared(0, 1, 'ctc_clean')}, {_compared(0, 2, 'ctc_noise')}, {_compared(2, 1, 'noise_clean')} SELECT key, "
         + ", ".join(
             f"{r}.{m} AS {n}" if m == "edit_dist" else f"len({r}.{'x' if m == 'len_a' else 'y'})::INTEGER AS {n}" if m.startswith("len") else f"round({r}.{m}, 6) AS {n}"
@@ -304,6 +372,35 @@ CATALOGUE = {
         lambda s, d: posterior.pseudo_posterior(sequences(s, d), "doc_id", "target", 64, F.col("doc_id") * 7919 % 1000 / 10000, (F.col("doc_id") * 31 + F.col("at") * 17) % 20 != 0).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("t").alias("last"), F.sum("id").alias("ids"), F.round(F.max("p"), 6).alias("p"), F.round(F.max("rest"), 6).alias("rest")),
         f"SELECT doc_id, count(*) AS n, (count(*) - 1)::INTEGER AS last, sum(id)::BIGINT AS ids, round(max(1 - a + a / 64), 6) AS p, round(max(a / 64), 6) AS rest FROM (SELECT doc_id, doc_id * 7919 % 1000 / 10000.0::DOUBLE AS a, unnest(range(0, len(w))) AS place, unnest(w) AS id FROM (SELECT doc_id, {_LENGTHS} || [2] AS w FROM documents)) WHERE (doc_id * 31 + place * 17) % 20 != 0 GROUP BY doc_id",
     ),
+    "pseudo_posterior_insert": (
+        lambda s, d: inserted(s, d).select("doc_id", "t", "id", F.round("p", 6).alias("p"), F.round("rest", 6).alias("rest")),
+        f"""WITH w AS (SELECT doc_id, {_LENGTHS} || [2] AS w, doc_id * 7919 % 1000 / 10000.0::DOUBLE AS a FROM documents),
+        j AS (SELECT doc_id, w, a, unnest(range(0, floor(len(w) * 0.1)::INTEGER)) AS j FROM w), p AS (SELECT *, (doc_id * 31 + j * j * 17) % (len(w) + 1) AS place, (doc_id + j) % 2 = 0 AS dup FROM j),
+        r AS (SELECT doc_id, k AS place, 1 AS own, 0 AS j, w[k + 1] AS id, 1 - a + a / 64 AS p, a / 64 AS rest FROM (SELECT *, unnest(range(0, len(w))) AS k FROM w)
+          UNION ALL SELECT doc_id, place, 0, j, CASE WHEN dup THEN w[greatest(place, 1)] ELSE 0 END, CASE WHEN dup THEN 1 - a + a / 64 ELSE 1 END, CASE WHEN dup THEN a / 64 ELSE 0 END FROM p)
+        SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY place, own, j) - 1)::INTEGER AS t, id, round(p, 6) AS p, round(rest, 6) AS rest FROM r""",
+    ),
+    "interleave_left": (lambda s, d: interleaved(s, d, True), _interleaved(True)),
+    "interleave_right": (lambda s, d: interleaved(s, d, False), _interleaved(False)),
+    "mask_positions": (
+        lambda s, d: batching.collate(t(s, d, "conversations").select("conv_id", "turn", F.transform(lengths(F.col("text")), lambda x: x % 5 != 0).alias("mask")), ["conv_id"], {"mask": False}, True).select("conv_id", "turn", F.array_join(F.transform(sequence.position_ids("mask"), lambda x: x.cast("string")), " ").alias("positions")),
+        f"""WITH m AS (SELECT conv_id, turn, list_transform({_LENGTHS}, lambda x: (x % 5 != 0)::INT) AS m FROM conversations), p AS (SELECT conv_id, turn, list_transform(range(0, max(len(m)) OVER (PARTITION BY conv_id) - len(m)), lambda x: 0) || m AS m FROM m)
+        SELECT conv_id, turn, array_to_string(list_transform(range(1, len(m) + 1), lambda k: CASE WHEN m[k] = 1 THEN list_sum(m[1:k]) - 1 ELSE 1 END), ' ') AS positions FROM p""",
+    ),
+    "policy_batches": (
+        lambda s, d: batching.dynamic_batches(sized(s, d).withColumn("frames", F.col("event_id") % 90), "user_id", ["ts", "event_id"], batching.frames_and_tokens("size", "frames", 300, 6)).select("user_id", "event_id", "batch"),
+        _FOLD.replace("(floor(value) % 50 + 1)::INT AS size", "(floor(value) % 50 + event_id % 90 // 6)::INT AS size").replace("200", "300") + "SELECT user_id, event_id, batch FROM r",
+    ),
+    "total_batches": (
+        lambda s, d: batching.dynamic_batches(sized(s, d), "user_id", ["ts", "event_id"], batching.total("size", 120)).select("user_id", "event_id", "batch"),
+        """WITH RECURSIVE s AS (SELECT user_id, event_id, (floor(value) % 50 + 1)::INT AS size, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+        r AS (SELECT user_id, event_id, k, 0 AS batch, size AS held FROM s WHERE k = 1 UNION ALL SELECT s.user_id, s.event_id, s.k, CASE WHEN held + size > 120 THEN batch + 1 ELSE batch END, CASE WHEN held + size > 120 THEN size ELSE held + size END FROM r JOIN s ON s.user_id = r.user_id AND s.k = r.k + 1)
+        SELECT user_id, event_id, batch FROM r""",
+    ),
+    "token_clusters": (
+        lambda s, d: scoring.by_clusters(pairs(s, d), t(s, d, "nation").select(F.concat(F.lit("region "), "n_regionkey").alias("cluster"), F.upper("n_name").alias("word")).unionByName(t(s, d, "documents").select(F.lit("languages").alias("cluster"), F.explode(F.array(F.lit("THE"), F.lit("A"), F.lit("IS"))).alias("word")).distinct())),
+        _aligned(_PAIRS) + f"SELECT cluster, {_SUMS} FROM tk JOIN (SELECT 'region ' || n_regionkey AS cluster, upper(n_name) AS token FROM nation UNION ALL SELECT 'languages', unnest(['THE', 'A', 'IS'])) USING (token) GROUP BY cluster",
+    ),
     "next_token_accuracy": (
         lambda s, d: metrics.next_token_accuracy(sequences(s, d), "ids", "labels").select(F.round("accuracy", 6).alias("accuracy")),
         f"SELECT round(avg((x = y)::INT), 6) AS accuracy FROM (SELECT unnest(i[1:len(i) - 1]) AS x, unnest(i[2:]) AS y FROM (SELECT [len(lang)] || {_LENGTHS} || [2] AS i FROM documents))",
@@ -353,10 +450,20 @@ CATALOGUE = {
         _RUNS + "SELECT user_id, run::BIGINT AS run, any_value(x) AS symbol, round(greatest((min(t) * 60 - 30)::DOUBLE / 1000, 0), 6) AS start, round(least(((max(t) + 1) * 60 - 30)::DOUBLE / 1000, (any_value(n) * 60 - 30)::DOUBLE / 1000), 6) AS \"end\" FROM g WHERE x != 'view' GROUP BY user_id, run",
     ),
     "psd_merge": (
-        lambda s, d: sequence.merge_frames(probabilities(s, d).withColumn("u", F.col("vec_id") % 20), "u", "vec_id", "p").select("u", "first", F.col("frames").cast("long").alias("frames"), F.round(F.col("vector")[0], 6).alias("blank")),
-        f"""WITH e AS ({_SOFT}), b AS (SELECT vec_id % 20 AS u, vec_id, p, list_position(p, list_max(p)) - 1 AS id FROM e),
-        c AS (SELECT *, sum(new) OVER (PARTITION BY u ORDER BY vec_id) AS run FROM (SELECT *, (lag(id) OVER (PARTITION BY u ORDER BY vec_id) IS DISTINCT FROM id)::INT AS new FROM b))
-        SELECT u, min(vec_id) AS first, count(*) AS frames, round(avg(p[1]), 6) AS blank FROM c GROUP BY u, run, CASE WHEN id = 0 THEN vec_id ELSE -1 END HAVING avg(p[1]) < 0.9""",
+        lambda s, d: sequence.merge_frames(probabilities(s, d).withColumn("u", F.col("vec_id") % 20), "u", "vec_id", "p").select("u", "first", "frames", listed(F.col("vector")).alias("vector")),
+        _PSD.format(of="p", more=""),
+    ),
+    "psd_utterances": (
+        lambda s, d: sequence.utterances(
+            sequence.merge_frames(spoken_frames(s, d), "u", "vec_id", "p", length="n"), spoken_frames(s, d).groupBy("u").agg((F.min("u") % 3).alias("b")), "u", 64, "b"
+        ).select("u", "length", F.posexplode("vectors").alias("place", "v")).select("u", "length", "place", listed(F.col("v")).alias("vector")),
+        f"""WITH e AS ({_SOFT}), a AS (SELECT vec_id % 20 AS u, vec_id, p, row_number() OVER (PARTITION BY vec_id % 20 ORDER BY vec_id) - 1 AS t FROM e), b AS (SELECT *, list_position(p, list_max(p)) - 1 AS id FROM a WHERE t < u * 3),
+        c AS (SELECT *, sum(new) OVER (PARTITION BY u ORDER BY vec_id) AS run FROM (SELECT *, (lag(id) OVER (PARTITION BY u ORDER BY vec_id) IS DISTINCT FROM id)::INT AS new FROM b)),
+        m AS (SELECT u, min(vec_id) AS first, [{', '.join(f'avg(p[{k}])' for k in range(1, 65))}] AS v FROM c GROUP BY u, run, CASE WHEN id = 0 THEN vec_id ELSE -1 END HAVING avg(p[1]) < 0.9),
+        r AS (SELECT u, v, row_number() OVER (PARTITION BY u ORDER BY first) - 1 AS place FROM m),
+        l AS (SELECT x.u, x.u % 3 AS b, count(r.u)::INTEGER AS length FROM (SELECT DISTINCT u FROM a) x LEFT JOIN r ON r.u = x.u GROUP BY x.u),
+        w AS (SELECT u, length, unnest(range(0, max(length) OVER (PARTITION BY b)))::INTEGER AS place FROM l)
+        SELECT w.u, w.length, w.place, array_to_string(list_transform(coalesce(v, list_transform(range(0, 64), lambda x: 0.0::DOUBLE)), lambda x: round(x * 1000000)::BIGINT), ' ') AS vector FROM w LEFT JOIN r ON r.u = w.u AND r.place = w.place""",
     ),
     "frame_stack": (
         lambda s, d: sequence.stack(t(s, d, "embeddings").withColumn("u", F.col("vec_id") % 20), "u", "vec_id", "embedding", 4).select("u", "step", F.size("stacked").alias("width"), F.round(F.col("stacked")[64].cast("double"), 6).alias("x")),

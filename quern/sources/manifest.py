@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..operators.numbering import numbered
 
 MANIFEST = "key string, task string, target string, path string, GT string"
 
@@ -73,9 +77,10 @@ def ignored_words(spark: SparkSession, path: str, case_sensitive: bool = False)
 
 
 def split_words(spark: SparkSession, path: str, case_sensitive: bool = False) -> DataFrame:
-    """word and parts of lines of a word and its parts; lines of one field are left out, of repeated words one line counts."""
+    """word and parts of lines of a word and its parts; lines of one field are left out, of a word's lines the last counts."""
     parts = F.split("line", r"[ \t\r\n\x0b\x0c]+")
-    return _lines(spark, path, case_sensitive).select(parts.alias("p")).where("size(p) > 1").select(F.col("p")[0].alias("word"), F.expr("slice(p, 2, size(p) - 1)").alias("parts")).groupBy("word").agg(F.max("parts").alias("parts"))
+    rows = _lines(spark, path, case_sensitive).withColumn("at", F.struct(F.input_file_name(), F.input_file_block_start(), F.monotonically_increasing_id())).select(parts.alias("p"), "at").where("size(p) > 1")
+    return rows.select(F.col("p")[0].alias("word"), F.expr("slice(p, 2, size(p) - 1)").alias("parts"), "at").groupBy("word").agg(F.max_by("parts", "at").alias("parts"))
 
 
 def clusters(spark: SparkSession, path: str) -> DataFrame:
@@ -86,9 +91,9 @@ def clusters(spark: SparkSession, path: str) -> DataFrame:
 
 
 def vocabulary(words: DataFrame) -> DataFrame:
-    """word and id (from 1 on, in order of the words; 0 is for words it lacks) of a table of words."""
+    """word and id (from 1 on, in order of the words; 0 is for words it lacks) of a table of words, numbered range by range."""
     distinct = words.select("word").where("word is not null").distinct()
-    return distinct.select("word", F.row_number().over(Window.orderBy("word")).alias("id"))  # of a vocabulary's size
+    return numbered(distinct, [], ["word"], "id").withColumn("id", (F.col("id") + 1).cast("int"))
 
 
 def encode(rows: DataFrame, key: str, tokens: str, words: DataFrame, end: int | None = None) -> DataFrame:
@@ -118,5 +123,21 @@ def clean_transcript(rows: DataFrame) -> DataFrame:
     return rows.withColumn("line", F.when(at > 0, F.concat(F.expr("substring(line, 1, instr(line, '\t'))"), clean_marks(F.expr("substring(line, instr(line, '\t') + 1)")))).otherwise(F.col("line")))
 
 
+@F.pandas_udf(T.StringType())
+def spoken(text: pd.Series) -> pd.Series:
+    r"""The transcription that a manifest's GT stands for: its UTF-8 bytes with escapes (\n, \xe9, \u4f60, ...) taken as what they mean.
+
+    Bytes beyond ASCII count one by one, as Latin-1; a text with an escape that means nothing stays as it is, null has "".
+    """
+
+    def one(raw: str | None) -> str:
+        try:
+            return (raw or "").encode("utf-8").decode("unicode_escape")
+        except UnicodeDecodeError:
+            return raw
+
+    return text.map(one)
+
+
 def line_numbers(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(F.monotonically_increasing_id())))

@@ -6,8 +6,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.batching import Policy, folded, padded
 from ..sources.manifest import MANIFEST
 
 
@@ -15,23 +16,35 @@ def manifest_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(MANIFEST).json(folder)
 
 
-def dynamic_batch_stream(df: DataFrame, shard: str, order: str, size: str, limit: int) -> DataFrame:
-    """Adds batch to a stream's rows as operators.batching.dynamic_batches() does to a table's.
+class OpenBatch(StatefulProcessor):
+    """A shard's state: the number of its open batch, and the policy's state of it."""
 
-    A shard's state is three numbers: the open batch, how many rows it has and the longest of them.  Rows of one trigger
-    are taken in `order`; a later trigger's come after all before.
-    """
+    def __init__(self, order: list[str], policy: Policy):
+        self.order, self.policy = order, policy
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.number = handle.getValueState("number", "batch int")
+        self.held = handle.getValueState("held", self.policy.form)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        batch = self.number.get()[0] if self.number.exists() else 0
+        state = tuple(self.held.get()) if self.held.exists() else None
+        numbers, batch, state = folded(self.policy, new[list(self.policy.columns)].itertuples(index=False, name=None), batch, state)
+        self.number.update((batch,))
+        self.held.update(state)
+        yield new.assign(batch=numbers)
+
+    def close(self) -> None:
+        pass
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        batch, n, longest = state.get if state.exists else (0, 0, 0)
-        rows, out = pd.concat(list(frames)).sort_values(order, kind="stable"), []
-        for s in rows[size].tolist():
-            if n and (n + 1) * max(longest, s) > limit:
-                batch, n, longest = batch + 1, 0, 0
-            n, longest = n + 1, max(longest, s)
-            out.append(batch)
-        state.update((batch, n, longest))
-        yield rows.assign(batch=out)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", batch int"
-    return df.groupBy(shard).applyInPandasWithState(step, schema, "batch int, n int, longest int", "append", GroupStateTimeout.NoTimeout)
+
+def dynamic_batch_stream(df: DataFrame, shard: str, order: str | list[str], size: str | Policy, limit: int | None = None) -> DataFrame:
+    """Adds batch to a stream's rows as operators.batching.dynamic_batches() does to a table's, by the same policy.
+
+    Rows of one trigger are taken in `order`; a later trigger's come after all before.  The session has to keep state in
+    RocksDB (spark.sql.streaming.stateStore.providerClass).
+    """
+    policy = padded(size, limit) if isinstance(size, str) else size
+    form = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", batch int"
+    return df.groupBy(shard).transformWithStateInPandas(OpenBatch([order] if isinstance(order, str) else order, policy), form, "Append", "None")

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from quern.plans import catalogue
+from quern.plans import catalogue, frame_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -14,13 +14,16 @@ def rows(names, data):
     return sorted((tuple(r[i] for i in order) for r in data), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
+QUERIES, SQL = (catalogue.queries() | frame_queries.queries(), catalogue.oracle_sql() | frame_queries.oracle_sql())
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    df = catalogue.queries()[name](spark, SF)
-    got = con.execute(catalogue.oracle_sql()[name])
+    df = QUERIES[name](spark, SF)
+    got = con.execute(SQL[name])
     want = rows([c[0] for c in got.description], got.fetchall())
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == want
     assert want

@@ -87,7 +87,7 @@ def test_null_pairs(spark):
     assert {r.id: (r.n, r.c, r.s, r.d, r.i) for r in scoring.per_pair(rows).collect()} == {"1": (1, 0, 0, 1, 0), "2": (0, 0, 0, 0, 1), "3": (2, 1, 0, 1, 1)}
     assert [r.e for r in rows.select(align.edit_distance("ref", "hyp").alias("e")).collect()] == [1, 1, 2]
     lines = [r.line for r in scoring.report(rows).collect()]
-    assert lines[2] == "WER: -> 100.00 % N=2 C=1 S=0 D=1 I=1" and lines[3].startswith("Overall -> 133.33 % N=3 C=1 S=0 D=2 I=2")
+    assert lines[2] == "WER: 100.00 % N=2 C=1 S=0 D=1 I=1" and lines[3].startswith("Overall -> 133.33 % N=3 C=1 S=0 D=2 I=2")
     kinds = spark.createDataFrame([("k", "a")], "cluster string, word string")
     assert [tuple(r) for r in scoring.by_clusters(rows, kinds).collect()] == [("k", 2, 0, 0, 2, 1)] or scoring.by_clusters(rows, kinds).count() == 1
     clash = spark.createDataFrame([(1, 1, 7), (1, 2, 8)], "id int, o int, _n int")
