@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -155,14 +156,17 @@ def forced_align(scores: np.ndarray, targets: list[int], blank: int = 0) -> np.n
     return np.array(out[::-1])
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def align_frames(scores: pd.Series, targets: pd.Series) -> pd.Series:
+def align_frames(scores: Column | str, targets: Column | str, blank: int = 0) -> Column:
     """forced_align() of each row's frames (an array of scores by label each) and targets; null or empty frames give no labels."""
 
-    def one(frames, ids):
-        rows = [list(f) for f in _listed(frames)]
-        if not rows:
-            return []
-        return forced_align(np.array(rows, float).reshape(len(rows), -1), [int(x) for x in _listed(ids)]).tolist()
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def each(frames: pd.Series, ids: pd.Series) -> pd.Series:
+        def one(f, t):
+            rows = [list(x) for x in _listed(f)]
+            if not rows:
+                return []
+            return forced_align(np.array(rows, float).reshape(len(rows), -1), [int(x) for x in _listed(t)], blank).tolist()
 
-    return pd.Series([one(f, t) for f, t in zip(scores, targets, strict=True)])
+        return pd.Series([one(f, t) for f, t in zip(frames, ids, strict=True)])
+
+    return each(scores, targets)

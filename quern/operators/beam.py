@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -14,7 +16,7 @@ def _more(a: float, b: float) -> float:
     return float(np.logaddexp(a, b))
 
 
-def prefix_beam(logs: np.ndarray, width: int, blank: int = 0, labels: int | None = None) -> list[tuple[tuple[int, ...], float]]:
+def prefix_beam(logs: Iterable[np.ndarray], width: int, blank: int = 0, labels: int | None = None) -> list[tuple[tuple[int, ...], float]]:
     """The best label sequences of frames of log probabilities and their log masses, best first; `width` prefixes are kept a frame.
 
     A prefix has two masses: of the paths that end in a blank and of those that end in its last label, so a label that
@@ -24,7 +26,7 @@ def prefix_beam(logs: np.ndarray, width: int, blank: int = 0, labels: int | None
     """
     none = -np.inf
     beam: dict[tuple[int, ...], tuple[float, float]] = {(): (0.0, none)}
-    for row in np.asarray(logs, float):
+    for row in logs:
         tried = np.argsort(-row, kind="stable")
         tried = [c for c in (tried if labels is None else tried[:labels]).tolist() if c != blank and row[c] > none]
         found: dict[tuple[int, ...], tuple[float, float]] = {}
@@ -51,7 +53,7 @@ def beam_search(frames: Column | str, width: int = 4, blank: int = 0, best: int
         def one(v):
             if v is None:
                 return None
-            logs = np.array([list(f) for f in v], float).reshape(len(v), -1)
+            logs = [np.array(f, float) for f in v]
             return [{"ids": list(p), "score": s} for p, s in prefix_beam(logs, width, blank, labels)[:best]]
 
         return pd.Series([one(v) for v in x])

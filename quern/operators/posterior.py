@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
+from .numbering import settled
+
 TINY = 1e-12
 
 
@@ -127,12 +131,55 @@ def write_comparison(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 
 
-def soft_embedding(df: DataFrame, key: list[str], vector: str, table: DataFrame, blank_last: bool = False) -> DataFrame:
-    """key, h and x: the sum over v of the vector's entry v and the table's (v, h, e); its last entry can be left out as the blank."""
+#: Bytes of a block of an embedding table.
+BLOCK = 256 << 20
+
+
+def soft_embedding(df: DataFrame, key: list[str], vector: str, table: DataFrame, blank_last: bool = False, block: int | None = None) -> DataFrame:
+    """key, h and x: the sum over v of the vector's entry v and the table's (v, h, e); its last entry can be left out as the blank.
+
+    The table's rows are packed into blocks of neighbouring v (of BLOCK bytes, or `block` of them), and each pass over
+    the frames adds what one block has: a product of matrices for many frames at a time, no row for a frame and an
+    entry.  Entries that the table lacks count as 0; h runs from 0 to the table's greatest.
+    """
+    spark = df.sparkSession
+    width = (table.agg(F.max("h")).first()[0] if table.columns else None) or 0
+    width += 1
+    block = block or max(1, BLOCK // (8 * width))
+
+    def dense(part: pa.Table) -> pa.Table:
+        m = np.zeros((block, width))
+        v = part.column("v").to_numpy() % block
+        np.add.at(m, (v, part.column("h").to_numpy()), part.column("e").to_numpy())
+        return pa.table({"block": part.column("block").slice(0, 1), "matrix": pa.array([m[: v.max() + 1].tobytes()], pa.binary())})
+
+    rows = table.select(F.col("v").cast("long").alias("v"), F.col("h").cast("long").alias("h"), F.col("e").cast("double").alias("e"), F.expr(f"cast(v div {block} as long)").alias("block"))
+    blocks = settled(rows.groupBy("block").applyInArrow(dense, "block long, matrix binary"))
     v = F.col(vector)
-    v = softmax(F.slice(v, 1, F.size(v) - 1)) if blank_last else v
-    long = df.select(*key, F.posexplode(v).alias("v", "p"))
-    return long.join(table.select("v", "h", "e"), "v").groupBy(*key, "h").agg(F.sum(F.col("p") * F.col("e")).alias("x"))
+    v = softmax(F.slice(v, 1, F.size(v) - 1)) if blank_last else v.cast("array<double>")
+    state = df.select(*key, v.alias("_p"), F.lit(None).cast("array<double>").alias("_x"))
+    form = state.schema
+    names = [r.block for r in blocks.select("block").orderBy("block").collect()]  # a number for each block
+    for k, name in enumerate(names):
+        matrix = blocks.where(F.col("block") == name).first()["matrix"]  # of `block` rows
+        sent = spark.sparkContext.broadcast(bytes(matrix))
+
+        def add(batches, sent=sent, at=name * block):
+            for b in batches:
+                m = np.frombuffer(sent.value).reshape(-1, width)
+                p, x = b.column("_p").to_pylist(), b.column("_x").to_pylist()
+                own = np.zeros((len(p), len(m)))
+                for i, f in enumerate(p):
+                    part = (f or [])[at : at + len(m)]
+                    own[i, : len(part)] = part
+                out = own @ m + np.array([y or [0.0] * width for y in x]).reshape(-1, width)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(list(out), pa.list_(pa.float64()))], schema=b.schema)
+
+        state = state.mapInArrow(add, form)
+        if k < len(names) - 1:
+            state = settled(state)
+            sent.unpersist()
+    return state.select(*key, F.posexplode("_x").alias("h", "x"))
 
 
 def top1_gather(df: DataFrame, key: list[str], vector: str, table: DataFrame) -> DataFrame:

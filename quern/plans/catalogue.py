@@ -66,12 +66,13 @@ def _aligned(pairs: str) -> str:
     A cell comes over a deletion if that is as good as any, else over an insertion, else over a pair; a path is a letter a step.
     """
     w = "(PARTITION BY id ORDER BY j)"
-    return f"""WITH RECURSIVE {pairs}, d AS (SELECT id, 0 AS i, j, j AS cost, repeat('I', j) AS path FROM (SELECT id, unnest(range(0, len(hyp) + 1)) AS j FROM q) UNION ALL
-    SELECT id, i + 1, j, new, last_value(CASE way WHEN 1 THEN path || 'D' WHEN 0 THEN before || 'P' END IGNORE NULLS) OVER {w} || repeat('I', j - max(CASE WHEN way != 2 THEN j END) OVER {w}) FROM
+    return f"""WITH RECURSIVE {pairs}, m AS MATERIALIZED (SELECT * FROM q), l AS MATERIALIZED (SELECT id, unnest(ref) AS r, unnest(range(0, len(ref))) AS i FROM m),
+    d AS (SELECT id, 0 AS i, j, h, j AS cost, repeat('I', j) AS path FROM (SELECT id, unnest(range(0, len(hyp) + 1)) AS j, unnest([''] || hyp) AS h FROM m) UNION ALL
+    SELECT id, i + 1, j, h, new, last_value(CASE way WHEN 1 THEN path || 'D' WHEN 0 THEN before || 'P' END IGNORE NULLS) OVER {w} || repeat('I', j - max(CASE WHEN way != 2 THEN j END) OVER {w}) FROM
     (SELECT *, CASE WHEN new = cost + 1 THEN 1 WHEN j > 0 AND new = lag(new) OVER {w} + 1 THEN 2 ELSE 0 END AS way FROM
     (SELECT *, j + min(up - j) OVER {w} AS new FROM
-    (SELECT id, i, j, cost, path, lag(path) OVER {w} AS before, CASE WHEN j = 0 THEN i + 1 ELSE least(cost + 1, lag(cost) OVER {w} + (hyp[j] != ref[i + 1])::BIGINT) END AS up FROM d JOIN q USING (id) WHERE i < len(ref))))),
-    a AS (SELECT id, ref, list_transform(range(1, len(path) + 1), lambda k: {{'r': CASE WHEN path[k] = 'I' THEN '' ELSE ref[len(replace(path[1:k], 'I', ''))] END, 'h': CASE WHEN path[k] = 'D' THEN '' ELSE hyp[len(replace(path[1:k], 'D', ''))] END}}) AS steps FROM d JOIN q USING (id) WHERE i = len(ref) AND j = len(hyp)),
+    (SELECT d.*, lag(path) OVER (PARTITION BY d.id ORDER BY j) AS before, CASE WHEN j = 0 THEN d.i + 1 ELSE least(cost + 1, lag(cost) OVER (PARTITION BY d.id ORDER BY j) + (h != r)::BIGINT) END AS up FROM d JOIN l ON l.id = d.id AND l.i = d.i)))),
+    a AS (SELECT id, ref, list_transform(range(1, len(path) + 1), lambda k: {{'r': CASE WHEN path[k] = 'I' THEN '' ELSE ref[len(replace(path[1:k], 'I', ''))] END, 'h': CASE WHEN path[k] = 'D' THEN '' ELSE hyp[len(replace(path[1:k], 'D', ''))] END}}) AS steps FROM d JOIN m USING (id) WHERE i = len(ref) AND j = len(hyp)),
     e AS (SELECT id, len(ref)::INTEGER AS n, len(list_filter(steps, lambda x: x.r = x.h))::INTEGER AS c, len(list_filter(steps, lambda x: x.r != '' AND x.h != '' AND x.r != x.h))::INTEGER AS s, len(list_filter(steps, lambda x: x.h = ''))::INTEGER AS d, len(list_filter(steps, lambda x: x.r = ''))::INTEGER AS i FROM a),
     tk AS (SELECT CASE WHEN x.r = '' THEN x.h ELSE x.r END AS token, count(*) FILTER (x.r != '') AS n, count(*) FILTER (x.r = x.h) AS c, count(*) FILTER (x.r != '' AND x.h != '' AND x.r != x.h) AS s, count(*) FILTER (x.h = '') AS d, count(*) FILTER (x.r = '') AS i FROM (SELECT unnest(steps) AS x FROM a) GROUP BY 1),
     ck AS (SELECT CASE WHEN regexp_matches(b, '^[0-9]+$') THEN 'Number' WHEN regexp_matches(b, '^[A-Za-zÀ-ÖØ-öø-ž]+$') THEN 'English' WHEN regexp_matches(b, '^[一-鿿]+$') THEN 'Mandarin' WHEN regexp_matches(b, '^[ぁ-ゖ]+$') THEN 'Japanese' ELSE 'Other' END AS cluster, n, c, s, d, i FROM (SELECT *, regexp_replace(token, '[&''@℃=._#+;-]', '', 'g') AS b FROM tk)) """
@@ -418,8 +419,15 @@ CATALOGUE = {
         f"SELECT l_orderkey, sum(length)::INTEGER AS n, sum(CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_partkey END)::BIGINT AS ids, sum(CASE WHEN l_returnflag = 'R' THEN -100 * length ELSE l_suppkey END)::BIGINT AS labels, arg_min(CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_partkey END, start) AS first FROM ({_EXPAND}) GROUP BY l_orderkey",
     ),
     "forced_align": (
-        lambda s, d: frames(s, d).groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "scores"))), lambda x: F.transform(x.scores, lambda y: F.log(y + 1e-6))).alias("scores")).join(sequence.greedy(frames(s, d).withColumn("at", F.struct("ts", "event_id")), "user_id", "at", "scores", 3), "user_id").select("user_id", F.array_join(F.transform(align_frames("scores", "ids"), lambda x: x.cast("string")), " ").alias("ids")),
-        None,
+        lambda s, d: frames(s, d).groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "scores"))), lambda x: F.transform(x.scores, lambda y: F.log(y + 1e-6))).alias("scores")).join(sequence.greedy(frames(s, d).withColumn("at", F.struct("ts", "event_id")), "user_id", "at", "scores", 3), "user_id").select("user_id", F.array_join(F.transform(align_frames("scores", "ids", 3), lambda x: x.cast("string")), " ").alias("ids")),
+        f"""WITH RECURSIVE f AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, v, list_position(v, list_max(v)) - 1 AS id FROM (SELECT user_id, ts, event_id, {_SCORES} AS v FROM events)),
+        g AS (SELECT *, lag(id) OVER (PARTITION BY user_id ORDER BY t) AS b FROM f), y AS (SELECT user_id, max(t) AS last, coalesce(list(id ORDER BY t) FILTER (id != 3 AND id IS DISTINCT FROM b), []) AS ids FROM g GROUP BY user_id),
+        k AS MATERIALIZED (SELECT user_id, last, k, 2 * len(ids) + 1 AS n, CASE WHEN k % 2 = 0 THEN 3 ELSE ids[(k + 1) // 2] END AS label, k % 2 = 1 AND k > 2 AND ids[(k + 1) // 2] != ids[(k - 1) // 2] AS skip FROM (SELECT *, unnest(range(0, 2 * len(ids) + 1)) AS k FROM y)),
+        m AS MATERIALIZED (SELECT user_id, t, list_transform(v, lambda x: ln(x + 1e-6)) AS v FROM f),
+        d AS (SELECT k.*, 0 AS t, CASE WHEN k < 2 THEN v[label + 1] ELSE '-inf'::DOUBLE END AS best, label::VARCHAR AS path FROM k JOIN m USING (user_id) WHERE t = 0 UNION ALL
+        SELECT user_id, last, k, n, label, skip, t, greatest(best, b, c) + v[label + 1], CASE WHEN best >= b AND best >= c THEN path WHEN b >= c THEN bp ELSE cp END || ' ' || label FROM
+        (SELECT d.* EXCLUDE (t), m.t, v, coalesce(lag(best) OVER w, '-inf'::DOUBLE) AS b, lag(path) OVER w AS bp, CASE WHEN skip THEN coalesce(lag(best, 2) OVER w, '-inf'::DOUBLE) ELSE '-inf'::DOUBLE END AS c, lag(path, 2) OVER w AS cp FROM d JOIN m ON m.user_id = d.user_id AND m.t = d.t + 1 WINDOW w AS (PARTITION BY d.user_id ORDER BY k)))
+        SELECT user_id, arg_max(path, CASE WHEN k = n - 1 THEN {{'a': best, 'b': 0}} ELSE {{'a': best, 'b': 1}} END) AS ids FROM d WHERE t = last AND k >= n - 2 GROUP BY user_id""",
     ),
     "file_ext": (
         lambda s, d: t(s, d, "pages").select("page_id", X.extension(F.col("url")).alias("ext")),

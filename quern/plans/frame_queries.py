@@ -107,9 +107,10 @@ CATALOGUE = {
         _bank(),
     ),
     "beam_search": (
-        lambda s, d: frames(s, d).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "scores"))).alias("e"))
-        .select("user_id", beam.beam_search(F.transform("e", lambda x: F.transform(posterior.softmax(F.transform(x.scores, lambda y: y * 4)), lambda y: F.log(y))), 4, 3, 2).alias("found"))
-        .select("user_id", F.posexplode("found").alias("place", "f")).select("user_id", "place", F.array_join(F.transform("f.ids", lambda x: x.cast("string")), " ").alias("ids"), F.round("f.score", 6).alias("score")),
+        lambda s, d: frames(s, d).withColumn("logs", F.transform(posterior.softmax(F.transform("scores", lambda y: y * 4)), lambda y: F.log(y)))
+        .groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "logs"))).alias("e"))
+        .withColumn("found", beam.beam_search(F.col("e.logs"), 4, 3, 2))
+        .select("user_id", *[x for k in range(2) for x in (F.array_join(F.transform(F.col("found")[k]["ids"], lambda x: x.cast("string")), " ").alias(f"ids_{k}"), F.round(F.col("found")[k]["score"], 6).alias(f"score_{k}"))]),
         None,
     ),
 }

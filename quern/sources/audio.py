@@ -17,7 +17,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, FloatType, IntegerType, StructField, StructType
 
 RECORDS = "key string, path string, offset long, rate int, samples array<float>, features array<array<float>>"
 #: Samples are 16-bit integers over this, so they lie in -1 to 1.
@@ -288,7 +288,7 @@ def load(rows: DataFrame, place: str = "path", least: float = 0.0, most: float =
     named = [c for c in rows.columns if c not in ("rate", "samples")]
     at = F.coalesce(F.regexp_extract(place, r":(\d+)$", 1).try_cast("long"), F.lit(0))
     dealt = rows.select(*named).withColumn("_at", at).repartitionByRange(F.regexp_replace(place, r":\d+$", ""), "_at").sortWithinPartitions(F.regexp_replace(place, r":\d+$", ""), "_at").drop("_at")
-    form = dealt.schema.add("rate", "int").add("samples", "array<float>")
+    form = StructType([*dealt.schema.fields, StructField("rate", IntegerType()), StructField("samples", ArrayType(FloatType()))])
 
     def run(batches):
         last, f = None, None

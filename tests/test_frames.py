@@ -211,7 +211,7 @@ def test_beam_search(seed, blank):
 
 def test_beam_ties_and_column(spark):
     even = [[math.log(1 / 3)] * 3] * 2
-    found = beam.prefix_beam(np.array(even), 9, 0)
+    found = beam.prefix_beam(map(np.array, even), 9, 0)
     assert [p for p, _ in found] == [(1,), (2,), (), (1, 2), (2, 1)]
     df = spark.createDataFrame([(1, even), (2, None), (3, [])], "i int, f array<array<double>>")
     out = {r.i: r.b for r in df.select("i", beam.beam_search("f", 9, 0, 2).alias("b")).collect()}
