@@ -14,10 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SHORT, filesystem, keep, long_hashes, mix, powers, publish, scratch, spans, text_batches, text_bytes
+from .shared import SHORT, filesystem, keep, mix, powers, publish, scratch, spans, text_batches, text_bytes
 
 MAGIC, BLOCK, LIMIT = b"QUERNHF1", 512, 20
 #: Token ids to a file, about.
@@ -201,11 +202,9 @@ def pieces(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     stops = np.flatnonzero(~gap & np.append(gap[1:] | edges[1:], True) | ~gap & np.append(apart[1:], True)) + 1
     whole = odd[np.searchsorted(words, starts, "right") - 1]
     hashes = mix(hashes, 7)
-    for folded in (True, False):
-        pick = np.flatnonzero((whole != folded) & (stops - starts > SHORT))
-        part = hashes[pick]
-        long_hashes(part, data, starts[pick], stops[pick], folded)
-        hashes[pick] = part
+    for k in np.flatnonzero(stops - starts > SHORT).tolist():
+        own = data[starts[k] : stops[k]].tobytes()
+        hashes[k] = xxhash.xxh3_64_intdigest(own if whole[k] else own.lower(), 7)
     return starts, stops, hashes, whole
 
 
@@ -335,7 +334,7 @@ def write(encoded: DataFrame, folder: str, block: int = BLOCK, limit: int = LIMI
     """Writes rows of encode() in ascending doc_id order as files in `folder`; returns a row for each file.
 
     Rows: file, path, first (ids in the files before it), n_docs, n_ids.  Null ids come first (the files
-    hold -2 ** 63 for them, which is no id of its own), equal ids by their contents.  Code lengths come from the counts of all ids.  Files appear whole or not at all, and a repeated task
+    hold -2 ** 63 for them, which is no id of its own), equal ids by the hash of their contents.  Code lengths come from the counts of all ids.  Files appear whole or not at all, and a repeated task
     writes the same bytes to the same name.
     """
     spark = encoded.sparkSession
@@ -388,7 +387,9 @@ def write(encoded: DataFrame, folder: str, block: int = BLOCK, limit: int = LIMI
         if docs:
             yield close()
 
-    ordered = encoded.withColumn("doc_id", F.col("doc_id").cast("long")).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "ids")
+    # rows of one id go by the hash of their ids, and equal ones by their place, so that they may lie in several files
+    ordered = encoded.withColumns({"doc_id": F.col("doc_id").cast("long"), "h": F.xxhash64("ids"), "place": F.monotonically_increasing_id()})
+    ordered = ordered.repartitionByRange(files, "doc_id", "h", "place").sortWithinPartitions("doc_id", "h", "place")
     made = keep(ordered.select("doc_id", "ids", "width").mapInArrow(save, "file long, path string, n_docs long, n_ids long"), f"{folder}/list")
     # what comes before a file: the sums of GROUP files each, added up in order, and then within the group
     group = (F.col("file") / (10_000 * GROUP)).cast("long")

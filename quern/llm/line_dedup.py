@@ -458,7 +458,7 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD, words: int = 1, firs
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_in_document(*(b.column(c).to_numpy(zero_copy_only=False) for c in ("s", "least"))))], ["x"])
 
-    firsts = spark.sparkContext.broadcast(bloom(counts.select("s", "least").mapInArrow(key_rows, "x long"), "x"))
+    firsts = spark.sparkContext.broadcast(bloom(counts.select("s", "least").mapInArrow(key_rows, "x long"), "x", counts.count()))
     sent = spark.sparkContext.broadcast(rarity(table))  # of a fixed size
 
     def meet(rows: DataFrame, most: int | None) -> DataFrame:
@@ -467,7 +467,7 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD, words: int = 1, firs
 
     def members(pairs: DataFrame, name: str) -> DataFrame:
         both = pairs.select("s").union(pairs.select(F.col("t").alias("s")))
-        kept = _items(docs, spark.sparkContext.broadcast(bloom(both, "s")), words)
+        kept = _items(docs, spark.sparkContext.broadcast(bloom(both, "s", 2 * pairs.count())), words)
         wanted = both.distinct()
         return keep(kept.join(wanted, "s", "left_semi").dropDuplicates(["s", "s2"]), f"{at}/{name}")
 
@@ -483,7 +483,7 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD, words: int = 1, firs
     unsettled = keep(met.where("more").select("g", "s").distinct().join(early, "s", "left_anti"), f"{at}/open")
     gone = early
     if not unsettled.isEmpty():
-        groups = spark.sparkContext.broadcast(bloom(unsettled, "g"))
+        groups = spark.sparkContext.broadcast(bloom(unsettled, "g", unsettled.count()))
         rows = docs.mapInArrow(_postings(sent, firsts, threshold, words, large, groups), _POSTING)
         rows = rows.join(unsettled.select("g").distinct(), "g", "left_semi").join(unsettled.withColumn("open", F.lit(True)), ["g", "s"], "left")
         more = keep(meet(rows.withColumn("open", F.coalesce("open", F.lit(False))), None).select("s", "t").distinct(), f"{at}/more")

@@ -174,13 +174,20 @@ _CHUNK = 1 << 17
 SHORT = 32
 
 
-def long_hashes(hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, fold: bool = True) -> None:
-    """Puts xxh3 of the bytes (A-Z lower-cased if fold says so) in place of the hashes of all words of over SHORT bytes."""
+def long_hashes(hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, word: np.ndarray, fold: bool = True) -> None:
+    """Puts xxh3 of the bytes (A-Z lower-cased if fold says so) in place of the hashes of all words of over SHORT bytes.
+
+    word: 0 for bytes that belong to no word.  A word ends before such a byte or where the next one starts.
+    """
     import xxhash
 
-    for k in np.flatnonzero(stops - starts > SHORT).tolist():
-        word = data[starts[k] : stops[k]].tobytes()
-        hashes[k] = xxhash.xxh3_64_intdigest(word.lower() if fold else word, 6)
+    for k in np.flatnonzero(np.diff(starts, append=len(data)) > SHORT).tolist():
+        i, j = int(starts[k]), int(starts[k + 1]) if k + 1 < len(starts) else len(data)
+        gap = np.flatnonzero(word[i:j] == 0)
+        j = i + int(gap[0]) if len(gap) else j
+        if j - i > SHORT:
+            own = data[i:j].tobytes()
+            hashes[k] = xxhash.xxh3_64_intdigest(own.lower() if fold else own, 6)
 
 
 def _values(word: bytes) -> np.ndarray:
@@ -244,9 +251,7 @@ def word_hashes(data: np.ndarray, cuts: np.ndarray, values: np.ndarray = ALNUM)
         if len(first):
             up, down = powers(len(v))
             h = mix(np.add.reduceat(v * up[: len(v)], first) * down[first], 6)
-            stop = word.copy()
-            stop[:-1] &= ~word[1:] | edges[at + 1 : end]
-            long_hashes(h, data[at:end], first, np.flatnonzero(stop) + 1)
+            long_hashes(h, data[at:end], first, v)
             hashes.append(h)
             starts.append(first + at)
         at = end
@@ -331,8 +336,9 @@ def add_counts(counts: np.ndarray, at: np.ndarray) -> None:
     counts[at[first]] += np.diff(np.append(first, len(at))).astype(counts.dtype)
 
 
-#: Bits of a Bloom filter: beyond some ten million members it lets more rows through, which the join behind it drops.
-BLOOM = 1 << 26
+#: Bits of the smallest and of the largest Bloom filter (32 KB and 64 MB).  Beyond some 30 million members the largest
+#: lets more rows through, which the join behind it drops.
+LEAST_BITS, MOST_BITS = 1 << 18, 1 << 29
 
 
 def _places(h: np.ndarray, bits: int):
@@ -340,10 +346,11 @@ def _places(h: np.ndarray, bits: int):
     return (h & np.uint64(bits - 1)).astype(np.int64), (h >> np.uint64(32) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def bloom(df: DataFrame, column: str, bits: int = BLOOM) -> np.ndarray:
-    """A Bloom filter of fixed size of a column of longs, for may_hold()."""
+def bloom(df: DataFrame, column: str, members: int) -> np.ndarray:
+    """A Bloom filter of a column of so many longs, for may_hold(); 16 to 32 bits a member let about one stranger of a hundred through."""
     import pyarrow as pa
 
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * members).bit_length()))
     table = Table(bits // 8, np.uint8, np.bitwise_or)
 
     def run(batches):
