@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .importance import word_blocks
-from .shared import keep, scratch, spans, text_batches
+from .shared import ALNUM, keep, scratch, spans, text_batches, text_bytes
 from .sharding import positions
 
 #: Terms of the queries that are looked up at a time, in one pass over the index; one query has all its terms in one pass.
@@ -29,15 +29,27 @@ BLOCK_TERMS = 200_000
 SEGMENT = 4_000_000
 #: Impacts lie below FULL; a byte counts units of FULL / STEPS, rounded up.
 FULL, STEPS = 1_000_000, 255
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _FORM = "doc_ids array<long>, lengths binary, terms binary, at binary, places binary, bounds binary, tf binary"
 
 
 def statistics(docs: DataFrame) -> tuple[int, int]:
-    """N, the documents with a term, and L, all their terms."""
-    n = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(TERM)).cast("long")
-    row = docs.select(n.alias("n")).where("n > 0").agg(F.count("*").alias("docs"), F.sum("n").alias("terms")).first()
-    return row.docs, row.terms or 0
+    """N, the documents with a term, and L, all their terms: places where a term begins, counted over all bytes at once."""
+
+    def run(batches):
+        count = total = 0
+        for b in text_batches(batches):
+            data, cuts = text_bytes(b.column("text"))
+            word = ALNUM[data] != 0
+            first = word.copy()
+            first[1:] &= ~word[:-1]
+            first[cuts[:-1][cuts[:-1] < len(data)]] = word[cuts[:-1][cuts[:-1] < len(data)]]
+            n = np.diff(np.searchsorted(np.flatnonzero(first), cuts))
+            count, total = count + int((n > 0).sum()), total + int(n.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64()), pa.array([total], pa.int64())], ["docs", "terms"])
+
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "docs long, terms long")
+    row = counted.agg(F.sum("docs").alias("docs"), F.sum("terms").alias("terms")).first()
+    return row.docs or 0, row.terms or 0
 
 
 def impact(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
