@@ -121,13 +121,17 @@ def fit(described: DataFrame, labels: DataFrame, learn: Column | None = None, fe
             a[:, :d] += z.T @ z
             a[:, d] += z.T @ y
         if a.any():
-            yield pd.DataFrame({"r": np.arange(d), "v": list(a)})
+            from pyspark import TaskContext
+
+            yield pd.DataFrame({"r": np.arange(d), "salt": TaskContext.get().partitionId() // 64, "v": list(a)})
 
     def add(_, b):
-        return pd.DataFrame({"r": b["r"].iloc[:1], "v": [np.sum(np.stack(b["v"].to_numpy()), 0)]})
+        return pd.DataFrame({"r": b["r"].iloc[:1], "salt": b["salt"].iloc[:1], "v": [np.sum(np.stack(b["v"].to_numpy()), 0)]})
 
-    # one partial sum a task; rows of the matrix are added in Spark, so that the driver gets one matrix
-    whole = data.where(~F.col("check")).select("x", "y").mapInPandas(sums, "r int, v array<double>").groupBy("r").applyInPandas(add, "r int, v array<double>").toPandas()
+    # one partial sum a task; rows of the matrix are added in Spark, those of 64 tasks and then their sums, so that the driver gets one matrix
+    form = "r int, salt int, v array<double>"
+    parts = data.where(~F.col("check")).select("x", "y").mapInPandas(sums, form)
+    whole = parts.groupBy("r", "salt").applyInPandas(add, form).groupBy("r").applyInPandas(add, form).toPandas()
     m = np.zeros((d, d + 1))
     if len(whole):
         m[whole["r"].to_numpy()] = np.stack(whole["v"].to_numpy())
