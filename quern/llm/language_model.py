@@ -247,14 +247,16 @@ def _split(k: np.ndarray, c: np.ndarray, part: np.ndarray):
         order = np.argsort(part, kind="stable")
     k, c = k[order], c[order]
     for p, i, j in _runs(part[order]):
-        raw = np.diff(k[i:j], prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() + c[i:j].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-        yield p, j - i, pa.compress(raw, _CODEC, asbytes=True)
+        width = 4 if int(c[i:j].max()) < 1 << 32 else 8  # bytes of a count
+        raw = np.diff(k[i:j], prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() + c[i:j].astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+        yield p, j - i, bytes([width]) + pa.compress(raw, _CODEC, asbytes=True)
 
 
 def _unpacked(n: int, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    x = np.frombuffer(pa.decompress(raw, 12 * n, _CODEC, asbytes=True), np.uint8)
+    width = raw[0]
+    x = np.frombuffer(pa.decompress(memoryview(raw)[1:], (8 + width) * n, _CODEC, asbytes=True), np.uint8)
     k = np.cumsum(np.ascontiguousarray(x[: 8 * n].reshape(8, n).T).view("<u8").reshape(-1), dtype=np.uint64)
-    return k, np.ascontiguousarray(x[8 * n :].reshape(4, n).T).view("<u4").reshape(-1)
+    return k, np.ascontiguousarray(x[8 * n :].reshape(width, n).T).view(f"<u{width}").reshape(-1)
 
 
 def _block_batch(rows: list) -> pa.RecordBatch:
@@ -345,7 +347,7 @@ def _each_packed(blocks: DataFrame, shard_of, work, shards: int) -> dict[int, in
 
     def close(shard, held):
         n = sum(x for x, _ in held)
-        k, c, at = np.empty(n, np.uint64), np.empty(n, np.uint32), 0
+        k, c, at = np.empty(n, np.uint64), np.empty(n, np.uint64 if any(raw[0] == 8 for _, raw in held) else np.uint32), 0
         for x, raw in held:
             k[at : at + x], c[at : at + x] = _unpacked(x, raw)
             at += x

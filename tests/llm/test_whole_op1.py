@@ -38,3 +38,16 @@ def test_ngrams_that_occur_once(spark, tmp_path, monkeypatch, shard):
     for i, t in rows:
         w = seq(t)
         assert got[i] == pytest.approx(sum(math.log10(p(tuple(w[max(0, k - 2) : k + 1]))) for k in range(1, len(w))), abs=1e-3 * len(w))
+
+
+def test_counts_of_any_size():
+    """Counts beyond 32 bits come back from packed blocks as they went in."""
+    import numpy as np
+
+    from quern.llm import language_model
+
+    k, c = np.array([3, 9, 2**63 + 5], np.uint64), np.array([1, 2**32 + 3, 2**41], np.int64)
+    for own in (c, c % 1000 + 1):
+        (part, n, raw), = language_model._split(k, own, np.zeros(3, np.int64))
+        keys, counts = language_model._unpacked(n, raw)
+        assert part == 0 and keys.tolist() == k.tolist() and counts.tolist() == own.tolist()
