@@ -136,6 +136,12 @@ def length_mask(length, width):
     return F.transform(F.sequence(F.lit(1), width), lambda t: t <= length)
 
 
+def with_queries(frames, length, queries: list):
+    """Frames with the query frames (arrays, null ones left out) in front, and their length; what drop_prefix() takes off again."""
+    front = F.filter(F.array(*queries), lambda q: q.isNotNull())
+    return F.concat(front, F.coalesce(frames, F.slice(front, 1, 0))), F.coalesce(length, F.lit(0)) + F.size(front)
+
+
 def drop_prefix(frames, length, n: int = 4):
     """Frames without the first n, and their length."""
     return F.slice(frames, n + 1, F.greatest(F.size(frames) - n, F.lit(0))), F.greatest(length - n, F.lit(0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, Window
@@ -19,7 +21,8 @@ def settled(df: DataFrame) -> DataFrame:
         if not base:
             if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            base = "file://" + tempfile.mkdtemp(prefix="quern-")
+            base = "file://" + (own := tempfile.mkdtemp(prefix="quern-"))
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
         sc.setCheckpointDir(base)
     return df.checkpoint()
 

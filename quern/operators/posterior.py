@@ -7,7 +7,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 
 from .numbering import settled
 
@@ -112,6 +112,28 @@ def compare(a: DataFrame, b: DataFrame, key: str, frame: str, vector: str, blank
     return out.withColumns({"len_a": len_a, "len_b": len_b}).select(key, *METRICS)
 
 
+def listed_keys(groups: dict[str, DataFrame], key: str, of: str = "ctc") -> DataFrame:
+    """The keys of the group `of`, one row each, in order; one that another group lacks is an error."""
+    out = groups[of].select(key).distinct()
+    for name in groups:
+        if name != of:
+            there = groups[name].select(F.col(key).alias("_key")).distinct()
+            found = out.join(there, F.col(key) == F.col("_key"), "left")
+            out = found.select(F.coalesce("_key", F.raise_error(F.concat(F.lit(f"{name} has no "), F.col(key).cast("string"))).cast(dict(out.dtypes)[key])).alias(key))
+    return out.orderBy(key)
+
+
+def cached_groups(spark: SparkSession, folder: str, names: tuple[str, ...] = ("ctc", "clean", "noise")) -> dict[str, DataFrame]:
+    """The groups of a posterior cache: Parquet in a folder `group=name` each, with key, frame and p."""
+    every = spark.read.parquet(folder)
+    return {n: every.where(F.col("group") == n).drop("group") for n in names}
+
+
+def write_groups(groups: dict[str, DataFrame], folder: str) -> None:
+    for name, rows in groups.items():
+        rows.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/group={name}")
+
+
 def comparison(groups: dict[str, DataFrame], key: str, frame: str, vector: str, blank: int = 0) -> DataFrame:
     """The row of 35 columns for each key that all of ctc, clean and noise have: key, METRICS of three pairs, and delta."""
     out = None

@@ -189,6 +189,12 @@ def spoken_frames(s, d):
     return probabilities(s, d).withColumn("u", F.col("vec_id") % 20).withColumn("n", F.col("u") * 3)
 
 
+def framed(s, d):
+    """20 utterances as arrays of frames of two numbers."""
+    e = t(s, d, "embeddings").select((F.col("vec_id") % 20).alias("u"), F.struct("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 2).alias("v")).alias("x"))
+    return e.groupBy("u").agg(F.sort_array(F.collect_list("x")).alias("x")).select("u", F.transform("x", lambda x: x.v).alias("frames"))
+
+
 def interleaved(s, d, left: bool):
     """Turns of a conversation as padded sequences of word lengths, in which words of three letters stand for some slots."""
     rows = t(s, d, "conversations").select("conv_id", "turn", lengths(F.col("text")).alias("ids"))
@@ -402,6 +408,19 @@ CATALOGUE = {
         lambda s, d: scoring.by_clusters(pairs(s, d), t(s, d, "nation").select(F.concat(F.lit("region "), "n_regionkey").alias("cluster"), F.upper("n_name").alias("word")).unionByName(t(s, d, "documents").select(F.lit("languages").alias("cluster"), F.explode(F.array(F.lit("THE"), F.lit("A"), F.lit("IS"))).alias("word")).distinct())),
         _aligned(_PAIRS) + f"SELECT cluster, {_SUMS} FROM tk JOIN (SELECT 'region ' || n_regionkey AS cluster, upper(n_name) AS token FROM nation UNION ALL SELECT 'languages', unnest(['THE', 'A', 'IS'])) USING (token) GROUP BY cluster",
     ),
+    "gt_decode": (
+        lambda s, d: t(s, d, "documents").select("doc_id", M.spoken(F.replace("text", F.lit("\\"), F.lit("/"))).alias("text")),
+        "SELECT doc_id, array_to_string(list_transform(regexp_extract_all(hex(encode(replace(coalesce(text, ''), '\\', '/'))), '..'), lambda x: chr(CAST('0x' || x AS INTEGER))), '') AS text FROM documents",
+    ),
+    "query_frames": (
+        lambda s, d: framed(s, d).select("u", *[c.alias(n) for c, n in zip(batching.with_queries(F.col("frames"), F.size("frames"), [F.array(F.lit(1.0), F.col("u") * 0.5), F.when(F.col("u") % 2 == 0, F.array(F.lit(0.0), F.lit(2.0)))]), ("frames", "n"), strict=True)]).select("u", "n", F.posexplode("frames").alias("place", "v")).select("u", "n", "place", listed(F.col("v")).alias("v")),
+        """WITH f AS (SELECT vec_id % 20 AS u, list([embedding[1]::DOUBLE, embedding[2]::DOUBLE] ORDER BY vec_id) AS f FROM embeddings GROUP BY 1), q AS (SELECT u, [[1.0::DOUBLE, u * 0.5::DOUBLE]] || CASE WHEN u % 2 = 0 THEN [[0.0::DOUBLE, 2.0::DOUBLE]] ELSE [] END || f AS x FROM f)
+        SELECT u, len(x)::INTEGER AS n, unnest(range(0, len(x)))::INTEGER AS place, array_to_string(list_transform(unnest(x), lambda y: round(y * 1000000)::BIGINT), ' ') AS v FROM q""",
+    ),
+    "posterior_keys": (
+        lambda s, d: posterior.listed_keys({"ctc": labelled(s, d, 0), "clean": labelled(s, d, 1), "noise": labelled(s, d, 2)}, "key"),
+        "SELECT DISTINCT label AS key FROM embeddings",
+    ),
     "next_token_accuracy": (
         lambda s, d: metrics.next_token_accuracy(sequences(s, d), "ids", "labels").select(F.round("accuracy", 6).alias("accuracy")),
         f"SELECT round(avg((x = y)::INT), 6) AS accuracy FROM (SELECT unnest(i[1:len(i) - 1]) AS x, unnest(i[2:]) AS y FROM (SELECT [len(lang)] || {_LENGTHS} || [2] AS i FROM documents))",
