@@ -1,7 +1,7 @@
 """Toxicity: averaged subword-bag embeddings into a linear softmax, trained jointly.
 
 A word's vector is the mean of the vectors of itself and of its character n-grams (hashed to buckets), a text's vector
-is the mean over its words, and a linear softmax turns it into class probabilities.  Embeddings and softmax are trained
+is the mean over its distinct words, and a linear softmax turns it into class probabilities.  Embeddings and softmax are trained
 together in numpy on a bounded, documented sample of labelled rows, so misspellings that were never seen share the
 vectors of their n-grams.  As everything before the softmax is linear, a trained model is one number for each word: a
 task computes it once for each distinct word, and a text costs a lookup a word.
@@ -28,7 +28,7 @@ SIZES = (3, 4, 5)
 #: A text's mean vector is multiplied by this before the softmax: a few words among hundreds have to tip it.
 GAIN = 1000.0
 #: A text counts as having so many more words, of no meaning: a word or two do not decide on a short text.  This and GAIN
-#: were chosen by three folds within the learning rows of the small tables, never by held-out labels.
+#: were chosen by three folds within the learning rows of the small tables, never by held-out labels, as were the weights in crossed().
 PADDING = 300
 #: Adagrad starts as if it had seen so many mean squared gradients.
 STIFF = 20.0
@@ -99,6 +99,7 @@ def train(texts: Texts, rows: np.ndarray, labels: np.ndarray, weights: np.ndarra
     b[1] = np.log(max(weights[rows][labels[rows] == 1].sum(), 1e-3) / max(weights[rows][labels[rows] == 0].sum(), 1e-3))
     se = sw = sb = None
     full = [i for i in rows.tolist() if len(docs[i])]
+    seen, place = np.zeros(len(g_len), bool), np.zeros(len(g_len), np.int64)
     order = np.concatenate([rng.permutation(full) for _ in range(-(-updates * BATCH // len(full)))]) if full else np.zeros(0, np.int64)
     for start in range(0, min(len(order), updates * BATCH), BATCH):
         pick = order[start : start + BATCH]
@@ -106,7 +107,10 @@ def train(texts: Texts, rows: np.ndarray, labels: np.ndarray, weights: np.ndarra
         words = np.concatenate([docs[i] for i in pick])
         share = np.concatenate([np.full(len(docs[i]), 1 / (len(docs[i]) + PADDING)) for i in pick])
         row = np.repeat(np.arange(len(pick)), n)
-        uniq, back = np.unique(words, return_inverse=True)
+        seen[words] = True
+        uniq = np.flatnonzero(seen)
+        seen[uniq], place[uniq] = False, np.arange(len(uniq))
+        back = place[words]
         length = g_len[uniq]
         own = flat[np.repeat(g_at[uniq + 1] - np.cumsum(length), length) + np.arange(int(length.sum()))]
         ends = spans(length)[:-1]
@@ -121,8 +125,8 @@ def train(texts: Texts, rows: np.ndarray, labels: np.ndarray, weights: np.ndarra
         per = dh[row] * share[:, None]
         dv = np.stack([np.bincount(back, per[:, k], len(uniq)) for k in range(dim)], 1) / length[:, None]
         spread = np.repeat(dv, length, 0)
-        hit, where = np.unique(own, return_inverse=True)
-        de = np.stack([np.bincount(where, spread[:, k], len(hit)) for k in range(dim)], 1)
+        hit = np.flatnonzero(np.bincount(own, minlength=buckets))
+        de = np.stack([np.bincount(own, spread[:, k], buckets)[hit] for k in range(dim)], 1)
         if se is None:  # the start holds back what occurs in a few texts only
             se, sw, sb = np.full(e.shape, STIFF * (de**2).mean()), STIFF * (dw**2).mean() + 0 * w, STIFF * (db**2).mean() + 0 * b
         se[hit] += de**2
