@@ -36,12 +36,18 @@ def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("ngram_jaccard_join", drop_near_copies), ("decontamination", drop_leaks), ("best_fit_packing", pack_documents)]
 
-#: SQL can express neither the trained classifier nor the packing; tests hold the stages against brute force.
+#: SQL can express neither the trained classifier nor the packing; tests hold each stage, on its own input, against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result is written as Parquet in the shared scratch folder and read again."""
+    """Applies the stages to documents; each result is written as Parquet in the shared scratch folder and read again.
+
+    Null and empty texts pass all stages and are packed as their end token.  Rows that repeat id and text are one document
+    from the third stage on; null ids are ids like any other.  Other columns, whatever their names, go along up to the
+    packing, which returns doc_id, piece, n_tokens, shard, bin, bin_size and bin_offset.  Without labels no document
+    counts as toxic, without a benchmark none as leaked, and empty documents give no rows.
+    """
     at, docs = scratch(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = keep(stage(spark, docs, sf_dir), f"{at}/{k}-{name}")
