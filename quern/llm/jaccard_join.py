@@ -1,12 +1,13 @@
 """N-gram Jaccard join by chosen paths.
 
 Texts become sets of hashed word n-grams; texts with equal sets are one from then on.  A sketch of each set (one
-minimum for each of 128 ranges of a hash) is split recursively: in each run every element of the sketch is chosen with
-a probability of 1 / (density * elements), by a hash that all sets share, and sets that chose the same element meet in a
-bucket.  Buckets with few sets are compared by brute force on signatures (four bits of each element of the sketch);
-larger ones are split again by further elements, along the path.  What is still large after DEPTH elements mostly holds
-copies: its sets meet those that lead a group, not each other.  Runs repeat until pairs at the threshold are found with
-the target recall.
+minimum for each of 128 ranges of a hash) is split: in each run every element of the sketch is chosen with a
+probability of 1 / (density * elements), by a hash that all sets share, and sets that chose the same element meet in a
+bucket.  Buckets with few sets are compared by brute force on signatures (four bits of each element of the sketch).  Sets
+of larger ones are split again, but not by chance: each goes under so many of its rarest elements that no two which are
+alike miss each other.  What is still large there mostly holds copies; it is compared whole, in pairs of blocks.  So a
+bucket's size decides how its sets are compared, and loses no link.  Runs repeat until pairs at the threshold are found
+with the target recall.
 
 What the buckets give are candidates at a looser threshold, as spanning edges, so a group of copies costs its size and
 not its square.  Their connected components are then compared exactly, all pairs of whole sets, in blocks of a bounded
@@ -30,13 +31,15 @@ from .shared import bloom, distinct, drop, fresh, keep, may_hold, mix, release,
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.995
 #: Ranges of the sketch; choices: 1 / DENSITY elements a step on average; levels of splitting; sets in a bucket for brute force.
-RANGES, DENSITY, DEPTH, BUCKET = 128, 0.5, 3, 400
-#: Buckets of up to SMALL sets are compared side by side; sets of a bucket at the last level that are held at a time.
+RANGES, DENSITY, DEPTH, BUCKET = 128, 0.5, 2, 400
+#: Buckets of up to SMALL sets are compared side by side; sets in a block of a bucket that is large at the last level.
 SMALL, LEAD = 32, 20_000
 #: N-grams in a block of the exact comparison.
 BLOCK = 500_000
 #: Signatures estimate to about 0.035; candidates are what comes within 3.5 of that.
 LOOSE = 0.68
+#: Share of the sketch (16 bits an element, so without chance hits) that sets of large buckets agree in; a pair at the threshold falls short of it by 5 deviations.
+SURE = 0.62
 #: Sets of which a task remembers that it sent them.
 MEMO = 100_000
 
@@ -129,8 +132,8 @@ def paths(sk: np.ndarray, base: np.ndarray, density: float = DENSITY) -> tuple[n
     return r, mix(v[r, c], 4)
 
 
-def _choose(count: int | None):
-    """Rows (bucket, s, signature) of the elements that sets choose: in `count` runs, or along the path `bucket` that a row has."""
+def _choose(count: int):
+    """Rows (bucket, s, signature) of the elements that sets choose in `count` runs."""
 
     def run(batches):
         for b in batches:
@@ -138,8 +141,7 @@ def _choose(count: int | None):
                 part = b.slice(i, 2048)
                 sk, s = _binary(part.column("sketch"), "<u2", RANGES), part.column("s").to_numpy(zero_copy_only=False)
                 sig = signatures(sk)
-                bases = [np.full(len(sk), x) for x in mix(np.arange(count, dtype=np.uint64), 5)] if count else [part.column("bucket").to_numpy(zero_copy_only=False).view(np.uint64)]
-                for base in bases:
+                for base in (np.full(len(sk), x) for x in mix(np.arange(count, dtype=np.uint64), 5)):
                     row, path = paths(sk, base)
                     yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(s[row]), pa.array([x.tobytes() for x in sig[row]], pa.binary())], ["bucket", "s", "sig"])
 
@@ -167,14 +169,12 @@ def stars(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """The least row of each row's component in the graph of pairs (u, v)."""
     least = np.arange(n)
     while len(u):
-        low = np.minimum(least[u], least[v])
-        before = least.copy()
-        np.minimum.at(least, u, low)
-        np.minimum.at(least, v, low)
+        a, b = least[u], least[v]
+        low = np.minimum(a, b)
+        np.minimum.at(least, a, low)  # at the least rows of both, so that all their rows come along
+        np.minimum.at(least, b, low)
         while (least[least] != least).any():
             least = least[least]
-        if (least == before).all():
-            break
         differ = least[u] != least[v]
         u, v = u[differ], v[differ]
     return least
@@ -231,33 +231,31 @@ def led(sig: np.ndarray) -> np.ndarray:
     return least
 
 
-def _compare(last: bool):
-    """From rows sorted by bucket: edges (x, y) of sets alike, or, with `again`, the path x that the set y has to choose further along."""
+def _compare(limit: int):
+    """From rows sorted by bucket: edges (x, y) of sets alike; rows of a bucket of more than `limit` go on, `again`, as x (the bucket), y (the set) and sig."""
 
     def run(batches):
         held: list = []
-        rows, large, leaders = 0, None, None
+        rows, large = 0, None
 
-        def batch(x, y, again):
-            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(np.full(len(x), again))], ["x", "y", "again"])
+        def again(bucket, s, sig):
+            return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(s), pa.array(np.ones(len(s), bool)), pa.array([x.tobytes() for x in sig], pa.binary())], ["x", "y", "again", "sig"])
 
         def edges(s, least):
             at = np.flatnonzero(least != np.arange(len(least)))
-            return batch(s[at], s[least[at]], False)
+            return pa.RecordBatch.from_arrays([pa.array(s[at]), pa.array(s[least[at]]), pa.array(np.zeros(len(at), bool)), pa.nulls(len(at), pa.binary())], ["x", "y", "again", "sig"])
+
+        def closed(bucket, s, sig):
+            if len(bucket):
+                edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+                count = np.diff(edge)
+                big = np.repeat(count > limit, count)
+                yield edges(s[~big], beside(bucket[~big], sig[~big]))
+                yield again(bucket[big], s[big], sig[big])
 
         def joined():
             return [np.concatenate(x) for x in zip(*held, strict=True)]
 
-        def lead(s, sig):
-            """Compares sets of a large bucket with each other and with those that led the ones before."""
-            nonlocal leaders
-            if leaders is not None:
-                s, sig = np.concatenate([leaders[0], s]), np.concatenate([leaders[1], sig])
-            least = led(sig)
-            first = np.flatnonzero(least == np.arange(len(least)))
-            leaders = s[first], sig[first]
-            return edges(s, least)
-
         for b in batches:
             if not b.num_rows:
                 continue
@@ -265,14 +263,10 @@ def _compare(last: bool):
             sig = _binary(b.column("sig"), np.uint64, 8)
             if large is not None:  # the bucket that is known to be large goes on
                 n = int(np.searchsorted(bucket, large, "right")) if bucket[0] == large else 0
-                if not last:
-                    yield batch(bucket[:n], s[:n], True)
-                else:
-                    for i in range(0, n, LEAD):
-                        yield lead(s[i : min(n, i + LEAD)], sig[i : min(n, i + LEAD)])
+                yield again(bucket[:n], s[:n], sig[:n])
                 if n == len(bucket):
                     continue
-                large = leaders = None
+                large = None
                 bucket, s, sig = bucket[n:], s[n:], sig[n:]
             held.append((bucket, s, sig))
             rows += len(bucket)
@@ -281,39 +275,114 @@ def _compare(last: bool):
             every, s, sig = joined()
             at = int(np.searchsorted(every, every[-1]))
             tail = every[at:], s[at:], sig[at:]
-            yield from _closed(every[:at], s[:at], sig[:at], last, edges, batch, led)
+            yield from closed(every[:at], s[:at], sig[:at])
             held, rows = [tail], len(tail[0])
-            if rows > BUCKET:
+            if rows > limit:
                 large = tail[0][0]
-                if last:
-                    if rows >= LEAD:
-                        yield lead(*tail[1:])
-                        held, rows = [], 0
-                    else:
-                        large = None
-                else:
-                    yield batch(tail[0], tail[1], True)
-                    held, rows = [], 0
+                yield again(*tail)
+                held, rows = [], 0
         if held:
-            yield from _closed(*joined(), last, edges, batch, led)
+            yield from closed(*joined())
 
     return run
 
 
-def _closed(bucket, s, sig, last, edges, batch, led):
-    """Edges of whole buckets, or the rows of large ones that go on along the path."""
-    if not len(bucket):
-        return
-    edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-    count = np.diff(edge)
-    big = np.repeat(count > BUCKET, count)
-    yield edges(s[~big], beside(bucket[~big], sig[~big]))
-    if last:
-        for k in np.flatnonzero(count > BUCKET).tolist():
-            i, j = int(edge[k]), int(edge[k + 1])
-            yield edges(s[i:j], led(sig[i:j]))
-    else:
-        yield batch(bucket[big], s[big], True)
+def _elements(batches):
+    """Elements (range and value) of the sets of a batch, and how many have them."""
+    for b in batches:
+        sk = _binary(b.column("sketch"), "<u2", RANGES)
+        e, n = np.unique(_tokens(sk)[sk > 0], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(n.astype(np.int64))], ["e", "n"])
+
+
+def _tokens(sk: np.ndarray) -> np.ndarray:
+    return (np.arange(RANGES, dtype=np.int64) << 16)[None, :] | sk.astype(np.int64)
+
+
+def rarest(sk: np.ndarray, often: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and elements: of each row as many, the rarest first, that two rows that agree in SURE of the ranges that either has share one.
+
+    often: elements, in order, that many rows have, and how many (counts); others come before them.  Two rows that agree
+    so have SURE of their own elements in common, and of these the first in an order of all elements is among those that
+    each of them gives.
+    """
+    token = _tokens(sk)
+    many = np.zeros(token.shape, np.int64)
+    if len(often):
+        at = np.minimum(np.searchsorted(often, token), len(often) - 1)
+        many = np.where(often[at] == token, counts[at], 0)
+    order = np.lexsort((mix(token.view(np.uint64), 6), many, sk == 0), axis=1)
+    k = (sk > 0).sum(1)
+    r, c = np.nonzero(np.arange(RANGES)[None, :] < (k - np.ceil(SURE * k - 1e-9).astype(np.int64) + (k > 0))[:, None])
+    return r, token[r, order[r, c]]
+
+
+def _split(sent):
+    """Rows (bucket, s, sig) of the rarest elements of sets."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 512):
+                part = b.slice(i, 512)
+                sk, s = _binary(part.column("sketch"), "<u2", RANGES), part.column("s").to_numpy(zero_copy_only=False)
+                sig = signatures(sk)
+                row, token = rarest(sk, *sent.value)
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(s[row]), pa.array([x.tobytes() for x in sig[row]], pa.binary())], ["bucket", "s", "sig"])
+
+    return run
+
+
+def _across(batches):
+    """From rows sorted by bucket, i and j: edges (x, y) of sets alike in two blocks of a bucket."""
+    held, name = [], None
+
+    def edges():
+        s, sig = (np.concatenate(x) for x in zip(*held, strict=True))
+        least = led(sig)
+        at = np.flatnonzero(least != np.arange(len(least)))
+        return pa.RecordBatch.from_arrays([pa.array(s[at]), pa.array(s[least[at]])], ["x", "y"])
+
+    for b in batches:
+        names = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "i", "j")], 1)
+        s, sig = b.column("s").to_numpy(zero_copy_only=False), _binary(b.column("sig"), np.uint64, 8)
+        edge = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1).tolist(), len(names)]
+        for a, e in zip(edge[:-1], edge[1:], strict=True):
+            if a == e:
+                continue
+            if held and tuple(names[a]) != name:
+                yield edges()
+                held = []
+            name = tuple(names[a])
+            held.append((s[a:e], sig[a:e]))
+    if held:
+        yield edges()
+
+
+def _met(rows: DataFrame, sets: DataFrame, at: str) -> DataFrame:
+    """Edges (a, b) that span what is alike among the sets of a bucket, for rows (bucket, s, sig); a bucket's size changes none of its components.
+
+    Sets of large buckets meet again under their rarest elements, where any two that are alike do, and what is large
+    there as well is compared in pairs of blocks.
+    """
+    spark, edges = rows.sparkSession, None
+    for depth in range(1, DEPTH + 1):
+        met = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_compare(BUCKET), "x long, y long, again boolean, sig binary")
+        met = keep(met, f"{at}/met-{depth}")
+        found = met.where("not again").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        edges = found if edges is None else edges.unionByName(found)
+        large = met.where("again").select(F.col("x").alias("bucket"), F.col("y").alias("s"), "sig")
+        if large.isEmpty():
+            return edges
+        if depth < DEPTH:
+            own = keep(large.select("s").distinct().join(sets, "s"), f"{at}/large")
+            often = own.mapInArrow(_elements, "e long, n long").groupBy("e").agg(F.sum("n").alias("n")).where(F.col("n") > BUCKET).orderBy("e").collect()  # of RANGES * 65,535 at most
+            rows = own.mapInArrow(_split(spark.sparkContext.broadcast((np.array([r.e for r in often], np.int64), np.array([r.n for r in often], np.int64)))), "bucket long, s long, sig binary")
+    blocks = large.groupBy("bucket").agg(F.ceil(F.count("*") / LEAD).cast("int").alias("nb"))
+    dealt = large.join(blocks, "bucket").withColumn("b", F.pmod(F.xxhash64("s"), "nb").cast("long")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+    dealt = dealt.select("bucket", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "s", "sig")
+    across = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_across, "x long, y long")
+    across = keep(across, f"{at}/across")
+    return edges.unionByName(across.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
 def _items(docs: DataFrame, wanted, size: int) -> DataFrame:
@@ -416,16 +485,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, rec
     spark, at = docs.sparkSession, scratch(docs.sparkSession)
     described = keep(describe(docs, size), f"{at}/described")
     sets = keep(described.where("s is not null").select("s", "sketch").dropDuplicates(["s"]), f"{at}/sets")
-    form, rows, edges = "bucket long, s long, sig binary", sets.mapInArrow(_choose(runs(threshold, recall)), "bucket long, s long, sig binary"), None
-    for depth in range(1, DEPTH + 1):
-        met = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_compare(depth == DEPTH), "x long, y long, again boolean")
-        met = keep(met, f"{at}/met-{depth}")
-        found = met.where("not again").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        edges = found if edges is None else edges.unionByName(found)
-        large = met.where("again").select(F.col("x").alias("bucket"), F.col("y").alias("s"))
-        if depth == DEPTH or large.isEmpty():
-            break
-        rows = large.join(sets, "s").select("bucket", "s", "sketch").mapInArrow(_choose(None), form)
+    edges = _met(sets.mapInArrow(_choose(runs(threshold, recall)), "bucket long, s long, sig binary"), sets, at)
     loose = keep(components(edges, f"{at}/loose"), f"{at}/loose-roots").withColumnRenamed("node", "s")
     release(spark)
     own = _items(docs, spark.sparkContext.broadcast(bloom(loose, "s", loose.count())), size)
@@ -453,7 +513,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, rec
         "n_shingles",
     )
     out = keep(out, f"{at}/classes")
-    drop(spark, *(f"{at}/{x}" for x in ("described", "sets", *(f"met-{d}" for d in range(1, DEPTH + 1)), "loose", "loose-roots", "items", "checked", "exact")))
+    drop(spark, *(f"{at}/{x}" for x in ("described", "sets", *(f"met-{d}" for d in range(1, DEPTH + 1)), "large", "across", "loose", "loose-roots", "items", "checked", "exact")))
     release(spark)
     return out
 

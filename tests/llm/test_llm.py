@@ -345,3 +345,34 @@ def test_urls(spark):
 def test_held_out(spark):
     r = spark.range(20).select(F.col("id").alias("doc_id"), shared.held_out(7, 2).alias("h")).collect()
     assert [x.h for x in r] == [zlib.crc32(str(x.doc_id).encode()) % 7 == 2 for x in r]
+
+
+@pytest.mark.parametrize("limits", [{}, {"BUCKET": 1}, {"BUCKET": 1, "DEPTH": 1, "LEAD": 2}, {"BUCKET": 2, "DEPTH": 1, "LEAD": 7}])
+def test_links_whatever_the_buckets_size(spark, limits, monkeypatch):
+    for name, value in limits.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    docs = [(i, " ".join(f"w{k}" for k in range(30 * (i % 2) + 900 * (i // 120) + 12 * (i % 120), 200 + 900 * (i // 120) + 12 * (i % 120)))) for i in range(240)]
+    docs += [(1000 + i, " ".join(["x"] * 5 + [f"y{k % 97 if k % 40 else i}" for k in range(120)])) for i in range(60)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in docs)]
+    near = [[j for j, b in enumerate(sets) if 10 * len(a & b) >= 8 * len(a | b)] for a in sets]
+    least = list(range(len(docs)))
+    for _ in docs:
+        least = [min(least[j] for j in x) for x in near]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = {d: (docs[least[i]][0], sum(sets[j] != sets[i] for j in near[i])) for i, (d, _) in enumerate(docs)}
+    assert got == want
+    assert len(set(least)) < 150 and sum(len(x) > 2 for x in near) > 90
+
+
+def test_rarest_elements_are_shared():
+    rng = np.random.default_rng(8)
+    for width in (1, 3, 20, 128):
+        sk = np.zeros((60, jaccard_join.RANGES), np.uint16)
+        sk[:, :width] = np.where(rng.random((60, width)) < 0.4, rng.integers(0, 9, (60, width)), np.arange(width) % 5 + 1)
+        often, counts = np.unique(rng.integers(0, 128, 200) << 16 | rng.integers(1, 9, 200)), np.arange(200)
+        row, token = jaccard_join.rarest(sk, often, counts[: len(often)])
+        own = [set(token[row == i].tolist()) for i in range(60)]
+        for i in range(60):
+            for j in range(i):
+                either, same = ((sk[i] > 0) | (sk[j] > 0)).sum(), ((sk[i] == sk[j]) & (sk[i] > 0)).sum()
+                assert own[i] & own[j] or same < jaccard_join.SURE * either or not same
