@@ -376,3 +376,15 @@ def test_rarest_elements_are_shared():
             for j in range(i):
                 either, same = ((sk[i] > 0) | (sk[j] > 0)).sum(), ((sk[i] == sk[j]) & (sk[i] > 0)).sum()
                 assert own[i] & own[j] or same < jaccard_join.SURE * either or not same
+
+
+def test_components_of_pairs():
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 30, 200):
+        for _ in range(20):
+            u, v = rng.integers(0, n, (2, int(n * 0.7)))
+            want = list(range(n))
+            for _ in range(n):
+                for a, b in zip(u.tolist(), v.tolist(), strict=True):
+                    want[a] = want[b] = min(want[a], want[b])
+            assert jaccard_join.stars(n, u, v).tolist() == want
