@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import cluster_of, columns
-from .align import align_counts, align_steps, edit_distance
+from .align import PAIRS, align_counts, counted, counts_of, edit_distance, pairs_of, steps, tallied
 
 
 def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -40,11 +41,8 @@ def overall(both: DataFrame) -> DataFrame:
 
 def token_counts(both: DataFrame) -> DataFrame:
     """Counts by token: substitutions and deletions go to the reference's token, insertions to the hypothesis's."""
-    each = both.select(F.explode(align_steps("ref", "hyp")).alias("e")).select("e.*")
-    token = F.when(F.col("ref") == "", F.col("hyp")).otherwise(F.col("ref"))
-    kind = {"c": F.col("ref") == F.col("hyp"), "d": F.col("hyp") == "", "i": F.col("ref") == ""}
-    kind["s"] = ~(kind["c"] | kind["d"] | kind["i"])
-    return each.groupBy(token.alias("token")).agg(F.count(F.when(F.col("ref") != "", 1)).alias("n"), *[F.count(F.when(kind[k], 1)).alias(k) for k in "csdi"])
+    each = both.select("ref", "hyp").mapInArrow(tallied, "token string, n long, c long, s long, d long, i long")
+    return each.groupBy("token").agg(*[F.sum(x).alias(x) for x in "ncsdi"])
 
 
 def by_cluster(both: DataFrame) -> DataFrame:
@@ -103,17 +101,22 @@ def report(both: DataFrame, aligned: bool = False, words: int | None = None, pad
     rated = lambda d: d.withColumn("wer", rate(F.col("s") + F.col("d") + F.col("i"), F.col("n")))
     row = lambda part, key, lines: (F.lit(part).alias("part"), key.alias("id"), lines.alias("lines"))
     one = lambda part, key, line: row(part, key, F.array(line))
-    counted = per_pair(both)
     if aligned:
 
-        @F.pandas_udf("array<string>")
-        def laid_out(steps: pd.Series) -> pd.Series:
-            return pd.Series([wrapped([(e["ref"], e["hyp"]) for e in x], words, padding) for x in steps])
-
-        counted = rated(both.select("id", align_counts("ref", "hyp").alias("a"), laid_out(align_steps("ref", "hyp")).alias("shown")).select("id", "a.*", "shown"))
-        pair = counted.select(*row(0, F.col("id"), F.concat(F.array(F.lit(""), F.concat(F.lit("utt: "), "id"), _counted(PAIR)), "shown")))
+        @F.arrow_udf(", ".join(f"{x} int" for x in "ncsdi") + ", shown array<string>")
+        def laid_out(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+            rows, lines = [], []
+            for i in range(0, len(ref), PAIRS):
+                each = [steps(r, h) for r, h in pairs_of(ref.slice(i, PAIRS), hyp.slice(i, PAIRS))]
+                rows += [counts_of(x) for x in each]
+                lines.append(pa.array([wrapped(x, words, padding) for x in each], pa.list_(pa.string())))
+            lines = pa.concat_arrays(lines) if lines else pa.array([], pa.list_(pa.string()))
+            return pa.StructArray.from_arrays([*counted(rows), lines], [*"ncsdi", "shown"])
+
+        counts = rated(both.select("id", laid_out("ref", "hyp").alias("a")).select("id", "a.*"))
+        pair = counts.select(*row(0, F.col("id"), F.concat(F.array(F.lit(""), F.concat(F.lit("utt: "), "id"), _counted(PAIR)), "shown")))
     else:
-        pair = counted.select(*one(0, F.col("id"), _counted(PAIR)))
+        pair = per_pair(both).select(*one(0, F.col("id"), _counted(PAIR)))
     parts = [pair, overall(both).select(*one(2, F.lit(""), _counted(WHOLE)))]
     parts.append(rated(by_cluster(both).where("cluster is not null")).select(*one(3, F.col("cluster"), _counted(KIND, "cluster"))))
     if clusters is not None:
