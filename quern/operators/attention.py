@@ -89,20 +89,24 @@ class Running:
     def add(self, keys: np.ndarray) -> None:
         for h in range(self.heads):
             s = slice(h * self.d, (h + 1) * self.d)
-            scores = self.q[:, s] @ keys[:, s].T * self.d**-0.5
-            most = np.maximum(self.most[h], scores.max(1))
+            own = np.ascontiguousarray(keys[:, s])
+            w = self.q[:, s] * self.d**-0.5 @ own.T
+            most = np.maximum(self.most[h], w.max(1))
             scale = np.exp(self.most[h] - most)
-            w = np.exp(scores - most[:, None])
+            w -= most[:, None]
+            np.exp(w, out=w)
             self.total[h] = self.total[h] * scale + w.sum(1)
-            self.sum[:, s] = self.sum[:, s] * scale[:, None] + w @ keys[:, s]
+            self.sum[:, s] = self.sum[:, s] * scale[:, None] + w @ own
             self.most[h] = most
 
     def value(self) -> np.ndarray:
         return self.sum / np.repeat(self.total.T, self.d, axis=1)
 
 
-#: Frames that a task holds at a time, pairs of a frame and an entry that are scored at a time, and bytes of a block.
-FRAMES, PAIRS, BLOCK = 2048, 1 << 22, 256 << 20
+#: Frames that a task holds at a time, pairs of a frame and an entry that are scored at a time (few enough for a core's cache), and bytes of a block.
+FRAMES, PAIRS, BLOCK = 256, 1 << 17, 256 << 20
+#: Tasks for each core: frames are few bytes and much work, so they are dealt to tasks anew, however few files they come from.
+TASKS = 4
 
 
 def cross_attention(df: DataFrame, key: list[str], vector: str, table: DataFrame, entry: str, heads: int = 1, block: int | None = None) -> DataFrame:
@@ -121,7 +125,7 @@ def cross_attention(df: DataFrame, key: list[str], vector: str, table: DataFrame
     names = [r.block for r in blocks.select("block").orderBy("block").collect()]  # a number for each block
     kinds = dict(df.dtypes)
     form = ", ".join(f"`{k}` {kinds[k]}" for k in key)
-    state = df.select(*key, F.col(vector).cast("array<double>").alias("q"), F.lit(None).cast("binary").alias("held"))
+    state = df.select(*key, F.col(vector).cast("array<double>").alias("q"), F.lit(None).cast("binary").alias("held")).repartition(TASKS * spark.sparkContext.defaultParallelism)
     form_state = form + ", q array<double>, held binary"
     for name in names:
         matrix = blocks.where(F.col("block") == name).first()["matrix"]  # of `block` vectors

@@ -216,3 +216,11 @@ def test_beam_ties_and_column(spark):
     df = spark.createDataFrame([(1, even), (2, None), (3, [])], "i int, f array<array<double>>")
     out = {r.i: r.b for r in df.select("i", beam.beam_search("f", 9, 0, 2).alias("b")).collect()}
     assert [x.ids for x in out[1]] == [[1], [2]] and out[2] is None and [(x.ids, x.score) for x in out[3]] == [([], 0.0)]
+
+
+def test_cross_attention_is_dealt_to_all_cores(spark):
+    frames = spark.createDataFrame([(i, [float(i % 5), 1.0]) for i in range(2000)], "i int, v array<double>").coalesce(1)
+    out = attention.cross_attention(frames, ["i"], "v", frames, "v").select("i", F.spark_partition_id().alias("task"))
+    tasks = out.groupBy("task").count().collect()
+    assert sum(r["count"] for r in tasks) == 2000 and len(tasks) >= spark.sparkContext.defaultParallelism
+    assert max(r["count"] for r in tasks) <= 1000
