@@ -170,9 +170,10 @@ def interleave(df: DataFrame, batch: list[str], ids: str, mask: str, labels: str
 
 def expanded_labels(df: DataFrame, key: str, token: str, label: str, placeholder: Column, pad: int, ignore: int = -100) -> DataFrame:
     """key, ids and labels of the new sequence, from rows with start and length of expand(): slots have the pad's id and are ignored."""
-    long = df.select(key, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("_at"), F.when(placeholder, pad).otherwise(F.col(token)).alias("_t"), F.when(placeholder, ignore).otherwise(F.col(label)).alias("_l"))
-    listed = long.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_at", "_t", "_l"))).alias("_x"))
-    return listed.select(key, F.transform("_x", lambda x: x["_t"]).alias("ids"), F.transform("_x", lambda x: x["_l"]).alias("labels"))
+    own = df.where("length is not null").select(key, "start", F.col("length").cast("int").alias("_n"), F.when(placeholder, pad).otherwise(F.col(token)).alias("_t"), F.when(placeholder, ignore).otherwise(F.col(label)).alias("_l"))
+    listed = own.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "_n", "_t", "_l"))).alias("_x"))  # a row a token, not one a slot
+    spread = lambda name: F.flatten(F.transform("_x", lambda x: F.array_repeat(x[name], x["_n"])))
+    return listed.select(key, spread("_t").alias("ids"), spread("_l").alias("labels"))
 
 
 def merge_frames(df: DataFrame, key: str, frame: str, vector: str, blank: int = 0, threshold: float = 0.9, length: str | None = None) -> DataFrame:

@@ -208,3 +208,20 @@ def test_queries_in_front(spark):
     assert got == {1: ([[9.0], [8.0], [1.0]], 3), 2: ([[9.0], [8.0]], 2)}
     back = batching.drop_prefix(frames, length, 2)
     assert {r.k: (r.f, r.n) for r in df.select("k", back[0].alias("f"), back[1].alias("n")).collect()} == {1: ([[1.0]], 1), 2: ([], 0)}
+
+
+def test_insertions_within_rows(spark):
+    rows = [("a", list(range(10, 31))), ("b", [5]), ("c", []), ("d", None), ("e", [7, 8, 9, 7])]
+    df = spark.createDataFrame(rows, "k string, ids array<int>")
+    place, copied, alpha = (lambda j, n: (j * j * 5) % (n + 3) - 1), (lambda j, n: j % 2 == 0), F.length("k") / 20
+    got = posterior.inserted(df, "k", "ids", 8, 0.5, place, copied, alpha, blank=99)
+    want = posterior.with_insertions(posterior.pseudo_posterior(df, "k", "ids", 8, alpha), "k", 0.5, place, copied, blank=99)
+    assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.where("id = 99").count() == 6 and "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_labels_of_many_slots_are_collected_by_token(spark):
+    df = spark.createDataFrame([(1, 0, 3, "R", 4, 5), (1, 3, 1, "A", 6, 7), (1, 4, 2, "R", 8, 9), (2, 0, 1, "A", 1, 2)], "k int, start long, length long, f string, x int, y int")
+    out = sequence.expanded_labels(df, "k", "x", "y", F.col("f") == "R", 0)
+    assert sorted(map(tuple, out.collect())) == [(1, [0, 0, 0, 6, 0, 0], [-100, -100, -100, 7, -100, -100]), (2, [1], [2])]
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
