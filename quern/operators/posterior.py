@@ -243,6 +243,23 @@ def with_insertions(rows: DataFrame, key: str, share: float, place: Callable[[Co
     return old.unionByName(new).select(key, t.alias("t"), "id", "p", "rest")
 
 
+def inserted(df: DataFrame, key: str, ids: str, size: int, share: float, place: Callable[[Column, Column], Column], copied: Callable[[Column, Column], Column], alpha: Column | None = None, blank: int = 0) -> DataFrame:
+    """with_insertions() of pseudo_posterior() for texts of one row a key, each put together within its row: nothing is shuffled."""
+    texts = df.where(F.col(ids).isNotNull()).select(key, F.col(ids).alias("_ids"), F.size(ids).alias("_n"), (F.lit(0.0) if alpha is None else alpha).cast("double").alias("_alpha"))
+    kind, n = texts.schema["_ids"].dataType.elementType, F.col("_n")
+    many = F.floor(n * share).cast("int")
+    numbers = F.when(many > 0, F.sequence(F.lit(0), F.greatest(many - 1, F.lit(0)))).otherwise(F.expr("cast(array() as array<int>)"))
+    row = lambda at, own, j, x, as_text: F.struct(at.cast("int").alias("at"), F.lit(own).alias("own"), j.cast("int").alias("j"), x.cast(kind).alias("id"), as_text.alias("as_text"))
+    at = lambda j: F.least(F.greatest(place(j, n), F.lit(0)), n)
+    taken = lambda j: F.get("_ids", F.greatest(at(j) - 1, F.lit(0)).cast("int"))
+    new = F.transform(numbers, lambda j: row(at(j), 0, j, F.when(copied(j, n), taken(j)).otherwise(F.lit(blank)), F.coalesce(copied(j, n), F.lit(False))))
+    old = F.transform("_ids", lambda x, i: row(i, 1, F.lit(0), x, F.lit(True)))
+    long = texts.select(key, "_alpha", F.posexplode(F.sort_array(F.concat(old, new))).alias("t", "_x"))
+    rest = F.col("_alpha") / size
+    own = F.col("_x")["as_text"]
+    return long.select(key, "t", F.col("_x")["id"].alias("id"), F.when(own, 1 - F.col("_alpha") + rest).otherwise(1.0).alias("p"), F.when(own, rest).otherwise(0.0).alias("rest"))
+
+
 def sinusoid(t: Column, depth: int) -> Column:
     """Sines, then cosines, of the place t (from 1 on) at depth / 2 falling frequencies."""
     half = depth // 2

@@ -219,9 +219,8 @@ def _interleaved(left: bool) -> str:
 
 def inserted(s, d):
     """The documents' smoothed targets with an insertion for every ten rows."""
-    rows = posterior.pseudo_posterior(sequences(s, d), "doc_id", "target", 64, F.col("doc_id") * 7919 % 1000 / 10000)
     place = lambda j, n: (F.col("doc_id") * 31 + j * j * 17) % (n + 1)
-    return posterior.with_insertions(rows, "doc_id", 0.1, place, lambda j, n: (F.col("doc_id") + j) % 2 == 0)
+    return posterior.inserted(sequences(s, d), "doc_id", "target", 64, 0.1, place, lambda j, n: (F.col("doc_id") + j) % 2 == 0, F.col("doc_id") * 7919 % 1000 / 10000)
 
 
 #: name: (query, SQL or None)
