@@ -1,13 +1,12 @@
 """N-gram Jaccard join by chosen paths.
 
 Texts become sets of hashed word n-grams; texts with equal sets are one from then on.  A sketch of each set (one
-minimum for each of 128 ranges of a hash) is split: in each run every element of the sketch is chosen with a
-probability of 1 / (density * elements), by a hash that all sets share, and sets that chose the same element meet in a
-bucket.  Buckets with few sets are compared by brute force on signatures (four bits of each element of the sketch).  Sets
-of larger ones are split again, but not by chance: each goes under so many of its rarest elements that no two which are
-alike miss each other.  What is still large there mostly holds copies; it is compared whole, in pairs of blocks.  So a
-bucket's size decides how its sets are compared, and loses no link.  Runs repeat until pairs at the threshold are found
-with the target recall.
+minimum for each of 128 ranges of a hash) is split DEPTH times: at each step every element of the sketch is chosen with
+a probability of 1 / (density * elements), by a hash of the path so far that all sets share, and sets that chose the
+same path meet in a bucket.  All paths are as long, so whether two sets meet depends on these two alone and not on how
+many others there are.  Buckets are compared on signatures (four bits of each element of the sketch): small ones by
+brute force in the task that reads them, larger ones in pairs of blocks, with the same groups either way.  Runs repeat
+until pairs at the threshold are found with the target recall.
 
 What the buckets give are candidates at a looser threshold, as spanning edges, so a group of copies costs its size and
 not its square.  Their connected components are then compared exactly, all pairs of whole sets, in blocks of a bounded
@@ -29,23 +28,23 @@ from .components import components
 from .line_dedup import text_hashes
 from .shared import bloom, distinct, drop, fresh, keep, may_hold, mix, release, scratch, spans, text_batches, text_bytes, word_hashes
 
-SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.995
-#: Ranges of the sketch; choices: 1 / DENSITY elements a step on average; levels of splitting; sets in a bucket for brute force.
+SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9995
+#: Ranges of the sketch; choices: 1 / DENSITY elements a step on average; steps of a path; sets in a bucket for brute force.
 RANGES, DENSITY, DEPTH, BUCKET = 128, 0.5, 2, 400
-#: Buckets of up to SMALL sets are compared side by side; sets in a block of a bucket that is large at the last level.
+#: Buckets of up to SMALL sets are compared side by side; sets in a block of a bucket of over BUCKET.
 SMALL, LEAD = 32, 20_000
 #: N-grams in a block of the exact comparison.
 BLOCK = 500_000
 #: Signatures estimate to about 0.035; candidates are what comes within 3.5 of that.
 LOOSE = 0.68
-#: Share of the sketch (16 bits an element, so without chance hits) that sets of large buckets agree in; a pair at the threshold falls short of it by 5 deviations.
+#: Share of the sketch (16 bits an element, so without chance hits) that sets with a common rarest element agree in; a pair at the threshold falls short of it by 5 deviations.
 SURE = 0.62
 #: Sets of which a task remembers that it sent them.
 MEMO = 100_000
 
 
 def runs(threshold: float = THRESHOLD, recall: float = RECALL, density: float = DENSITY, depth: int = DEPTH) -> int:
-    """Runs so that a pair at the threshold meets in one of them with probability `recall`, even if all levels are needed."""
+    """Runs so that a pair at the threshold meets in one of them with probability `recall` after all steps."""
     p = 1.0
     for _ in range(depth):
         p = 1 - math.exp(-p * threshold / density)
@@ -132,8 +131,8 @@ def paths(sk: np.ndarray, base: np.ndarray, density: float = DENSITY) -> tuple[n
     return r, mix(v[r, c], 4)
 
 
-def _choose(count: int):
-    """Rows (bucket, s, signature) of the elements that sets choose in `count` runs."""
+def _choose(count: int, depth: int):
+    """Rows (bucket, s, sig) of the paths of `depth` elements that sets choose in `count` runs."""
 
     def run(batches):
         for b in batches:
@@ -141,8 +140,11 @@ def _choose(count: int):
                 part = b.slice(i, 2048)
                 sk, s = _binary(part.column("sketch"), "<u2", RANGES), part.column("s").to_numpy(zero_copy_only=False)
                 sig = signatures(sk)
-                for base in (np.full(len(sk), x) for x in mix(np.arange(count, dtype=np.uint64), 5)):
-                    row, path = paths(sk, base)
+                for base in mix(np.arange(count, dtype=np.uint64), 5):
+                    row, path = np.arange(len(sk)), np.full(len(sk), base)
+                    for _ in range(depth):
+                        at, path = paths(sk[row], path)
+                        row = row[at]
                     yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(s[row]), pa.array([x.tobytes() for x in sig[row]], pa.binary())], ["bucket", "s", "sig"])
 
     return run
@@ -287,14 +289,6 @@ def _compare(limit: int):
     return run
 
 
-def _elements(batches):
-    """Elements (range and value) of the sets of a batch, and how many have them."""
-    for b in batches:
-        sk = _binary(b.column("sketch"), "<u2", RANGES)
-        e, n = np.unique(_tokens(sk)[sk > 0], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(n.astype(np.int64))], ["e", "n"])
-
-
 def _tokens(sk: np.ndarray) -> np.ndarray:
     return (np.arange(RANGES, dtype=np.int64) << 16)[None, :] | sk.astype(np.int64)
 
@@ -317,21 +311,6 @@ def rarest(sk: np.ndarray, often: np.ndarray, counts: np.ndarray) -> tuple[np.nd
     return r, token[r, order[r, c]]
 
 
-def _split(sent):
-    """Rows (bucket, s, sig) of the rarest elements of sets."""
-
-    def run(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                sk, s = _binary(part.column("sketch"), "<u2", RANGES), part.column("s").to_numpy(zero_copy_only=False)
-                sig = signatures(sk)
-                row, token = rarest(sk, *sent.value)
-                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(s[row]), pa.array([x.tobytes() for x in sig[row]], pa.binary())], ["bucket", "s", "sig"])
-
-    return run
-
-
 def _across(batches):
     """From rows sorted by bucket, i and j: edges (x, y) of sets alike in two blocks of a bucket."""
     held, name = [], None
@@ -358,25 +337,15 @@ def _across(batches):
         yield edges()
 
 
-def _met(rows: DataFrame, sets: DataFrame, at: str) -> DataFrame:
+def _met(rows: DataFrame, at: str) -> DataFrame:
     """Edges (a, b) that span what is alike among the sets of a bucket, for rows (bucket, s, sig); a bucket's size changes none of its components.
 
-    Sets of large buckets meet again under their rarest elements, where any two that are alike do, and what is large
-    there as well is compared in pairs of blocks.
+    Sets of a bucket of over BUCKET are dealt to blocks, and each pair of blocks is compared whole.
     """
-    spark, edges = rows.sparkSession, None
-    for depth in range(1, DEPTH + 1):
-        met = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_compare(BUCKET), "x long, y long, again boolean, sig binary")
-        met = keep(met, f"{at}/met-{depth}")
-        found = met.where("not again").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        edges = found if edges is None else edges.unionByName(found)
-        large = met.where("again").select(F.col("x").alias("bucket"), F.col("y").alias("s"), "sig")
-        if large.isEmpty():
-            return edges
-        if depth < DEPTH:
-            own = keep(large.select("s").distinct().join(sets, "s"), f"{at}/large")
-            often = own.mapInArrow(_elements, "e long, n long").groupBy("e").agg(F.sum("n").alias("n")).where(F.col("n") > BUCKET).orderBy("e").collect()  # of RANGES * 65,535 at most
-            rows = own.mapInArrow(_split(spark.sparkContext.broadcast((np.array([r.e for r in often], np.int64), np.array([r.n for r in often], np.int64)))), "bucket long, s long, sig binary")
+    met = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_compare(BUCKET), "x long, y long, again boolean, sig binary")
+    met = keep(met, f"{at}/met")
+    edges = met.where("not again").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    large = met.where("again").select(F.col("x").alias("bucket"), F.col("y").alias("s"), "sig")
     blocks = large.groupBy("bucket").agg(F.ceil(F.count("*") / LEAD).cast("int").alias("nb"))
     dealt = large.join(blocks, "bucket").withColumn("b", F.pmod(F.xxhash64("s"), "nb").cast("long")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
     dealt = dealt.select("bucket", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "s", "sig")
@@ -485,7 +454,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, rec
     spark, at = docs.sparkSession, scratch(docs.sparkSession)
     described = keep(describe(docs, size), f"{at}/described")
     sets = keep(described.where("s is not null").select("s", "sketch").dropDuplicates(["s"]), f"{at}/sets")
-    edges = _met(sets.mapInArrow(_choose(runs(threshold, recall)), "bucket long, s long, sig binary"), sets, at)
+    edges = _met(sets.mapInArrow(_choose(runs(threshold, recall, depth=DEPTH), DEPTH), "bucket long, s long, sig binary"), at)
     loose = keep(components(edges, f"{at}/loose"), f"{at}/loose-roots").withColumnRenamed("node", "s")
     release(spark)
     own = _items(docs, spark.sparkContext.broadcast(bloom(loose, "s", loose.count())), size)
@@ -513,7 +482,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, rec
         "n_shingles",
     )
     out = keep(out, f"{at}/classes")
-    drop(spark, *(f"{at}/{x}" for x in ("described", "sets", *(f"met-{d}" for d in range(1, DEPTH + 1)), "large", "across", "loose", "loose-roots", "items", "checked", "exact")))
+    drop(spark, *(f"{at}/{x}" for x in ("described", "sets", "met", "across", "loose", "loose-roots", "items", "checked", "exact")))
     release(spark)
     return out
 

@@ -364,6 +364,26 @@ def test_links_whatever_the_buckets_size(spark, limits, monkeypatch):
     assert len(set(least)) < 150 and sum(len(x) > 2 for x in near) > 90
 
 
+def test_meeting_does_not_depend_on_size(spark, tmp_path, monkeypatch):
+    """Which sets are put together is the same whatever size a bucket is called large from, and however its blocks are cut."""
+    rng = np.random.default_rng(11)
+    sk = rng.integers(1, 9, (240, jaccard_join.RANGES)).astype("<u2")
+    for i in range(240):
+        if i % 8:  # some agree in less than 0.8 and meet by chance
+            sk[i] = np.where(rng.random(jaccard_join.RANGES) < 0.25, sk[i], sk[i - 1])
+    sets = spark.createDataFrame([(i, sk[i].tobytes()) for i in range(240)], "s long, sketch binary")
+    parts = []
+    for k, (bucket, lead) in enumerate(((400, 20_000), (2, 20_000), (1, 5), (7, 3))):
+        monkeypatch.setattr(jaccard_join, "BUCKET", bucket)
+        monkeypatch.setattr(jaccard_join, "LEAD", lead)
+        rows = sets.mapInArrow(jaccard_join._choose(1, 2), "bucket long, s long, sig binary")
+        edges = [tuple(r) for r in jaccard_join._met(rows, f"{tmp_path}/{k}").collect()]
+        least = jaccard_join.stars(240, *(np.array([e[i] for e in edges], np.int64) for i in (0, 1)))
+        parts.append(least.tolist())
+    assert parts[0] == parts[1] == parts[2] == parts[3]
+    assert 40 < len(set(parts[0])) < 200
+
+
 def test_rarest_elements_are_shared():
     rng = np.random.default_rng(8)
     for width in (1, 3, 20, 128):
