@@ -81,6 +81,23 @@ class EliasFano:
     def select0(self, i: np.ndarray) -> np.ndarray:
         return self._select(i, self.zeros, True)
 
+    def _next(self, at: np.ndarray, i: np.ndarray, flip: bool) -> np.ndarray:
+        """Where the i-th one (or zero) is, which is the first from `at` on."""
+        x = self.words[at >> 6]
+        x = (~x if flip else x) >> (at & 63).astype(np.uint64)
+        out = at + np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1))
+        far = np.flatnonzero(x == 0)  # in none of the word's bits that are left
+        if len(far):
+            out[far] = self._select(i[far], self.zeros if flip else self.ones, flip)
+        return out
+
+    def both(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Elements i and i + 1."""
+        at = self.select1(i)
+        then = self._next(at + 1, i + 1, False)
+        low = np.uint64(self.low)
+        return ((at - i).astype(np.uint64) << low) | self.lows(i), ((then - i - 1).astype(np.uint64) << low) | self.lows(i + 1)
+
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         return ((self.select1(i) - i).astype(np.uint64) << np.uint64(self.low)) | self.lows(i)
 
@@ -99,9 +116,10 @@ class EliasFano:
         """Places, and the ends of the runs of elements that share the value's high bits."""
         high = (value >> np.uint64(self.low)).astype(np.int64)
         last = self.bytes.size * 8 - self.n - 1  # zeros there are, less one
-        a = np.where(high > 0, self.select0(np.clip(high - 1, 0, last)) - np.maximum(high - 1, 0), 0)
-        b = self.select0(np.clip(high, 0, last)) - np.clip(high, 0, last)
-        lo, hi = np.maximum(a, first), np.minimum(np.where(high > last, self.n, b), end)
+        some = np.minimum(high, last)
+        at = np.where(some > 0, self.select0(np.maximum(some - 1, 0)) + 1, 0)  # behind the zero before
+        lo = np.where(high > last, self.n, np.maximum(at - some, first))
+        hi = np.minimum(self._next(at, some, True) - some, end)
         want = value & np.uint64((1 << self.low) - 1)
         hi = np.maximum(hi, lo)
         stop = hi.copy()

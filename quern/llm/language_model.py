@@ -142,15 +142,21 @@ class Trie:
         # each distinct node's range is looked up once
         new = np.concatenate([[True], node[1:] != node[:-1]])
         own, of = node[new], np.cumsum(new) - 1
-        ends = pointers[np.concatenate([own, own + 1])].astype(np.int64)
-        a, b = ends[: len(own)], ends[len(own) :]
-        some = np.flatnonzero(a < b)
-        before = np.zeros(len(own), np.uint64)
-        before[some] = np.where(a[some] > 0, successors[np.maximum(a[some] - 1, 0)], 0)
-        go = np.flatnonzero((a < b)[of])
+        a, b = (x.astype(np.int64) for x in pointers.both(own))
+        before, first = np.zeros(len(own), np.uint64), np.zeros(len(own), np.uint64)
+        some = np.flatnonzero((a < b) & (a > 0))
+        before[some], first[some] = successors.both(a[some] - 1)
+        some = np.flatnonzero((a < b) & (a == 0))
+        first[some] = successors[a[some]]
+        # most nodes have one successor, which is known by now
+        value = before[of] + w
+        here, more = (a < b)[of], (a + 1 < b)[of]
+        at = np.flatnonzero(here & (value == first[of]))
+        out[i + at] = a[of[at]]
+        go = np.flatnonzero(more & (value > first[of]))
         if len(go):
             c = of[go]
-            at, hit = successors.find(before[c] + w[go], a[c], b[c])
+            at, hit = successors.find(value[go], a[c] + 1, b[c])
             out[i + go[hit]] = at[hit]
         return out
 
@@ -443,11 +449,13 @@ def train(docs: DataFrame, folder: str, least: int = 1) -> Files | None:
         trie = Trie(f)
 
         def keys(batch):
-            ids, n = _known(batch, trie)
-            v, _ = _contexts(ids, n)
+            h, n = _sequence(batch)
+            every, back = np.unique(h, return_inverse=True)
+            every = trie.ids(every)
+            ids = every[back]
             inner = np.ones(len(ids), bool)
             inner[spans(n)[:-1]] = False
-            pair, back = np.unique(_pairs(v, ids), return_inverse=True)
+            pair, back = _bigrams(every, back, n, trie.unknown)
             s, at = trie.bigrams(pair)
             i = np.flatnonzero(inner & (at[back] >= 0))
             i = i[at[back[i - 1]] >= 0]
@@ -503,6 +511,29 @@ def _known(column, trie: Trie) -> tuple[np.ndarray, np.ndarray]:
     return trie.ids(every)[back], n
 
 
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique(key, return_inverse=True), where keys leave room for their places by one sort of both in one number."""
+    bits = len(key).bit_length()
+    if not len(key) or int(key.max()).bit_length() + bits > 64:
+        return np.unique(key, return_inverse=True)
+    x = (key << np.uint64(bits)) | np.arange(len(key), dtype=np.uint64)
+    x.sort()
+    k = x >> np.uint64(bits)
+    new = np.concatenate([[True], k[1:] != k[:-1]])
+    back = np.empty(len(key), np.int64)
+    back[(x & np.uint64((1 << bits) - 1)).astype(np.int64)] = np.cumsum(new) - 1
+    return k[new], back
+
+
+def _bigrams(ids: np.ndarray, back: np.ndarray, n: np.ndarray, unknown: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct bigrams, in order, of tokens numbered by `back`, and each token's; ids: of those numbers, those of known words in order."""
+    known = ids < unknown
+    rank = np.where(known, np.cumsum(known), known.sum() + 1)[back]  # 0 is the start of a text
+    of, bits = np.concatenate([[0], ids[known], [unknown]]), np.uint64(len(ids).bit_length() + 1)
+    key, at = _distinct((_contexts(rank, n)[0].astype(np.uint64) << bits) | rank.astype(np.uint64))
+    return _pairs(of[(key >> bits).astype(np.int64)], of[(key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)]), at
+
+
 def _level(path: str, node: np.ndarray, w: np.ndarray, c: np.ndarray, context: np.ndarray, lower: np.ndarray, nodes: bool = False) -> None:
     """Writes a level's shard: rows are sorted by node, then word; context: each node's count; lower: P(w) one order down.
 
@@ -543,7 +574,7 @@ def score(docs: DataFrame, files: Files | None) -> DataFrame:
                 every, back = np.unique(h, return_inverse=True)
                 every = trie.ids(every)
                 ids, one, at = every[back], trie.one(every)[back], spans(n)[:-1]
-                pair, of = np.unique(_pairs(_contexts(ids, n)[0], ids), return_inverse=True)
+                pair, of = _bigrams(every, back, n, trie.unknown)
                 found, base1 = trie.bigrams(pair), np.zeros(len(pair))
                 base1[of] = one
                 two = trie.two(pair, found, base1)
@@ -552,8 +583,9 @@ def score(docs: DataFrame, files: Files | None) -> DataFrame:
                 i, p = np.flatnonzero(inner), two[of]
                 if trie.f.levels > 2:
                     # in order of the bigram before, and in that of the word
-                    triple, own = np.unique(_pairs(of[i - 1], of[i]), return_inverse=True)
-                    context, last = (triple >> np.uint64(32)).astype(np.int64), (triple & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                    bits = np.uint64(len(pair).bit_length())
+                    triple, own = _distinct((of[i - 1].astype(np.uint64) << bits) | of[i].astype(np.uint64))
+                    context, last = (triple >> bits).astype(np.int64), (triple & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
                     p[i] = trie.three(context, last, found, (pair[last] & np.uint64(0xFFFFFFFF)).astype(np.int64), two)[own]
                 known = np.add.reduceat((ids < trie.unknown).astype(np.int64), at)
                 base, full = np.add.reduceat(one, at), np.add.reduceat(p, at)

@@ -51,3 +51,24 @@ def test_counts_of_any_size():
         (part, n, raw), = language_model._split(k, own, np.zeros(3, np.int64))
         keys, counts = language_model._unpacked(n, raw)
         assert part == 0 and keys.tolist() == k.tolist() and counts.tolist() == own.tolist()
+
+
+def test_lookups_beside_the_ends():
+    """Nothing is found beyond the last element, neighbours come as they are one by one, and packed sorts number keys as np.unique does."""
+    import numpy as np
+
+    from quern.llm import elias_fano
+
+    rng = np.random.default_rng(4)
+    for x in (np.array([5]), np.array([3, 900]), np.sort(rng.integers(0, 1 << 20, 700)), np.arange(0, 64 * 500, 64), np.repeat([7, 90_000], 200)):
+        ef = elias_fano.EliasFano(*elias_fano.encode(x))
+        want = np.unique(np.concatenate([x, x + 1, x[-1] + np.arange(1, 1 << 12), x[-1] + (np.arange(1, 300) << 10)])).astype(np.uint64)
+        at, hit = ef.find(want, np.zeros(len(want), np.int64), np.full(len(want), len(x)))
+        assert hit.tolist() == np.isin(want, x.astype(np.uint64)).tolist()
+        assert (x[at[hit]] == want[hit]).all()
+        a, b = ef.both(np.arange(len(x) - 1))
+        assert a.tolist() == x[:-1].tolist() and b.tolist() == x[1:].tolist()
+    for n, most in ((0, 1), (1, 9), (5000, 900), (5000, 1 << 40), (300, 1 << 62)):
+        key = rng.integers(0, most, n).astype(np.uint64)
+        for got, own in zip(language_model._distinct(key), np.unique(key, return_inverse=True), strict=True):
+            assert got.tolist() == own.tolist()
