@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -11,13 +13,15 @@ for _b in range(256):
         _SELECT[_b, _k] = _i
 
 
-#: Elements whose low bits are written at a time, a multiple of 8.
+#: Elements whose bits are written at a time, a multiple of 8.
 STEP = 1 << 18
+#: Zeros are counted before each SKIP-th word of high bits only, a power of 2; these counts are all a view holds in memory.
+SKIP = 32
 
 
 def encode(x: np.ndarray) -> list[np.ndarray]:
     """Parts of the encoded sequence: sizes, low bits, high bits, ones before each 64 high bits."""
-    x = x.astype(np.uint64)
+    x = x.astype(np.uint64, copy=False)
     n = len(x)
     top = int(x[-1]) if n else 0
     low = max(0, (top // max(1, n)).bit_length() - 1)
@@ -28,11 +32,13 @@ def encode(x: np.ndarray) -> list[np.ndarray]:
         for k in range(low):  # bit by bit over all elements
             q = (at + k)[((v >> np.uint64(k)) & np.uint64(1)).astype(bool)]
             np.bitwise_or.at(own, q >> 3, (1 << (q & 7)).astype(np.uint8)) if low < 8 else _or_apart(own, q, low)
-    high = (x >> np.uint64(low)).astype(np.int64) + np.arange(n, dtype=np.int64)
-    length = (int(high[-1]) if n else 0) + 2
+    length = (top >> low) + max(0, n - 1) + 2
     unary = np.zeros((length + 63) // 64 * 64, np.uint8)
-    unary[high] = 1
+    for a in range(0, n, STEP):
+        v = (x[a : a + STEP] >> np.uint64(low)).astype(np.int64)
+        unary[v + np.arange(a, a + len(v))] = 1
     packed = np.packbits(unary, bitorder="little")
+    del unary
     ones = np.concatenate([[0], np.cumsum(_POP[packed].reshape(-1, 8).sum(1, dtype=np.int64))[:-1]]).astype(np.uint32)
     return [np.array([n, low], np.int64), bits, packed, ones]
 
@@ -50,7 +56,10 @@ class EliasFano:
         self.bits, self.bytes, self.ones = bits, high.reshape(-1, 8), ones
         self.wide = np.ndarray((max(1, len(bits) - 7),), "<u8", np.ascontiguousarray(bits) if not bits.flags.c_contiguous else bits, strides=(1,))
         self.words = high.view("<u8")
-        self.zeros = np.arange(len(ones), dtype=np.int64) * 64 - ones
+
+    @cached_property
+    def zeros(self) -> np.ndarray:
+        return np.arange(0, len(self.ones), SKIP, dtype=np.int64) * 64 - self.ones[::SKIP]
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.low:
@@ -58,12 +67,16 @@ class EliasFano:
         at = i * self.low
         return (self.wide[at >> 3] >> (at & 7).astype(np.uint64)) & np.uint64((1 << self.low) - 1)
 
-    def _select(self, i: np.ndarray, before: np.ndarray, flip: bool) -> np.ndarray:
-        word = np.searchsorted(before, i, "right") - 1
-        rest = i - before[word]
-        x = self.words[word]
+    def _select(self, i: np.ndarray, flip: bool) -> np.ndarray:
         if flip:
-            x = ~x
+            word, step = (np.searchsorted(self.zeros, i, "right") - 1) * SKIP, SKIP // 2
+            while step:
+                then = np.minimum(word + step, len(self.ones) - 1)
+                word, step = np.where(then * 64 - self.ones[then] <= i, then, word), step // 2
+            rest, x = i - (word * 64 - self.ones[word]), ~self.words[word]
+        else:
+            word = np.searchsorted(self.ones, i, "right") - 1
+            rest, x = i - self.ones[word], self.words[word]
         # ones up to each byte's end, all eight in one integer
         s = x - ((x >> np.uint64(1)) & np.uint64(0x5555555555555555))
         s = (s & np.uint64(0x3333333333333333)) + ((s >> np.uint64(2)) & np.uint64(0x3333333333333333))
@@ -76,10 +89,10 @@ class EliasFano:
         return word * 64 + byte.astype(np.int64) * 8 + _SELECT[own, np.clip(rest, 0, 7)]
 
     def select1(self, i: np.ndarray) -> np.ndarray:
-        return self._select(i, self.ones, False)
+        return self._select(i, False)
 
     def select0(self, i: np.ndarray) -> np.ndarray:
-        return self._select(i, self.zeros, True)
+        return self._select(i, True)
 
     def _next(self, at: np.ndarray, i: np.ndarray, flip: bool) -> np.ndarray:
         """Where the i-th one (or zero) is, which is the first from `at` on."""
@@ -88,7 +101,7 @@ class EliasFano:
         out = at + np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1))
         far = np.flatnonzero(x == 0)  # in none of the word's bits that are left
         if len(far):
-            out[far] = self._select(i[far], self.zeros if flip else self.ones, flip)
+            out[far] = self._select(i[far], flip)
         return out
 
     def both(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

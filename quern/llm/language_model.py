@@ -26,14 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .elias_fano import EliasFano, encode
-from .shared import SPACE, drop, keep, mapped, mix, publish, release, scratch, spans, text_batches, text_bytes, word_hashes
+from .shared import SPACE, drop, keep, mapped, mix, publish, release, scratch, spans, text_batches, text_bytes, trim, word_hashes
 
 DISCOUNT = 0.75
 #: Token n-grams to a block of the counts, words to a vocabulary file, about.
 PART, SHARD = 3_000_000, 750_000
 #: Token n-grams that a task sorts and counts at a time.
 BATCH = 3_000_000
-#: N-grams of a shard whose probabilities are worked out at a time.
+#: N-grams that a task merges, and whose probabilities it works out, at a time.
 STEP = 1 << 19
 #: log10 probabilities are kept in 16 bits from -LOWEST to 0.
 LOWEST = 24.0
@@ -57,8 +57,8 @@ def save(path: str, arrays: list[np.ndarray]) -> None:
     def write(out):
         out.write(head)
         for a in arrays:
-            raw = np.ascontiguousarray(a).tobytes()
-            out.write(raw + bytes(-len(raw) % 8))
+            out.write(np.ascontiguousarray(a).data)
+            out.write(bytes(-a.nbytes % 8))
 
     publish(path, write)
 
@@ -239,22 +239,30 @@ def _contexts(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return one, two
 
 
-def _blocks(keys: np.ndarray, parts: int):
-    """Rows (part, packed): sorted distinct keys with their counts, by hash of the key."""
-    k, c = np.unique(keys, return_counts=True)
-    yield from _split(k, c, (mix(k, 9) % np.uint64(parts)).astype(np.int64))
+def _blocks(keys: np.ndarray, parts: int) -> list:
+    """Rows (part, packed): sorted distinct keys with their counts, by hash of the key; the array is sorted in place."""
+    keys.sort()
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    c = np.diff(first, append=len(keys)).astype(np.uint32 if len(keys) < 1 << 32 else np.int64)
+    keys[: len(first)] = keys[first]
+    k = keys[: len(first)]
+    del first
+    part = np.empty(len(k), np.uint16 if parts <= 1 << 16 else np.int64)
+    for i in range(0, len(k), STEP):
+        part[i : i + STEP] = mix(k[i : i + STEP], 9) % np.uint64(parts)
+    return list(_split(k, c, part))
 
 
 def _split(k: np.ndarray, c: np.ndarray, part: np.ndarray):
     """Rows (part, n, packed) of sorted keys and their counts, by the given parts."""
     if len(part) and int(part.max()) < 1 << 16:
-        order = np.argsort(part.astype(np.uint16), kind="stable")
-    else:
-        order = np.argsort(part, kind="stable")
-    k, c = k[order], c[order]
+        part = part.astype(np.uint16, copy=False)
+    order = np.argsort(part, kind="stable")
     for p, i, j in _runs(part[order]):
-        width = 4 if int(c[i:j].max()) < 1 << 32 else 8  # bytes of a count
-        raw = np.diff(k[i:j], prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() + c[i:j].astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+        own = order[i:j]
+        x, y = k[own], c[own]
+        width = 4 if int(y.max()) < 1 << 32 else 8  # bytes of a count
+        raw = np.diff(x, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() + y.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
         yield p, j - i, bytes([width]) + pa.compress(raw, _CODEC, asbytes=True)
 
 
@@ -270,47 +278,81 @@ def _block_batch(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["part", "n", "raw"])
 
 
-def _tally(texts: DataFrame, keys_of, parts: int, least: int = 1, packed: bool = False) -> DataFrame:
+def _merged(blocks: list):
+    """Distinct keys and the sums of their counts from blocks (keys in order, counts), in order of the keys, about STEP at a time."""
+    every, starts = max(1, STEP // 64), spans(np.array([len(k) for k, _ in blocks]))
+    some = np.sort(np.concatenate([k[-at % every :: every] for (k, _), at in zip(blocks, starts[:-1].tolist(), strict=True)]))
+    cut = np.unique(some[64::64])
+    ends = [np.concatenate([[0], np.searchsorted(k, cut), [len(k)]]) for k, _ in blocks]
+    for i in range(len(cut) + 1):
+        k = np.concatenate([k[e[i] : e[i + 1]] for (k, _), e in zip(blocks, ends, strict=True)])
+        c = np.concatenate([c[e[i] : e[i + 1]] for (_, c), e in zip(blocks, ends, strict=True)])
+        order = np.argsort(k, kind="stable")
+        k, c = k[order], c[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])[: len(k)])
+        if len(first):
+            yield k[first], np.add.reduceat(c, first)
+
+
+def _tally(texts: DataFrame, keys_of, parts: int, least: int = 1, packed: bool = False, shard_of=None) -> DataFrame:
     """k and c for keys (u64 as long) that occur at least `least` times in texts; keys_of(column) gives an array of them.
 
-    With `packed`, rows (part, n, raw) of blocks of them instead, whose keys are all different.
+    With `packed`, rows (part, n, raw) of blocks of them instead, whose keys are all different; with shard_of, these are
+    dealt by shard_of(keys), which grows with the keys, as _dealt does it, but by the worker that merges them.
     """
 
     def run(batches):
-        held, n = [], 0
-
-        def out():
-            return _block_batch(list(_blocks(np.concatenate(held), parts)))
-
+        held, n = np.empty(BATCH, np.uint64), 0
         for b in text_batches(batches):
-            held.append(keys_of(b.column("text")))
-            n += len(held[-1])
-            if n > BATCH:
-                yield out()
-                held, n = [], 0
+            keys, at = keys_of(b.column("text")), 0
+            del b
+            while at < len(keys):
+                more = min(BATCH - n, len(keys) - at)
+                held[n : n + more] = keys[at : at + more]
+                at, n = at + more, n + more
+                if n == BATCH:
+                    yield _block_batch(_blocks(held, parts))
+                    n = 0
+            del keys
         if n:
-            yield out()
+            yield _block_batch(_blocks(held[:n], parts))
+        del held
+        trim()
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, part = [], int(pdf["part"].iloc[0])
+        for k, c in _merged([_unpacked(n, raw) for n, raw in zip(pdf["n"], pdf["raw"], strict=True)]):
+            if least > 1:
+                ok = c >= least
+                k, c = k[ok], c[ok]
+            if packed:
+                rows += _split(k, c, shard_of(k) if shard_of else np.full(len(k), part))
+            else:
+                rows.append(pd.DataFrame({"k": k.view(np.int64), "c": c}))
+        return pd.DataFrame(rows, columns=["part", "n", "raw"]) if packed else pd.concat(rows)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        ks, cs = [], []
-        for n, raw in zip(pdf["n"], pdf["raw"], strict=True):
-            k, c = _unpacked(n, raw)
-            ks.append(k)
-            cs.append(c)
-        k, c = np.concatenate(ks), np.concatenate(cs)
-        order = np.argsort(k, kind="stable")
-        k, c = k[order], c[order].astype(np.int64)
-        first = np.flatnonzero(np.diff(k, prepend=~k[:1]))
-        c = np.add.reduceat(c, first)
-        ok = c >= least
-        if packed:
-            rows = list(_split(k[first][ok], c[ok], np.full(int(ok.sum()), pdf["part"].iloc[0])))
-            return pd.DataFrame(rows, columns=["part", "n", "raw"])
-        return pd.DataFrame({"k": k[first][ok].view(np.int64), "c": c[ok]})
+        out = merged(pdf)
+        trim()
+        return out
 
     return texts.mapInArrow(run, _PACKED).groupBy("part").applyInPandas(merge, _PACKED if packed else "k long, c long")
 
 
+def _dealt(blocks: DataFrame, shard_of) -> DataFrame:
+    """Packed blocks with their keys dealt by shard_of(keys)."""
+
+    def deal(batches):
+        for b in batches:
+            for n, raw in zip(b.column("n").to_pylist(), b.column("raw").to_pylist(), strict=True):
+                k, c = _unpacked(n, raw)
+                yield _block_batch(list(_split(k, c, shard_of(k))))
+                del k, c
+        trim()
+
+    return blocks.mapInArrow(deal, _PACKED)
+
+
 def _order(col: str) -> Column:
     """Unsigned order of a long."""
     return F.col(col).bitwiseXOR(F.lit(-(2**63)))
@@ -342,14 +384,8 @@ def _each(rows: DataFrame, key: str, sort: list, work, shards: int) -> dict[int,
     return {r.k: r.n for r in made}
 
 
-def _each_packed(blocks: DataFrame, shard_of, work, shards: int) -> dict[int, int]:
-    """As _each, from packed blocks whose keys shard_of(keys) deals to shards: work(shard, keys in order, counts)."""
-
-    def deal(batches):
-        for b in batches:
-            for n, raw in zip(b.column("n").to_pylist(), b.column("raw").to_pylist(), strict=True):
-                k, c = _unpacked(n, raw)
-                yield _block_batch(list(_split(k, c, shard_of(k))))
+def _each_packed(blocks: DataFrame, work, shards: int) -> dict[int, int]:
+    """As _each, from packed blocks that are dealt to shards: work(shard, keys in order, counts)."""
 
     def close(shard, held):
         n = sum(x for x, _ in held)
@@ -373,8 +409,9 @@ def _each_packed(blocks: DataFrame, shard_of, work, shards: int) -> dict[int, in
                 held.append((n, raw))
         if held:
             yield close(shard, held)
+        trim()
 
-    made = blocks.mapInArrow(deal, _PACKED).repartition(shards, "part").sortWithinPartitions("part").mapInArrow(run, "k long, n long").collect()
+    made = blocks.repartition(shards, "part").sortWithinPartitions("part").mapInArrow(run, "k long, n long").collect()
     return {r.k: r.n for r in made}
 
 
@@ -428,13 +465,12 @@ def train(docs: DataFrame, folder: str, least: int = 1) -> Files | None:
 
     def second(k: int, key: np.ndarray, c: np.ndarray) -> int:
         trie = Trie(f)
-        u, v = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
         start, end = -(-k * (f.words + 2) // f.shards), -(-(k + 1) * (f.words + 2) // f.shards)
         context = np.maximum(1, trie.counts(np.arange(start, end))).astype(np.float64)
-        _level(f"{folder}/level-2-{k}", u - start, v, c, context, 10 ** trie.one(v), nodes=True)
+        _level(f"{folder}/level-2-{k}", key, start, c, context, lambda node, v: 10 ** trie.one(v), nodes=True)
         return len(key)
 
-    made = _each_packed(pairs, lambda k: ((k >> np.uint64(32)).astype(np.int64) * f.shards) // (f.words + 2), second, f.shards)
+    made = _each_packed(_dealt(pairs, lambda k: ((k >> np.uint64(32)).astype(np.int64) * f.shards) // (f.words + 2)), second, f.shards)
     for k in range(f.shards):
         if k not in made:
             second(k, np.zeros(0, np.uint64), np.zeros(0))
@@ -463,22 +499,20 @@ def train(docs: DataFrame, folder: str, least: int = 1) -> Files | None:
 
         return keys
 
-    triples = _tally(texts, _Lazy(trigrams_of), parts, least, packed=True)
+    triples = _tally(texts, _Lazy(trigrams_of), parts, least, True, lambda k: np.searchsorted(first[1:-1], (k >> np.uint64(32)).astype(np.int64), "right"))
 
     def third(k: int, key: np.ndarray, c: np.ndarray) -> int:
         trie = Trie(f)
-        node, w = (key >> np.uint64(32)).astype(np.int64) - first[k], (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
         x = trie.file(f"level-2-{k}")
-        v = (x[11][node].astype(np.int64)) if len(node) else node
-        lower = np.zeros(len(key))
-        for i in range(0, len(key), STEP):
-            pair, back = np.unique(_pairs(v[i : i + STEP], w[i : i + STEP]), return_inverse=True)
-            lower[i : i + STEP] = 10 ** trie.two(pair, trie.bigrams(pair), trie.one((pair & np.uint64(0xFFFFFFFF)).astype(np.int64)))[back]
-        del v
-        _level(f"{folder}/level-3-{k}", node, w, c, x[10].astype(np.float64), lower)
+
+        def lower(node, w):
+            pair, back = np.unique(_pairs(x[11][node], w), return_inverse=True)
+            return 10 ** trie.two(pair, trie.bigrams(pair), trie.one((pair & np.uint64(0xFFFFFFFF)).astype(np.int64)))[back]
+
+        _level(f"{folder}/level-3-{k}", key, int(first[k]), c, x[10].astype(np.float64), lower)
         return len(key)
 
-    made = _each_packed(triples, lambda k: np.searchsorted(first[1:-1], (k >> np.uint64(32)).astype(np.int64), "right"), third, f.shards)
+    made = _each_packed(triples, third, f.shards)
     for k in range(f.shards):
         if k not in made:
             third(k, np.zeros(0, np.uint64), np.zeros(0))
@@ -534,26 +568,34 @@ def _bigrams(ids: np.ndarray, back: np.ndarray, n: np.ndarray, unknown: int) ->
     return _pairs(of[(key >> bits).astype(np.int64)], of[(key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)]), at
 
 
-def _level(path: str, node: np.ndarray, w: np.ndarray, c: np.ndarray, context: np.ndarray, lower: np.ndarray, nodes: bool = False) -> None:
-    """Writes a level's shard: rows are sorted by node, then word; context: each node's count; lower: P(w) one order down.
+def _level(path: str, key: np.ndarray, start: int, c: np.ndarray, context: np.ndarray, lower, nodes: bool = False) -> None:
+    """Writes a level's shard: keys, in order, hold a node (counted from `start`) and a word; context: each node's count;
+    lower(nodes, words): P(w) one order down.
 
     Parts: pointers and successors (four arrays each), probabilities, back-off masses of nodes and, if a level follows
     (`nodes`), counts and words.
     """
-    ends = np.cumsum(np.bincount(node, minlength=len(context)))
-    spent, p = np.zeros(len(context)), np.zeros(len(node), np.uint16)
-    slices = [slice(i, i + STEP) for i in range(0, len(node), STEP)]
-    for i in slices:
-        np.add.at(spent, node[i], c[i] - DISCOUNT)
+
+    def slices():
+        for i in range(0, len(key), STEP):
+            k = key[i : i + STEP]
+            yield slice(i, i + STEP), (k >> np.uint64(32)).astype(np.int64) - start, (k & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+    ends, spent, last = np.zeros(len(context), np.int64), np.zeros(len(context)), np.zeros(len(context), np.int64)
+    for i, node, w in slices():
+        ends += np.bincount(node, minlength=len(context))
+        np.add.at(spent, node, c[i] - DISCOUNT)
+        last[node] = w  # the largest successor of each node
     rest = np.clip(1 - spent / context, 1e-12, 1)
-    for i in slices:
-        p[i] = quantise((c[i] - DISCOUNT) / context[node[i]] + rest[node[i]] * lower[i])
-    last = np.zeros(len(context), np.int64)  # the largest successor of each node
-    last[node] = w
     base = np.concatenate([[0], np.cumsum(last)[:-1]]) if len(last) else last
-    level = [*encode(np.concatenate([[0], ends])), *encode(base[node] + w), p, quantise(rest)]
+    p, x = np.zeros(len(key), np.uint16), np.zeros(len(key), np.uint64)
+    for i, node, w in slices():
+        p[i] = quantise((c[i] - DISCOUNT) / context[node] + rest[node] * lower(node, w))
+        x[i] = base[node] + w
+    level = [*encode(np.concatenate([[0], np.cumsum(ends)])), *encode(x), p, quantise(rest)]
+    del x
     if nodes:
-        level += [c.astype(np.uint32), w.astype(np.uint32)]
+        level += [c.astype(np.uint32), key.astype(np.uint32)]  # the words are the keys' low halves
     save(path, level)
 
 
@@ -563,33 +605,39 @@ def score(docs: DataFrame, files: Files | None) -> DataFrame:
     schema = f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     total = files.tokens if files else 0
 
+    def scored(trie, b):
+        if trie is None:
+            n = _sequence(b.column("text"))[1]
+            known, base, full = np.zeros(len(n), np.int64), np.zeros(len(n)), np.zeros(len(n))
+        else:
+            h, n = _sequence(b.column("text"))
+            every, back = np.unique(h, return_inverse=True)
+            every = trie.ids(every)
+            ids, one, at = every[back], trie.one(every)[back], spans(n)[:-1]
+            pair, of = _bigrams(every, back, n, trie.unknown)
+            found, base1 = trie.bigrams(pair), np.zeros(len(pair))
+            base1[of] = one
+            two = trie.two(pair, found, base1)
+            inner = np.ones(len(ids), bool)
+            inner[at] = False
+            i, p = np.flatnonzero(inner), two[of]
+            if trie.f.levels > 2:
+                # in order of the bigram before, and in that of the word
+                bits = np.uint64(len(pair).bit_length())
+                triple, own = _distinct((of[i - 1].astype(np.uint64) << bits) | of[i].astype(np.uint64))
+                context, last = (triple >> bits).astype(np.int64), (triple & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+                p[i] = trie.three(context, last, found, (pair[last] & np.uint64(0xFFFFFFFF)).astype(np.int64), two)[own]
+            known = np.add.reduceat((ids < trie.unknown).astype(np.int64), at)
+            base, full = np.add.reduceat(one, at), np.add.reduceat(p, at)
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(known), pa.array(np.full(len(n), total)), pa.array(base), pa.array(full)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
     def run(batches):
         trie = Trie(files) if files else None
         for b in text_batches(batches, 1_500_000):
-            if trie is None:
-                n = _sequence(b.column("text"))[1]
-                known, base, full = np.zeros(len(n), np.int64), np.zeros(len(n)), np.zeros(len(n))
-            else:
-                h, n = _sequence(b.column("text"))
-                every, back = np.unique(h, return_inverse=True)
-                every = trie.ids(every)
-                ids, one, at = every[back], trie.one(every)[back], spans(n)[:-1]
-                pair, of = _bigrams(every, back, n, trie.unknown)
-                found, base1 = trie.bigrams(pair), np.zeros(len(pair))
-                base1[of] = one
-                two = trie.two(pair, found, base1)
-                inner = np.ones(len(ids), bool)
-                inner[at] = False
-                i, p = np.flatnonzero(inner), two[of]
-                if trie.f.levels > 2:
-                    # in order of the bigram before, and in that of the word
-                    bits = np.uint64(len(pair).bit_length())
-                    triple, own = _distinct((of[i - 1].astype(np.uint64) << bits) | of[i].astype(np.uint64))
-                    context, last = (triple >> bits).astype(np.int64), (triple & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-                    p[i] = trie.three(context, last, found, (pair[last] & np.uint64(0xFFFFFFFF)).astype(np.int64), two)[own]
-                known = np.add.reduceat((ids < trie.unknown).astype(np.int64), at)
-                base, full = np.add.reduceat(one, at), np.add.reduceat(p, at)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(known), pa.array(np.full(len(n), total)), pa.array(base), pa.array(full)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            out = scored(trie, b)
+            del b
+            yield out
+            del out
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
 

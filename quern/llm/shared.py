@@ -152,6 +152,7 @@ def text_batches(batches, chars: int = 4_000_000):
             end = max(at + 1, end)
             yield batch.slice(at, end - at)
             at = end
+        batch = size = None  # gone before the next one is read
     trim()
 
 

@@ -72,3 +72,56 @@ def test_lookups_beside_the_ends():
         key = rng.integers(0, most, n).astype(np.uint64)
         for got, own in zip(language_model._distinct(key), np.unique(key, return_inverse=True), strict=True):
             assert got.tolist() == own.tolist()
+
+
+def _peak(work):
+    """What work() returns, and the bytes that it held at most."""
+    import gc
+    import tracemalloc
+
+    gc.collect()
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_tasks_hold_little(monkeypatch, tmp_path):
+    """Counting, merging, writing and viewing n-grams take few bytes each beyond the n-grams themselves."""
+    import numpy as np
+
+    from quern.llm import elias_fano
+
+    for module in (language_model, elias_fano):
+        monkeypatch.setattr(module, "STEP", 1 << 15)
+    rng, n = np.random.default_rng(7), 600_000
+    keys = (rng.integers(0, 5000, n).astype(np.uint64) << np.uint64(32)) | rng.integers(0, 300, n).astype(np.uint64)
+    want, times = np.unique(keys, return_counts=True)
+
+    rows, most = _peak(lambda own=keys.copy(): list(language_model._blocks(own, 7)))
+    assert most < 32 * n
+    got = [language_model._unpacked(m, raw) for _, m, raw in rows]
+    k, c = (np.concatenate(x) for x in zip(*got, strict=True))
+    assert len(rows) == 7 and k[np.argsort(k)].tolist() == want.tolist() and c[np.argsort(k)].tolist() == times.tolist()
+
+    for size in (90_000, 500):  # in blocks of many keys and of few
+        blocks = [np.unique(keys[i : i + size], return_counts=True) for i in range(0, n, size)]
+        parts, most = _peak(lambda blocks=blocks: sum((list(language_model._split(k, c, (k >> np.uint64(42)).astype(np.int64))) for k, c in language_model._merged(blocks)), []))
+        assert len(parts) > 5 and most < 16 * n
+        got = [language_model._unpacked(m, raw) for _, m, raw in parts]
+        k, c = (np.concatenate(x) for x in zip(*got, strict=True))
+        assert k.tolist() == want.tolist() and c.tolist() == times.tolist()
+
+    _, most = _peak(lambda: language_model._level(f"{tmp_path}/level", want, 0, times, np.full(5000, 2.0 * n), lambda node, w: np.full(len(w), 0.01)))
+    assert most < 26 * len(want)
+    files = language_model.load(f"{tmp_path}/level")
+    ef, most = _peak(lambda: elias_fano.EliasFano(*files[4:8]))
+    ends = np.append(0, np.cumsum(np.bincount((want >> np.uint64(32)).astype(np.int64), minlength=5000)))
+    assert elias_fano.EliasFano(*files[:4])[np.arange(5001)].tolist() == ends.tolist()
+    last = np.maximum.reduceat(want & np.uint64(0xFFFFFFFF), ends[:-1])
+    x = np.append(0, np.cumsum(last)[:-1])[(want >> np.uint64(32)).astype(np.int64)] + (want & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    assert ef[np.arange(ef.n)].tolist() == x.tolist()
+    high = np.unpackbits(ef.bytes.reshape(-1), bitorder="little")
+    assert ef.select0(np.arange((high == 0).sum())).tolist() == np.flatnonzero(high == 0).tolist()
+    assert most + ef.zeros.nbytes < len(want) / 32 + 8192
