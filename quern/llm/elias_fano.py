@@ -75,7 +75,7 @@ class EliasFano:
                 word, step = np.where(then * 64 - self.ones[then] <= i, then, word), step // 2
             rest, x = i - (word * 64 - self.ones[word]), ~self.words[word]
         else:
-            word = np.searchsorted(self.ones, i, "right") - 1
+            word = np.searchsorted(self.ones, i.astype(np.uint32), "right") - 1  # of one type, so that the array isn't converted
             rest, x = i - self.ones[word], self.words[word]
         # ones up to each byte's end, all eight in one integer
         s = x - ((x >> np.uint64(1)) & np.uint64(0x5555555555555555))

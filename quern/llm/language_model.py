@@ -35,6 +35,8 @@ PART, SHARD = 3_000_000, 750_000
 BATCH = 3_000_000
 #: N-grams that a task merges, and whose probabilities it works out, at a time.
 STEP = 1 << 19
+#: Characters of the texts that are scored at a time.
+SLICE = 4_000_000
 #: log10 probabilities are kept in 16 bits from -LOWEST to 0.
 LOWEST = 24.0
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end of text "))
@@ -64,7 +66,7 @@ def save(path: str, arrays: list[np.ndarray]) -> None:
 
 
 def load(path: str) -> list[np.ndarray]:
-    raw = mapped(path)
+    raw = mapped(path).view(np.ndarray)  # still the map; indexing a memmap costs more
     at, out = 512, []
     for part in raw[:512].tobytes().decode().strip().split(";"):
         kind, n = part.split(",")
@@ -612,13 +614,17 @@ def score(docs: DataFrame, files: Files | None) -> DataFrame:
         else:
             h, n = _sequence(b.column("text"))
             every, back = np.unique(h, return_inverse=True)
-            every = trie.ids(every)
-            ids, one, at = every[back], trie.one(every)[back], spans(n)[:-1]
+            del h
+            every, at = trie.ids(every), spans(n)[:-1]
+            known = np.add.reduceat((every < trie.unknown)[back].astype(np.int64), at)
             pair, of = _bigrams(every, back, n, trie.unknown)
-            found, base1 = trie.bigrams(pair), np.zeros(len(pair))
-            base1[of] = one
-            two = trie.two(pair, found, base1)
-            inner = np.ones(len(ids), bool)
+            one, lower = trie.one(every)[back], np.zeros(len(pair))
+            base, lower[of] = np.add.reduceat(one, at), one
+            del back, one
+            found = trie.bigrams(pair)
+            two = trie.two(pair, found, lower)
+            del lower
+            inner = np.ones(len(of), bool)
             inner[at] = False
             i, p = np.flatnonzero(inner), two[of]
             if trie.f.levels > 2:
@@ -626,14 +632,14 @@ def score(docs: DataFrame, files: Files | None) -> DataFrame:
                 bits = np.uint64(len(pair).bit_length())
                 triple, own = _distinct((of[i - 1].astype(np.uint64) << bits) | of[i].astype(np.uint64))
                 context, last = (triple >> bits).astype(np.int64), (triple & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+                del of, triple
                 p[i] = trie.three(context, last, found, (pair[last] & np.uint64(0xFFFFFFFF)).astype(np.int64), two)[own]
-            known = np.add.reduceat((ids < trie.unknown).astype(np.int64), at)
-            base, full = np.add.reduceat(one, at), np.add.reduceat(p, at)
+            full = np.add.reduceat(p, at)
         return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(known), pa.array(np.full(len(n), total)), pa.array(base), pa.array(full)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     def run(batches):
         trie = Trie(files) if files else None
-        for b in text_batches(batches, 1_500_000):
+        for b in text_batches(batches, SLICE):
             out = scored(trie, b)
             del b
             yield out
